@@ -34,7 +34,7 @@ BUCKETS = BANDS * ROWS
 #: the mantissa alone has to tell them apart.
 COUNT_BITS, MANTISSA_BITS = 6, 26
 #: Classes in a block of a large band.
-BLOCK = 600
+BLOCK = 1500
 _EDGES = np.array([-(-i * (1 << 64) // BUCKETS) for i in range(BUCKETS)], np.uint64)
 
 
@@ -150,7 +150,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
         keep = [similar(s, t, percent) for s, t in zip(x, y, strict=True)]
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    pairs = written(pairs, "likely")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return map_batches(both, f, "a bigint, b bigint", 4 << 20)
 
