@@ -116,7 +116,7 @@ def find(docs: DataFrame, repo: str = "source", max_owners: int = 4) -> DataFram
 
 
 def redact(docs: DataFrame, repo: str = "source", max_owners: int = 4, mask: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns with every live span masked; documents without one keep their text as it is."""
+    """The same rows and columns with every live span masked; others keep their text. `n_chars`, where there is one, follows it."""
     scanned = written(scan(docs, F.col(repo)).select("doc_id", "repo", "found").where(F.size("found") > 0), "spans")
     live = classified(scanned, max_owners).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("live").alias("__live"))
     both = docs.join(live, docs["doc_id"] == live["__id"], "left")
@@ -128,4 +128,8 @@ def redact(docs: DataFrame, repo: str = "source", max_owners: int = 4, mask: str
         ),
         lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))),
     )
-    return both.select(*(F.when(F.col("__live").isNull(), docs["text"]).otherwise(merged).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    new = F.when(F.col("__live").isNull(), docs["text"]).otherwise(merged)
+    changed = {"text": new}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__live").isNull(), docs["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return both.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))
