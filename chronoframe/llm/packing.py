@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, text_bytes, words_of, written
 
 CLOSING_ID = 0
 #: Words that a worker remembers at most.
@@ -37,9 +38,10 @@ MAX_STEPS, SOURCES, TARGETS = 2_000, 4, 64
 
 
 class WordTokenizer:
-    """A tokenizers file that drops white space, applied word by word, with words remembered.
+    """A tokenizers file that drops white space and marks the ends of words, applied to a batch's distinct words.
 
-    White space ends every pre-token and is dropped, so the ids of a text are those of its words.
+    White space ends every pre-token and is dropped, so the ids of a text are those of its words. Words are told apart
+    by 64-bit hashes, and the ids of words seen before are remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,18 +51,54 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
+        self.known: dict[int, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word.
+
+        A word of letters is one pre-token, and its last id alone is that of a token that ends words; so many of these
+        are encoded as one text and told apart afterwards. Full stops and commas behind it are another pre-token.
+        """
+        ids: dict[str, bytes] = {}
+        cores = [w.rstrip(".,") for w in words]
+        plain = [w for w in set(cores) if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        for at in range(0, len(plain), 1_000):
+            part = plain[at : at + 1_000]
+            own = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[own]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            body = own.tobytes()
+            ids |= zip(part, [body[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+        tails = {w[len(c) :] for w, c in zip(words, cores, strict=True)} - {""}
+        others = [*tails, *{w for w, c in zip(words, cores, strict=True) if c not in ids}]
+        ids |= zip(others, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(others, add_special_tokens=False)), strict=True)
+        return [ids[w] if c not in ids else ids[c] if len(c) == len(w) else ids[c] + ids[w[len(c) :]] for w, c in zip(words, cores, strict=True)]
+
+    def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Each row's ids as little-endian unsigned 32-bit integers."""
+        # A-Z may be folded where no combining mark (U+0300 and on) and no special token can occur
+        fold = not (body >= 0xCC).any() and b"<|" not in body.tobytes()
+        hashes, starts, ends, first = words_of(body, offsets, fold)
+        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = keys.tolist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        raw = body.tobytes()
+        for i, ids in zip(new, self._ids([raw[starts[at[i]] : ends[at[i]]].decode() for i in new]), strict=True):
+            self.known[keys[i]] = ids
+        parts = list(map(self.known.__getitem__, keys))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        begin = np.cumsum(size) - size
+        each = size[inverse]
+        done = np.append(0, np.cumsum(each))
+        ids = flat[np.repeat(begin[inverse] - done[:-1], each) + np.arange(done[-1])].tobytes()
+        cuts = (4 * done[first]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -73,7 +111,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, ids: bool = F
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for doc_id, body in zip(batch.column(0).to_pylist(), _tokenizer(vocabulary).encode_all(batch.column(1).to_pylist()), strict=True):
+        for doc_id, body in zip(batch.column(0).to_pylist(), _tokenizer(vocabulary).encode_all(*text_bytes(batch.column(1))), strict=True):
             body += CLOSING_ID.to_bytes(4, "little")
             for piece, a in enumerate(range(0, len(body), 4 * capacity)):
                 part = body[a : a + 4 * capacity]
