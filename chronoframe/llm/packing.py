@@ -63,7 +63,8 @@ class WordTokenizer:
         """
         ids: dict[str, bytes] = {}
         cores = [w.rstrip(".,") for w in words]
-        plain = [w for w in set(cores) if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        letters = {w for w in cores if w.isalpha() and (w.isascii() or max(w) < "\u0100")}
+        plain = list(letters)
         for at in range(0, len(plain), 1_000):
             part = plain[at : at + 1_000]
             own = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -73,9 +74,9 @@ class WordTokenizer:
             body = own.tobytes()
             ids |= zip(part, [body[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
         tails = {w[len(c) :] for w, c in zip(words, cores, strict=True)} - {""}
-        others = [*tails, *{w for w, c in zip(words, cores, strict=True) if c not in ids}]
+        others = [*tails, *{w for w, c in zip(words, cores, strict=True) if c not in letters}]
         ids |= zip(others, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(others, add_special_tokens=False)), strict=True)
-        return [ids[w] if c not in ids else ids[c] if len(c) == len(w) else ids[c] + ids[w[len(c) :]] for w, c in zip(words, cores, strict=True)]
+        return [ids[w] if c not in letters else ids[c] if len(c) == len(w) else ids[c] + ids[w[len(c) :]] for w, c in zip(words, cores, strict=True)]
 
     def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Each row's ids as little-endian unsigned 32-bit integers."""
