@@ -26,7 +26,7 @@ from .common import gathered, map_batches, written
 from .vectors import matrix, taking_part, unit
 
 #: Code length; deviations that an error bound allows for; vectors in a block of codes and in a block of queries.
-BITS, DEVIATIONS, CODES, QUERIES = 512, 2.5, 65_536, 2_048
+BITS, DEVIATIONS, CODES, QUERIES = 1024, 2.0, 65_536, 2_048
 
 
 def rotation(dims: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
