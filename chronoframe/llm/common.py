@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,7 +56,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return body[at[0] : at[-1]], at - at[0]
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, rows_bytes: int = 2 << 20) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, rows_bytes: int = 1 << 20) -> DataFrame:
     """`f` over Arrow batches of `df`, gathered up to about `rows_bytes` bytes; a batch is never less than one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +68,18 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
                 yield from out.to_batches()
             else:
                 yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers wait for their next task with little in hand."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Larger batches of the same rows in the same order, and smaller ones where the input's exceed `most` bytes."""
     held: list[pa.RecordBatch] = []
@@ -116,7 +126,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             while len(have) < n:
                 have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _powers[base] = have if len(have) <= 1 << 22 else np.ones(1, np.uint64)
+        _powers[base] = have if len(have) <= 1 << 21 else np.ones(1, np.uint64)
     return have[:n]
 
 

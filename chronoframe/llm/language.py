@@ -53,7 +53,7 @@ def trigram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in gathered(batches, 2 << 20):
+        for batch in gathered(batches, 1 << 20):
             langs, of = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             bucket, row = _trigrams(*text_bytes(batch.column(1)))
             counts = np.bincount(of[row] * BUCKETS + bucket, minlength=len(langs) * BUCKETS).reshape(-1, BUCKETS)

@@ -31,7 +31,7 @@ from .common import map_batches, text_bytes, words_of, written
 
 CLOSING_ID = 0
 #: Words that a worker remembers at most.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Effort of local search: its steps, and in each the emptiest and the fullest kinds it looks at. Bins that it doesn't
 #: come to stay packed as they are.
 MAX_STEPS, SOURCES, TARGETS = 2_000, 4, 64
