@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, map_batches, written
 from .vectors import matrix, taking_part, unit
 
-MEMBERS, VISITORS = 2_048, 4_096
+#: Vectors in a cell on average, in a block of members, and in a block of visitors.
+CELL, MEMBERS, VISITORS = 512, 2_048, 4_096
 
 
 def codebook(rows: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -82,16 +83,16 @@ def _forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
         top_a, top_b = new_a, new_b
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.93, deviations: float = 3.5, sample: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.93, deviations: float = 3.2, sample: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; only rows with equal labels are compared."""
     part = taking_part(df.where(F.col(label_col).isNotNull()), id_col, vector_col, F.col(label_col).alias("label"))
     points = written(part.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "points")
     total, labels, dims = points.agg(F.count("*"), F.count_distinct("label"), F.max(F.size("v"))).first()
-    every = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    every = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     if not total or dims < 2:  # nothing to compare, or no halves: vectors of one dimension link by sign, in one cell
         k = 1
     else:
-        k = int(np.clip(round(math.sqrt(total / labels / 64)), 1, 256))
+        k = int(np.clip(round(math.sqrt(total / labels / CELL)), 1, 256))
     half = max(1, (dims or 2) // 2)
     drawn = points.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]  # `sample` rows
     rows = unit(np.array(drawn.tolist(), np.float64)) if len(drawn) else np.ones((1, 2))
@@ -106,7 +107,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, deviations: float =
         visits = [[i * wide + j for i, j in multi_sequence(x, y, most)] for x, y in zip(d1, d2, strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(c1 * wide + c2, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], [*batch.schema.names, "cell", "visits"])
 
-    placed = written(map_batches(points.select("label", "v", "id", "n"), traverse, f"label {kind}, v array<double>, id bigint, n bigint, cell bigint, visits array<bigint>"), "placed")
+    placed = written(map_batches(points.select("label", "v", "id", "n"), traverse, f"label {kind}, v {points.schema['v'].dataType.simpleString()}, id bigint, n bigint, cell bigint, visits array<bigint>"), "placed")
     visitors = placed.select("label", F.explode("visits").alias("at"), "id", "n", "v", "cell", F.lit(None).cast("array<bigint>").alias("visits"))
     members = placed.select("label", F.col("cell").alias("at"), "id", "n", "v", "cell", "visits")
     sizes = members.groupBy("label", "at").agg(F.ceil(F.count("*") / MEMBERS).alias("xs")).join(visitors.groupBy("label", "at").agg(F.ceil(F.count("*") / VISITORS).alias("ys")), ["label", "at"])

@@ -26,8 +26,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else rows
 
 
-def taking_part(df: DataFrame, id_col: str, vector_col: str, *keep: str) -> DataFrame:
-    """(id, v array<double>, ...) of usable vectors of the greatest length there is; shorter ones can't be compared."""
-    own = df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *keep)
+def taking_part(df: DataFrame, id_col: str, vector_col: str, *keep: Column) -> DataFrame:
+    """(id, v, ...) of usable vectors of the greatest length there is; shorter ones can't be compared."""
+    own = df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), *keep)
     most = own.agg(F.max(F.size("v"))).first()[0] or 0
     return own.where(F.size("v") == most)
