@@ -13,7 +13,7 @@ from ..sources.store import VectorStore
 
 def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of accepted files with their contents."""
-    return spark.readStream.format("binaryFile").load(folder).where(accepted("path"))
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder).where(accepted("path"))
 
 
 def into_store(rows: DataFrame, store: VectorStore, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
