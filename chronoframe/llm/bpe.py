@@ -8,8 +8,8 @@ its *cuts*: lost arcs and the merge that removed them. An arc w exists in a stat
 with when w was made, had been cut by then; that is looked up along w's left spine, so no table of states times tokens
 is needed.
 
-Encoding follows arcs over a pre-split word. A prefix has exactly one correct tokenization, hence one state for each
-position, and the walk is linear in the word's length. Decoding joins the arcs' labels.
+Encoding follows arcs over a pre-split word. Exactly one path spells the word, so it is the correct tokenization; a dead
+end is met once for each position and state. Decoding joins the arcs' labels.
 
 Defined results: null and empty texts give no ids and an empty text; special tokens' strings in a text become their ids;
 texts of any length are taken whole; repeated rows give repeated results; extra columns are not touched.
@@ -76,6 +76,8 @@ class Automaton:
                 node = node.setdefault(byte, {})
             node[-1] = i
         self._arc_labels = [self.labels.get(i, b"") for i in range(max(self.labels, default=-1) + 1)]
+        self._sizes = [len(x) for x in self._arc_labels]
+        self._longest = max(self._sizes, default=0)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _gadget(self, k: int, u: int, v: int, w: int, shared: list[int]) -> None:
@@ -107,40 +109,51 @@ class Automaton:
                 return True
             until, token = made[token], left[token]
 
+    def _arcs(self, word: bytes, at: int) -> list[int]:
+        """Tokens that a word goes on with at a position, shortest first."""
+        node, found = self.trie, []
+        for byte in word[at : at + self._longest]:
+            node = node.get(byte)
+            if node is None:
+                break
+            token = node.get(-1)
+            if token is not None:
+                found.append(token)
+        return found
+
     def _walk(self, word: bytes) -> list[int]:
-        """The token ids of one pre-split word: arcs from the start state to the end."""
-        n = len(word)
-        reached: list[tuple[int, int] | None] = [None] * (n + 1)  # token that ends here, where it began
-        known, state_of, trie = self._known, self.state, self.trie
-        state = 0
-        for i in range(n):
-            if i:
-                here = reached[i]
-                if here is None:
-                    continue
-                state = state_of[here[0]]
-            node = trie
-            for j in range(i, n):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                token = node.get(-1)
-                if token is None:
-                    continue
-                if i:
+        """The token ids of one pre-split word: the one path from the start state that ends with it.
+
+        Longer arcs are tried first; a position and state from which the end can't be reached is left for good.
+        """
+        n, known, state_of, size = len(word), self._known, self.state, self._sizes
+        at, state, arcs = 0, 0, self._arcs(word, 0)
+        path: list[int] = []
+        before: list[tuple[int, int, list[int]]] = []
+        dead: set[tuple[int, int]] = set()
+        while True:
+            while arcs:
+                token = arcs.pop()
+                if at:
                     may = known.get((state, token))
                     if may is None:
                         may = known[state, token] = self.allowed(state, token)
                     if not may:
                         continue
-                reached[j + 1] = (token, i)
-        ids, at = [], n
-        while at:
-            token, at = reached[at]
-            ids.append(token)
-        if len(known) > REMEMBERED:
-            known.clear()
-        return ids[::-1]
+                end = at + size[token]
+                if end == n:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    return [*path, token]
+                if (end, state_of[token]) in dead:
+                    continue
+                path.append(token)
+                before.append((at, state, arcs))
+                at, state = end, state_of[token]
+                arcs = self._arcs(word, end)
+            dead.add((at, state))
+            at, state, arcs = before.pop()
+            path.pop()
 
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
