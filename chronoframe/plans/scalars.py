@@ -127,9 +127,9 @@ _BINS = """(SELECT video_id, b.i, sum(CASE WHEN event_type = 'view' AND bin = i
     FROM (SELECT *, least(floor(value / 20), 9) AS bin FROM frames WHERE event_type IN ('view', 'click')) f CROSS JOIN range(10) b(i) GROUP BY video_id, b.i)"""
 
 
-@query(f"SELECT video_id, round(coalesce(CASE WHEN isnan(corr(x, y)) THEN 1.0 ELSE corr(x, y) END, 1.0), 6) AS correlation FROM {_BINS} GROUP BY video_id", "frames")
+@query(f"SELECT video_id, round(coalesce(CASE WHEN isnan(corr(x, y)) THEN 1.0 ELSE corr(x, y) END, 1.0), 6) + 0.0 AS correlation FROM {_BINS} GROUP BY video_id", "frames")
 def f14_hist_corr(spark, d):
-    return _users(spark, d).select("video_id", r6(vector.correlation(F.col("view"), F.col("click"))).alias("correlation"))
+    return _users(spark, d).select("video_id", (r6(vector.correlation(F.col("view"), F.col("click"))) + 0.0).alias("correlation"))
 
 
 @query("SELECT event_id, round(bit_count(xor(event_id * 7919, event_id * 104729)) / 64.0, 6) AS distance FROM events")
