@@ -52,6 +52,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     """(id, importance). tolerance: None runs exactly `rounds` rounds."""
     ids = nodes.select(F.col("id").cast("string").alias("id")).distinct()
     links = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
+    links = _table(links)  # making edges may be costly; they are counted first and read again
     size = ids.count()
     if size == 0:
         return ids.select("id", F.lit(0.0).alias("importance"))

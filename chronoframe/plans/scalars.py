@@ -192,7 +192,7 @@ def p02_metadata_flatten(spark, d):
 
 @query("SELECT id, timestamp, frame_number, video_id, coalesce(source, 'unknown') AS video_name FROM vectors", "vectors")
 def p03_node_projection(spark, d):
-    return b.vectors(spark, d).select("id", "timestamp", "frame_number", "video_id", F.coalesce("source", F.lit("unknown")).alias("video_name"))
+    return b.vectors(spark, d, documents=True).select("id", "timestamp", "frame_number", "video_id", F.coalesce("source", F.lit("unknown")).alias("video_name"))
 
 
 @query(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS rn FROM frames),
@@ -330,7 +330,7 @@ def j11_path_lookup(spark, d):
 
 @query("SELECT vec_id, substring(document, 1, 400) AS prompt_text, CASE WHEN length(document) > 100 THEN substring(document, 1, 100) || '...' ELSE document END AS preview FROM (SELECT frame_number AS vec_id, document FROM vectors)", "vectors")
 def t06_truncate(spark, d):
-    v = b.vectors(spark, d)
+    v = b.vectors(spark, d, documents=True)
     return v.select(F.col("frame_number").alias("vec_id"), text.truncated(F.col("document"), 400).alias("prompt_text"), text.preview(F.col("document"), 100).alias("preview"))
 
 
@@ -376,5 +376,5 @@ def w06_ranks(spark, d):
 
 @query("SELECT video_id, arg_min(coalesce(source, 'unknown'), frame_number) AS video_name, min(frame_number) AS first_frame FROM vectors GROUP BY video_id", "vectors")
 def w07_first_in_video(spark, d):
-    v = b.vectors(spark, d)
+    v = b.vectors(spark, d, documents=True)
     return v.groupBy("video_id").agg(F.min_by(F.coalesce("source", F.lit("unknown")), "frame_number").alias("video_name"), F.min("frame_number").alias("first_frame"))

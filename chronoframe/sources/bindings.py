@@ -46,18 +46,19 @@ def spoken_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("frame_number"), (F.col("turn") * 5.0 + 2.0).alias("timestamp")).distinct()
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings with their documents: a label is a video, a vector a keyframe at as many seconds as its id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    own = table(spark, sf_dir, "embeddings").join(docs, F.col("doc_id") == F.col("vec_id"), "left")
+def vectors(spark: SparkSession, sf_dir: str, documents: bool = False) -> DataFrame:
+    """embeddings: a label is a video, a vector a keyframe at as many seconds as its id; with their documents if wanted."""
+    own, texts = table(spark, sf_dir, "embeddings"), []
+    if documents:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+        own = own.join(docs, F.col("doc_id") == F.col("vec_id"), "left")
+        texts = [F.coalesce("text", F.lit("")).alias("document"), "source", "lang"]
     return own.select(
         node_id(F.col("label"), F.col("vec_id")).alias("id"),
         F.col("label").cast("bigint").alias("video_id"),
         F.col("vec_id").alias("frame_number"),
         (F.col("vec_id") * 1.0).alias("timestamp"),
-        F.coalesce("text", F.lit("")).alias("document"),
-        "source",
-        "lang",
+        *texts,
         F.col("embedding").cast("array<double>").alias("embedding"),
         (F.col("label").cast("bigint") * ORD_STEP + F.col("vec_id")).alias("ord"),
     )
