@@ -121,15 +121,15 @@ def redact(docs: DataFrame, repo: str = "source", max_owners: int = 4, mask: str
     live = classified(scanned, max_owners).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("live").alias("__live"))
     both = docs.join(live, docs["doc_id"] == live["__id"], "left")
     merged = F.aggregate(
-        "__live",
+        live["__live"],
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(F.concat(acc["out"], F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(docs["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).alias("out"), s["end"].alias("at"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))),
     )
-    new = F.when(F.col("__live").isNull(), docs["text"]).otherwise(merged)
+    new = F.when(live["__live"].isNull(), docs["text"]).otherwise(merged)
     changed = {"text": new}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__live").isNull(), docs["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(live["__live"].isNull(), docs["n_chars"]).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
     return both.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))
