@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 WORDS = "ath ber cion del ent for gan hin ior jal kes lor men nor ost pre qui ron ser tha uni ver was xen yor zed".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that the operators use inside; a table may have columns of these names.
-CLASHES = ["id", "key", "h", "p", "n", "a", "b", "rank", "length", "start", "piece", "value", "component", "v", "label", "bucket", "repo", "found", "line", "pos", "m"]
+CLASHES = ["id", "key", "h", "p", "n", "a", "b", "rank", "length", "start", "piece", "value", "component", "v", "label", "bucket", "repo", "found", "line", "pos", "m", "__id", "__live", "__pos", "__m", "__new"]
 
 
 def prose(rng, n):
