@@ -192,6 +192,12 @@ def windows_of(hashes: np.ndarray, length: int) -> np.ndarray:
         return out[:n]
 
 
+def drawn(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """At most `most` of `total` rows, the first by a hash of `key`; hardly more than these leave their tasks."""
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return df.where(spread < int(min(1.0, 1.5 * most / max(total, 1)) * (1 << 30))).orderBy(spread, key).limit(most)
+
+
 def crc_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of an id's decimal text, modulo `buckets`."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(buckets))

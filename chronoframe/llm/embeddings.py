@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, written
+from .common import components, drawn, map_batches, written
 from .vectors import matrix, taking_part, unit
 
 #: Vectors in a cell on average, in a block of members, and in a block of visitors.
@@ -94,8 +94,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, deviations: float =
     else:
         k = int(np.clip(round(math.sqrt(total / labels / CELL)), 1, 256))
     half = max(1, (dims or 2) // 2)
-    drawn = points.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]  # `sample` rows
-    rows = unit(np.array(drawn.tolist(), np.float64)) if len(drawn) else np.ones((1, 2))
+    some = drawn(points, "id", sample, total or 0).select("v").toPandas()["v"]  # `sample` rows
+    rows = unit(np.array(some.tolist(), np.float64)) if len(some) else np.ones((1, 2))
     halves = [codebook(rows[:, :half], k), codebook(rows[:, half:], k) if (dims or 2) > 1 else np.zeros((1, 0))]
     most = 2 * (1 - threshold) / (dims or 2) * deviations**2
     kind = points.schema["label"].dataType.simpleString()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_batches, text_bytes
+from .common import crc_bucket, drawn, map_batches, text_bytes
 
 WIDTH, STRIDE, DEPTH, FILTERS = 12, 4, 8, 16
 #: Windows in a chunk, and windows computed at once.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, parts: int
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}  # two rows
     chosen = None
     for c in (0, 1):
-        own = known.where(F.col("quality") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        own = drawn(known.where(F.col("quality") == c), "id", per_class, counts.get(c, 0))
         chosen = own if chosen is None else chosen.unionByName(own)
     body = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
     gap = F.greatest(F.lit(0), (F.octet_length(body) - part_bytes) / max(parts - 1, 1))
