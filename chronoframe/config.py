@@ -33,9 +33,9 @@ class Settings:
     text_limit: int = 400
     audio_limit: int = 250
     damping: float = 0.85
-    #: Reports with the reference's label mismatch (text and initial counts are 0) instead of the corrected ones.
+    #: Reports that count labels which the gate never emits (text and initial counts are 0) instead of those it does.
     compat_labels: bool = False
-    #: Vector metadata with an empty audio text, as the reference writes it.
+    #: Vector metadata with an empty audio text instead of the audio text.
     compat_audio: bool = False
 
 

@@ -62,7 +62,7 @@ def scene_score(features: Column, histogram: Column) -> Column:
 
 
 def scene_label(score: Column, threshold: float = 0.30) -> Column:
-    """All bounds are strict."""
+    """All bounds are strict. Fixed values."""
     return F.when(score > 0.6, "major_scene_cut").when(score > 0.45, "scene_change").when(score > threshold, "moderate_change").otherwise("minor_change")
 
 
