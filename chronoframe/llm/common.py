@@ -210,7 +210,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     (Kiveris et al., 2014). Only per-vertex minima are grouped, so hubs are pre-aggregated; edges stay in tables.
     Vertices without edges don't appear. Null ids and self links are ignored.
     """
-    spark = edges.sparkSession
     now = written(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
@@ -231,4 +230,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()) if spark else stars
+    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
