@@ -40,6 +40,13 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in docs.collect()} == set(rows)
 
 
+def test_line_dedup_deletes_whole_runs(spark):
+    run = " ".join(f"word{k}" for k in range(12)) + "\nall rights reserved"
+    docs = spark.createDataFrame([(i, f"own {i}\n{run}\nown {i} too", "en", "s", None) for i in range(3)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert kept == {0: f"own 0\n{run}\nown 0 too", 1: "own 1\nown 1 too", 2: "own 2\nown 2 too"}
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 

@@ -149,6 +149,41 @@ def test_lines_are_brute_force(spark, min_words):
     assert {i for i, (_, n, t) in want.items() if n and not t.split()} == set(want) - set(texts)
 
 
+def maximal_line_dedup(texts, min_words):
+    starts, out = {}, {}  # starts: by line, the places before
+    for d, (i, t) in enumerate(texts):
+        own = (t or "").split("\n")
+        count = [len(x.encode().split()) for x in own]
+        gone = [False] * len(own)
+        for a, x in enumerate(own):
+            most = 0
+            for other, b in starts.get(x, []):
+                n = 0
+                while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n]:
+                    n += 1
+                most = max(most, n)
+            if count[a] and sum(count[a : a + most]) >= min_words:
+                gone[a : a + most] = [True] * most
+            starts.setdefault(x, []).append((own, a))
+        out[i] = (len(own), sum(gone), "\n".join(x for x, g in zip(own, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("min_words", [10, 4])
+def test_maximal_lines_are_brute_force(spark, min_words):
+    rng = random.Random(3)
+    pool = [prose(rng, k % 4) for k in range(12)] + [prose(rng, 12)]
+    some = rows() + [(1000 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30))), "en", "s", None) for i in range(40)]
+    # a run ends with short and blank lines
+    some += [(2000 + i, f"own {i}\n{prose(random.Random(8), 12)}\nall rights reserved\n\n\n\nend\nown {i} too", "en", "s", None) for i in range(3)]
+    want = maximal_line_dedup([(r[0], r[1]) for r in sorted(some, key=lambda r: r[0])], min_words)
+    assert want[2001] == (8, 6, "own 1\nown 1 too")
+    docs = clashing(table(spark, some))
+    assert got(lines.digests(docs, min_words, maximal=True), "n_lines", "n_removed", "kept_sha256") == {i: (a, b, sha(t)) for i, (a, b, t) in want.items()}
+    texts = got(lines.deduplicated(docs, min_words, maximal=True), "text")
+    assert {i: t or "" for i, (t,) in texts.items()} == {i: t for i, (_, n, t) in want.items() if not n or t.split()}
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
