@@ -9,10 +9,12 @@ sketch has one register a bucket: the smallest hash that fell there, stored as a
    band is small, else block against block of at most about `BLOCK` classes, whose tasks return links only.
 
 Registers give a collision-corrected estimate of the similarity; a pair whose estimate is far below the threshold
-(`margin`, five standard errors) goes no further, any other is confirmed on the full sets. A pair inside one component
-can't change the result, so step 2 leaves it out: large groups of copies need no pairs of their own.
+(`margin`, five standard errors) goes no further, any other is confirmed on the full sets. Few full registers make no
+estimate: a pair with fewer than `FEW` of them is confirmed at once. A pair inside one component can't change the
+result, so step 2 leaves it out: large groups of copies need no pairs of their own.
 
-With 48 bands of 4 registers a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**48 = 1.2e-8.
+With 48 bands of 4 registers a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**48 = 1.2e-8 if its
+sets fill the registers; sets of a few shingles fill few bands, and share none more often.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle make
 one shingle of all words; texts count whole; ids must be unique and not null; extra columns are ignored; an empty table
@@ -33,6 +35,8 @@ BUCKETS = BANDS * ROWS
 #: Bits of a register: a leading-zero count and a mantissa. Short documents leave most registers of a band empty, so
 #: the mantissa alone has to tell them apart.
 COUNT_BITS, MANTISSA_BITS = 6, 26
+#: Full registers of a pair from which on its estimate counts.
+FEW = 32
 #: Classes in a block of a large band.
 BLOCK = 1500
 _EDGES = np.array([-(-i * (1 << 64) // BUCKETS) for i in range(BUCKETS)], np.uint64)
@@ -102,6 +106,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((agree - chance) / np.maximum(n - chance, 1e-9), 0, 1)
 
 
+def possible(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of rows of registers, and which pairs go on to confirmation: from `least` on, or with few registers."""
+    e = estimate(a, b)
+    return e, (e >= least) | (((a > 0) | (b > 0)).sum(axis=1) < FEW)
+
+
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, registers): k1, k2 identify the set."""
 
@@ -131,11 +141,11 @@ def band_keys(reps: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate reaches `least`."""
+    """Pairs (a, b) whose estimate reaches `least`, or which have too few registers for one."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BUCKETS) for c in (2, 3))
-        return batch.select([0, 1]).filter(pa.array(estimate(x, y) >= least))
+        return batch.select([0, 1]).filter(pa.array(possible(x, y, least)[1]))
 
     regs = reps.select("id", "registers")
     both = pairs.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
@@ -181,8 +191,8 @@ def _hot_links(hot: DataFrame, known: DataFrame, docs: DataFrame, words: int, pe
             js = js[ids[js] > ids[i]] if x == y else js
             if not len(js):
                 continue
-            e = estimate(regs[i][None], regs[js])
-            js, e = js[e >= sure], e[e >= sure]
+            e, keep = possible(regs[i][None], regs[js], sure)
+            js, e = js[keep], e[keep]
             if here and len(js):
                 earlier = ((runs[js, :here] == runs[i, :here]).all(axis=2) & (runs[i, :here] > 0).any(axis=1)).any(axis=1)
                 js, e = js[~earlier], e[~earlier]
@@ -225,7 +235,7 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, margin: float | None = None, hot: int = 48) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): see the module's text.
 
-    margin: how far an estimate may fall short; five standard errors if None.
+    margin: how far an estimate may fall short; five standard errors of all registers if None.
     hot: classes from which on a band is compared block against block rather than by a join.
     """
     share = percent / 100

@@ -100,6 +100,30 @@ def test_minhash_estimates():
     assert not minhash.similar(pool[:0], pool[:0], 75)
 
 
+def test_minhash_confirms_where_registers_are_few():
+    # 3 of 4 hashes in common, and all 3 in one register: 1 of 2 registers agrees
+    a = np.arange(1, 4, dtype=np.uint64) << np.uint64(40)
+    b = np.append(a, np.uint64(1 << 63))
+    x, y = minhash.sketch(a)[None], minhash.sketch(b)[None]
+    assert minhash.similar(a, b, 75) and set(minhash.bands_of(x[0])) & set(minhash.bands_of(y[0]))
+    e, keep = minhash.possible(x, y, 0.594)
+    assert e[0] < 0.594 and keep[0]
+    # with enough registers the estimate decides
+    many = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
+    x, y = minhash.sketch(many[:200])[None], minhash.sketch(many[100:])[None]
+    assert not minhash.possible(x, y, 0.594)[1][0]
+
+
+@pytest.mark.parametrize("hot", [48, 1])
+def test_minhash_links_short_texts(spark, hot):
+    # 3 of 4 shingles in common, in two registers: the estimate falls short by more than the margin
+    short = "iornor forber unicion normen prefor verdel wastha"
+    sets = [minhash.shingle_sets(*text_bytes(pa.array([t])))[0] for t in (short, f"{short} lorent")]
+    assert minhash.similar(*sets, 75) and minhash.estimate(*(minhash.sketch(s)[None] for s in sets))[0] < 0.594
+    some = [(1, short, None, None, None), (2, f"{short} lorent", None, None, None)]
+    assert got(minhash.near_duplicates(table(spark, some), hot=hot), "component_id") == {1: (1,), 2: (1,)}
+
+
 @pytest.mark.parametrize("length", [20, 3])
 def test_substrings_are_brute_force(spark, length):
     seen, want = set(), {}
