@@ -25,9 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs["doc_id"].cast("bigint") == kept["__id"], "left_semi")
+    """One document of each group of near-duplicates stays; rows with null ids link with nothing and stay."""
+    own = docs["doc_id"].cast("bigint")
+    gone = minhash.near_duplicates(docs.where(own.isNotNull())).where("NOT kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, own == gone["__id"], "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

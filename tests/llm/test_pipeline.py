@@ -47,6 +47,15 @@ def test_line_dedup_deletes_whole_runs(spark):
     assert kept == {0: f"own 0\n{run}\nown 0 too", 1: "own 1\nown 1 too", 2: "own 2\nown 2 too"}
 
 
+def test_near_dedup_keeps_rows_without_an_id(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    some = [(1, text, "en", "s", None), (2, text + " more", "en", "s", None), (3, None, "en", "s", None), (None, text, "en", "a", None), (None, None, "en", "b", None)]
+    docs = spark.createDataFrame(some, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.source) for r in kept.collect()) == [(0, "a"), (0, "b"), (1, "s"), (3, "s")]
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
