@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,22 +120,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of a word that are hashed in blocks of eight; what lies beyond goes to xxh3.
+BLOCK_BYTES = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, np.uint64)
+def blocks_of(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position of `body` on, as one number; zeros stand behind its end."""
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    return np.ndarray(len(body) + 1, "<u8", padded, strides=(1,))
+
+
+def hashes_of(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: a finalizer after every block of eight bytes, so no two blocks cancel out."""
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+    if not len(size):
+        return out
+    blocks, live = blocks_of(body), np.arange(len(size))
+    for done in range(0, BLOCK_BYTES, 8):
+        left = size[live] - done
+        block = blocks[starts[live] + done] & _MASKS[np.minimum(left, 8)]
         with np.errstate(over="ignore"):
-            while len(have) < n:
-                have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _powers[base] = have if len(have) <= 1 << 21 else np.ones(1, np.uint64)
-    return have[:n]
+            out[live] = mix64((out[live] ^ block) * np.uint64(0x5851F42D4C957F2D) + np.uint64(0x14057B7EF767814F))
+        live = live[left > 8]
+        if not len(live):
+            return out
+    for i in live.tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(body[starts[i] + BLOCK_BYTES : ends[i]].tobytes(), int(out[i])))
+    return out
 
 
 def words_of(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,16 +177,7 @@ def words_of(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tupl
     after[:-1] = word[1:]
     after[cuts[(cuts > 0)] - 1] = False
     ends = np.flatnonzero(word & ~after) + 1
-    codes = _BYTE_CODES
-    if lower:
-        codes = codes.copy()
-        codes[65:91] = codes[97:123]
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(body) + 1, np.uint64)
-        np.cumsum(codes[body] * _powers_of(_BASE, len(body)), out=total[1:])
-        hashes = (total[ends] - total[starts]) * _powers_of(_BASE_INVERSE, len(body))[starts]
-        hashes = mix64(hashes + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return hashes, starts, ends, np.searchsorted(starts, offsets, "left")
+    return hashes_of(_LOWER[body] if lower else body, starts, ends), starts, ends, np.searchsorted(starts, offsets, "left")
 
 
 def windows_of(hashes: np.ndarray, length: int) -> np.ndarray:

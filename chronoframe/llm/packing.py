@@ -2,9 +2,10 @@
 
 How pieces fit depends on their lengths alone, and there are at most `capacity` of these. So the plan is made on the
 driver from the number of pieces of each length, over *kinds* of bins: what lengths a bin holds, and how many such bins
-there are. Best-fit decreasing gives the first kinds; local search then moves pieces, swaps one for one and two for one
-from emptier to fuller bins, each step increasing the sum of squared fills, until bins empty, the lower bound is met or
-nothing improves. Steps act on as many bins of the two kinds as there are pairs of them.
+there are. At first each bin holds one piece. Local search then moves pieces, swaps one for one and two for one between
+underfull bins: the fullest gains what fits it best from emptier ones, so that the sum of squared fills grows, until bins
+empty, the lower bound is met or no step improves any two bins; no limit ends it earlier. A step acts on as many bins of
+the two kinds as there are pairs of them.
 
 A piece's rank among those of its length tells its bin and offset. Ranks are made from counts of salted groups, so no
 task sees all pieces of one length.
@@ -16,10 +17,8 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
-import os
 import zlib
-from array import array
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -27,100 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_bytes, words_of, written
+from .common import map_batches, text_bytes, written
+from .wordpieces import word_tokenizer
 
 CLOSING_ID = 0
-#: Words that a worker remembers at most.
-REMEMBERED = 300_000
-#: Effort of local search: its steps, and in each the emptiest and the fullest kinds it looks at. Bins that it doesn't
-#: come to stay packed as they are.
-MAX_STEPS, SOURCES, TARGETS = 2_000, 4, 64
-
-
-class WordTokenizer:
-    """A tokenizers file that drops white space and marks the ends of words, applied to a batch's distinct words.
-
-    White space ends every pre-token and is dropped, so the ids of a text are those of its words. Words are told apart
-    by 64-bit hashes, and the ids of words seen before are remembered.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[int, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word.
-
-        A word of letters is one pre-token, and its last id alone is that of a token that ends words; so many of these
-        are encoded as one text and told apart afterwards. Full stops and commas behind it are another pre-token.
-        """
-        ids: dict[str, bytes] = {}
-        cores = [w.rstrip(".,") for w in words]
-        letters = {w for w in cores if w.isalpha() and (w.isascii() or max(w) < "\u0100")}
-        plain = list(letters)
-        for at in range(0, len(plain), 1_000):
-            part = plain[at : at + 1_000]
-            own = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[own]) + 1)).tolist()
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary doesn't mark the ends of words")
-            body = own.tobytes()
-            ids |= zip(part, [body[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
-        tails = {w[len(c) :] for w, c in zip(words, cores, strict=True)} - {""}
-        others = [*tails, *{w for w, c in zip(words, cores, strict=True) if c not in letters}]
-        ids |= zip(others, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(others, add_special_tokens=False)), strict=True)
-        return [ids[w] if c not in letters else ids[c] if len(c) == len(w) else ids[c] + ids[w[len(c) :]] for w, c in zip(words, cores, strict=True)]
-
-    def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Each row's ids as little-endian unsigned 32-bit integers."""
-        # A-Z may be folded where no combining mark (U+0300 and on) and no special token can occur
-        fold = not (body >= 0xCC).any() and b"<|" not in body.tobytes()
-        hashes, starts, ends, first = words_of(body, offsets, fold)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        raw = body.tobytes()
-        for i, ids in zip(new, self._ids([raw[starts[at[i]] : ends[at[i]]].decode() for i in new]), strict=True):
-            self.known[keys[i]] = ids
-        parts = list(map(self.known.__getitem__, keys))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        begin = np.cumsum(size) - size
-        each = size[inverse]
-        done = np.append(0, np.cumsum(each))
-        ids = flat[np.repeat(begin[inverse] - done[:-1], each) + np.arange(done[-1])].tobytes()
-        cuts = (4 * done[first]).tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids) of every piece of every whole text."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for doc_id, body in zip(batch.column(0).to_pylist(), _tokenizer(vocabulary).encode_all(*text_bytes(batch.column(1))), strict=True):
-            body += CLOSING_ID.to_bytes(4, "little")
-            for piece, a in enumerate(range(0, len(body), 4 * capacity)):
-                part = body[a : a + 4 * capacity]
-                out.append((doc_id, piece, a // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if ids else [])))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
-        columns = zip(*out, strict=True) if out else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)], names)
+        body, at = word_tokenizer(vocabulary).encode_all(*text_bytes(batch.column(1)))
+        size = np.diff(at) + 1
+        every = np.insert(body, at[1:], CLOSING_ID)
+        n = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), n)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start, base = piece * capacity, (np.cumsum(size) - size)[row]
+        length = np.minimum(size[row] - start, capacity)
+        raw = memoryview(every.tobytes())
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((base + start).tolist(), (base + start + length).tolist(), strict=True)]
+        out = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        if ids:  # pieces follow one another without gaps
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(every.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), f, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
 
@@ -136,55 +65,6 @@ def _fill(kind: Kind) -> int:
     return sum(k * n for k, n in kind)
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> dict[Kind, int]:
-    """Kinds of bins and their numbers by best-fit decreasing."""
-    bins: list[list[tuple[Kind, int]]] = [[] for _ in range(capacity + 1)]  # by room left
-    for length in sorted(histogram, reverse=True):
-        left = histogram[length]
-        if not 0 < length <= capacity:
-            raise ValueError(f"a piece of {length} doesn't fit")
-        while left:
-            room = next((r for r in range(length, capacity) if bins[r]), capacity)
-            kind, have = bins[room].pop() if bins[room] else ((), -(-left // (capacity // length)))
-            each = min(room // length, left)
-            full = min(have, left // each)
-            left -= full * each
-            bins[room - each * length].append((kind + ((length, each),), full))
-            have -= full
-            if have and left and left < each:
-                bins[room - left * length].append((kind + ((length, left),), 1))
-                have, left = have - 1, 0
-            if have and kind:
-                bins[room].append((kind, have))
-    out: dict[Kind, int] = defaultdict(int)
-    for group in bins:
-        for kind, n in group:
-            out[_kind(dict(kind))] += n
-    return dict(out)
-
-
-def _step(a: Kind, b: Kind, room: int) -> tuple[list[int], list[int]] | None:
-    """What bin `a` gives and takes so that bin `b`, with `room` left, gains most: a move, one or two for one; or None."""
-    best, most = None, 0
-    mine, theirs = [k for k, _ in a], [k for k, _ in b]
-    for x in mine:  # a move
-        if most < x <= room:
-            best, most = ([x], []), x
-    for x in mine:
-        for y in theirs:
-            if most < x - y <= room:
-                best, most = ([x], [y]), x - y
-    if most == room:
-        return best
-    pairs = [(x, z) for i, (x, n) in enumerate(a) for z in ([x] if n > 1 else []) + [k for k, _ in a[i + 1 :]]]
-    sums = {x + z: [x, z] for x, z in pairs}
-    for total, pair in sums.items():
-        for y in theirs:
-            if most < total - y <= room:
-                best, most = (pair, [y]), total - y
-    return best
-
-
 def _changed(kind: Kind, gives: list[int], takes: list[int]) -> Kind:
     counts = defaultdict(int, dict(kind))
     for x in gives:
@@ -194,42 +74,138 @@ def _changed(kind: Kind, gives: list[int], takes: list[int]) -> Kind:
     return _kind(counts)
 
 
-def local_search(bins: dict[Kind, int], capacity: int, max_steps: int = MAX_STEPS) -> dict[Kind, int]:
-    """Fewer bins, or as many: pieces go from emptier to fuller bins while the sum of squared fills grows."""
-    bins = dict(bins)
-    bound = -(-sum(_fill(k) * n for k, n in bins.items()) // capacity)
-    for _ in range(max_steps):
-        if sum(bins.values()) <= bound:
-            break
-        under = sorted((k for k in bins if _fill(k) < capacity), key=lambda k: (_fill(k), k))
-        found = None
-        for i, a in enumerate(under[:SOURCES]):
-            for b in reversed(under[max(i, len(under) - TARGETS) :]):
-                if a == b and bins[a] < 2:
-                    continue
-                if step := _step(a, b, capacity - _fill(b)):
-                    found = (a, b, *step)
+def first_bins(histogram: dict[int, int], capacity: int) -> dict[Kind, int]:
+    """Kinds of bins and their numbers with one piece in each bin; local search does the packing."""
+    if any(not 0 < length <= capacity for length in histogram):
+        raise ValueError(f"pieces must have 1 to {capacity} tokens")
+    return {((length, 1),): n for length, n in histogram.items() if n}
+
+
+class _Holders:
+    """For each size, the kinds that can give it and have room, in order of their room."""
+
+    def __init__(self, most: int) -> None:
+        self.kinds: list[list[tuple[int, Kind]]] = [[] for _ in range(most + 1)]
+        self.room = np.full(most + 1, -1, np.int64)  # of the roomiest
+
+    def add(self, size: int, room: int, kind: Kind) -> None:
+        insort(self.kinds[size], (room, kind))
+        self.room[size] = self.kinds[size][-1][0]
+
+    def remove(self, size: int, room: int, kind: Kind) -> None:
+        own = self.kinds[size]
+        del own[bisect_left(own, (room, kind))]
+        self.room[size] = own[-1][0] if own else -1
+
+    def largest(self, upto: int, b: Kind, room: int, alone: bool) -> tuple[int, Kind] | None:
+        """The largest size up to `upto` that a bin at most as full as `b` can give, and the emptiest such kind."""
+        sizes = np.flatnonzero(self.room[: max(0, upto) + 1] >= room)
+        for size in sizes[::-1].tolist():
+            for have, kind in reversed(self.kinds[size]):
+                if have < room:
                     break
-            if found:
+                if kind != b or not alone:
+                    return size, kind
+        return None
+
+
+def _pairs(kind: Kind) -> dict[int, tuple[int, int]]:
+    """Sums of two pieces of a bin, and which two."""
+    return {x + z: (x, z) for i, (x, n) in enumerate(kind) for z in [x] * (n > 1) + [k for k, _ in kind[i + 1 :]]}
+
+
+class _Search:
+    """Bins by kind; underfull kinds in order of their room, and by what they can give."""
+
+    def __init__(self, bins: dict[Kind, int], capacity: int) -> None:
+        self.capacity = capacity
+        self.bins: dict[Kind, int] = {}
+        self.underfull: list[tuple[int, Kind]] = []  # (room, kind), the fullest first
+        self.ones, self.twos = _Holders(capacity), _Holders(2 * capacity)
+        for kind, n in bins.items():
+            self.add(kind, n)
+
+    def add(self, kind: Kind, n: int) -> None:
+        have = self.bins.get(kind, 0)
+        self.bins[kind] = have + n
+        room = self.capacity - _fill(kind)
+        if not have and room:
+            insort(self.underfull, (room, kind))
+            for x, _ in kind:
+                self.ones.add(x, room, kind)
+            for s in _pairs(kind):
+                self.twos.add(s, room, kind)
+
+    def remove(self, kind: Kind, n: int) -> None:
+        self.bins[kind] -= n
+        if self.bins[kind]:
+            return
+        del self.bins[kind]
+        room = self.capacity - _fill(kind)
+        if room:
+            del self.underfull[bisect_left(self.underfull, (room, kind))]
+            for x, _ in kind:
+                self.ones.remove(x, room, kind)
+            for s in _pairs(kind):
+                self.twos.remove(s, room, kind)
+
+    def step(self, b: Kind) -> tuple[Kind, list[int], list[int]] | None:
+        """A bin at most as full as `b`, what it gives and what it takes, so that `b` gains most; or None."""
+        room, alone = self.capacity - _fill(b), self.bins[b] == 1
+        best, most = None, 0
+        if found := self.ones.largest(room, b, room, alone):  # a move
+            best, most = (found[1], [found[0]], []), found[0]
+        for holders in (self.ones, self.twos):  # one for one, two for one
+            for y, _ in b:
+                if most == room:
+                    return best
+                if (found := holders.largest(room + y, b, room, alone)) and found[0] - y > most:
+                    size, a = found
+                    best, most = (a, [size] if holders is self.ones else list(_pairs(a)[size]), [y]), size - y
+        return best
+
+
+def local_search(bins: dict[Kind, int], capacity: int, counts: dict[str, int] | None = None) -> dict[Kind, int]:
+    """Fewer bins, or as many: the fullest underfull bin gains from emptier ones while the sum of squared fills grows.
+
+    Ends where bins meet the lower bound, or no move, one for one or two for one improves any two bins. Every step adds
+    at least 2 to that sum, so it does end. counts: how many steps of each sort were taken.
+    """
+    at = _Search(bins, capacity)
+    bound, left = -(-sum(_fill(k) * n for k, n in bins.items()) // capacity), sum(bins.values())
+    looked, improved = 0, False  # fullest underfull kinds without a step, and whether any step was made since the first
+    while left > bound:
+        if looked >= len(at.underfull):
+            if not improved:
                 break
+            looked, improved = 0, False
+            continue
+        b = at.underfull[looked][1]
+        found = at.step(b)
         if not found:
-            break
-        a, b, gives, takes = found
-        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        for old, new in ((a, _changed(a, gives, takes)), (b, _changed(b, takes, gives))):
-            bins[old] -= times
-            if not bins[old]:
-                del bins[old]
-            if new:
-                bins[new] = bins.get(new, 0) + times
-    return bins
+            looked += 1
+            continue
+        a, gives, takes = found
+        if counts is not None:
+            counts[f"{len(gives)}:{len(takes)}"] = counts.get(f"{len(gives)}:{len(takes)}", 0) + 1
+        improved = improved or looked > 0
+        times = at.bins[a] // 2 if a == b else min(at.bins[a], at.bins[b])
+        new_a, new_b = _changed(a, gives, takes), _changed(b, takes, gives)
+        at.remove(a, times)
+        at.remove(b, times)
+        if new_a:
+            at.add(new_a, times)
+        else:
+            left -= times
+        at.add(new_b, times)
+    return at.bins
 
 
 class Plan:
     """Where the pieces of each length go, by rank: arrays to look ranks up in."""
 
     def __init__(self, histogram: dict[int, int], capacity: int) -> None:
-        bins = local_search(best_fit(histogram, capacity), capacity)
+        bins = local_search(first_bins(histogram, capacity), capacity)
         self.bins = sum(bins.values())
         used: dict[int, int] = defaultdict(int)
         rows, first = [], 0
