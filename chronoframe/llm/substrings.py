@@ -1,14 +1,17 @@
 """Repeated passages by level-wise doubling: windows repeated at one length alone are extended to twice that length.
 
-Level 1 has windows of half the wanted length. A window of full length is reached from its minimizer, the half-length
-window within it with the least hash (leftmost of equals): equal passages have equal minimizers, so only minimizers are
-counted over the corpus, and a full window survives if its minimizer occurs again. Level 2 hashes the survivors at full
-length; a window is a repeat if its hash starts earlier, by (doc_id, position). With these the wanted length is reached
-and no candidates are left to extend.
+For windows of 20 words the levels are 5, 10 and 20 words (`levels`). A candidate is the start of a full window. At a
+lower level it is stood for by its minimizer, the window of the level's length within it with the least hash (leftmost of
+equals): equal passages have equal minimizers, so only minimizers are counted over the corpus, and candidates survive
+whose minimizer occurs again. All starts are candidates at the first level, the survivors of one level at the next. The
+last level hashes survivors at full length; a window is a repeat if its hash starts earlier, by (doc_id, position). With
+these the wanted length is reached and no candidates are left to extend.
 
-Both levels travel as packed arrays, dealt out by minimizer hash. Within a batch of documents only the first occurrence
-of a hash travels there; what a batch knows to be repeated is spread evenly instead. So one passage in a third of all
-documents costs its bucket a row a batch.
+All levels travel as packed arrays, dealt out by hash to a number of buckets that grows with the corpus, so that a bucket
+stays small. Within a batch of documents only the first occurrence of a hash travels there; what a batch knows to be
+repeated is spread evenly instead. So one passage in a third of all documents costs its bucket a row a batch.
+
+Windows are told apart by 64-bit hashes of hashes of words, not by the words themselves.
 
 Defined results: null, empty and short texts have no windows; overlapping windows of one document count (the earlier
 start is the original); ids must be unique, rows with null ids are left out; extra columns are ignored; an empty table
@@ -18,6 +21,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
@@ -81,32 +85,61 @@ def _runs(*ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def levels(length: int, least: int = 5) -> list[int]:
+    """Window lengths by doubling up to `length`, the first of about `least` words."""
+    out = [length]
+    while out[0] >= 2 * least or len(out) == 1:
+        out.insert(0, max(1, -(-out[0] // 2)))
+    return out
+
+
+def n_buckets(total: int) -> int:
+    """Buckets for a corpus of `total` bytes: one for 16 MB, from 64 GB of text on ever larger ones up to 128 MB."""
+    return max(8, min(-(-total // (16 << 20)), 4_096), -(-total // (128 << 20)))
+
+
+def _expanded(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of runs of n from p on, and which run each is in."""
+    of = np.repeat(np.arange(len(p)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + p[of], of
+
+
 def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     """(doc_id, starts array<int>, counts array<int>): runs of `counts` windows from `starts` on that occur earlier."""
     if length < 2:
         raise ValueError("length must be 2 or more")
-    half, span = length // 2, length - length // 2 + 1
-    buckets = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-
-    def level1(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = batch.column(0).to_numpy()
-        hashes, _, _, first = words_of(*text_bytes(batch.column(1)))
-        starts, rows = _valid_starts(first, length)
-        if not len(starts):
-            return None
-        small = windows_of(hashes, half)
-        at = _minimizers(small, span)[starts]
-        run = _runs(rows, at)
-        size = np.diff(np.append(run, len(starts)))
-        key = small[at[run]]
-        _, where, counts = np.unique(key, return_inverse=True, return_counts=True)
-        again, leads = counts[where] > 1, _first_of(key)
-        bucket = np.where(leads, key % np.uint64(buckets), np.arange(len(key), dtype=np.uint64) % np.uint64(buckets))
-        # 0: the hash's only occurrence here, 1: its first of several here, 2: a later one, known to be a repeat
-        state = np.where(again, np.where(leads, 1, 2), 0).astype(np.uint8)
-        row = rows[run]
-        return _packed(bucket, {"h": key, "doc": ids[row], "p": (starts[run] - first[row]).astype(np.int32), "n": size.astype(np.int32), "state": state})
+    buckets = n_buckets(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    *lower, _ = levels(length)
+    half, span = lower[-1], length - lower[-1] + 1
+
+    def level(size: int) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            ids = batch.column(0).to_numpy()
+            hashes, _, _, first = words_of(*text_bytes(batch.column(1)))
+            if batch.num_columns == 2:
+                starts, rows = _valid_starts(first, length)
+            else:
+                row = np.repeat(np.arange(len(ids)), np.diff(batch.column(2).offsets.to_numpy()))
+                starts, of = _expanded(*(batch.column(c).flatten().to_numpy() for c in (2, 3)))
+                rows = row[of]
+                starts = starts + first[rows]
+            if not len(starts):
+                return None
+            small = windows_of(hashes, size)
+            at = _minimizers(small, length - size + 1)[starts]
+            run = _runs(rows, at, starts - np.arange(len(starts)))
+            n = np.diff(np.append(run, len(starts)))
+            key = small[at[run]]
+            _, where, counts = np.unique(key, return_inverse=True, return_counts=True)
+            again, leads = counts[where] > 1, _first_of(key)
+            bucket = np.where(leads, key % np.uint64(buckets), np.arange(len(key), dtype=np.uint64) % np.uint64(buckets))
+            # 0: the hash's only occurrence here, 1: its first of several here, 2: a later one, known to be a repeat
+            state = np.where(again, np.where(leads, 1, 2), 0).astype(np.uint8)
+            row = rows[run]
+            return _packed(bucket, {"h": key, "doc": ids[row], "p": (starts[run] - first[row]).astype(np.int32), "n": n.astype(np.int32), "state": state})
+
+        return f
 
     def survivors(group: pa.Table) -> pa.Table:
         h, doc, p, n, state = (_whole(group.column(k), t) for k, t in (("h", np.uint64), ("doc", np.int64), ("p", np.int32), ("n", np.int32), ("state", np.uint8)))
@@ -116,20 +149,23 @@ def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
         keep[here] |= counts[where] > 1
         return pa.table({"doc_id": doc[keep], "p": p[keep], "n": n[keep]})
 
-    found = map_batches(texts, level1, "bucket int, h binary, doc binary, p binary, n binary, state binary")
-    candidates = found.groupBy("bucket").applyInArrow(survivors, "doc_id bigint, p int, n int")
-    by_doc = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("runs")).select("doc_id", "runs.p", "runs.n")
+    by_doc, source = None, texts
+    for size in lower:
+        found = map_batches(source, level(size), "bucket int, h binary, doc binary, p binary, n binary, state binary")
+        candidates = found.groupBy("bucket").applyInArrow(survivors, "doc_id bigint, p int, n int")
+        by_doc = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("runs")).select("doc_id", "runs.p", "runs.n")
+        source = texts.join(by_doc, "doc_id").select("doc_id", "text", "p", "n")
 
-    def level2(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def full_length(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column(0).to_numpy()
         hashes, _, _, first = words_of(*text_bytes(batch.column(1)))
         p, n = batch.column(2), batch.column(3)
         row = np.repeat(np.arange(len(ids)), np.diff(p.offsets.to_numpy()))
         p, n = p.flatten().to_numpy(), n.flatten().to_numpy()
         start = first[row] + p
-        key = windows_of(hashes, half)[_minimizers(windows_of(hashes, half), span)[start]] if len(start) else np.zeros(0, np.uint64)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        of = np.repeat(np.arange(len(p)), n)
+        small = windows_of(hashes, half)
+        key = small[_minimizers(small, span)[start]] if len(start) else np.zeros(0, np.uint64)
+        step, of = _expanded(np.zeros_like(p), n)
         full = windows_of(hashes, length)[start[of] + step]
         order = np.lexsort((p[of] + step, ids[row[of]]))
         of, step, full = of[order], step[order], full[order]
@@ -152,8 +188,8 @@ def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
         known = lead == 0
         kd, kp, kn = doc[known], p[known], n[known]
         doc, p, n = doc[~known], p[~known], n[~known]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        d, at = np.repeat(doc, n), np.repeat(p, n) + step
+        at, of = _expanded(p, n)
+        d = doc[of]
         order = np.lexsort((at, d, h))
         again = np.zeros(len(h), bool)
         again[order[1:]] = h[order[1:]] == h[order[:-1]]
@@ -164,7 +200,7 @@ def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
         size = np.diff(np.append(run, len(at)))
         return pa.table({"doc_id": np.concatenate([kd, d[run]]), "p": np.concatenate([kp, at[run]]).astype(np.int32), "n": np.concatenate([kn, size]).astype(np.int32)})
 
-    extended = map_batches(texts.join(by_doc, "doc_id").select("doc_id", "text", "p", "n"), level2, "bucket int, doc binary, p binary, n binary, lead binary, h binary")
+    extended = map_batches(source, full_length, "bucket int, doc binary, p binary, n binary, lead binary, h binary")
     repeated = extended.groupBy("bucket").applyInArrow(later, "doc_id bigint, p int, n int")
     return repeated.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("runs")).select("doc_id", F.col("runs.p").alias("starts"), F.col("runs.n").alias("counts"))
 
