@@ -1,109 +1,186 @@
 """Nearest neighbours by randomly rotated one-bit codes (after Gao and Long, "RaBitQ", 2024).
 
-Unit vectors are taken to `bits` dimensions by a random matrix with orthonormal columns; a vector's code is the signs
-there, packed, with one correction scalar: the inner product of the vector with its code. A query's inner product with
-a code, over that scalar, estimates the cosine, and the scalar bounds the error. In each block of codes, a query keeps
-the vectors whose upper bound reaches the k-th best lower bound; these are reranked on the original vectors in double
-precision. Blocks of queries meet blocks of codes, so nothing that grows is broadcast.
-
-Of equal vectors only the k + 1 with the smallest ids can be among a query's k nearest, so only these are indexed.
-
-Defined results: vectors that are null, zero, not finite somewhere, or shorter than the longest take no part, as queries
-or candidates; ties go to the smaller id; fewer candidates than k give fewer rows; ids must be unique; extra columns are
-ignored; an empty table gives an empty result.
+Index: vectors go to the nearest of a few centres. What is left of a unit vector beyond its centre is rotated at random
+and coded by its signs, one bit a dimension (padded to whole words), with correction scalars: the length of the rest, its
+product with the centre, and its product with its own code. Estimate: a query's rest beyond the same centre is rotated
+and cut to `PLANES` bits, so that its product with a code comes from packed bits by counting those they share; over the
+correction scalar it estimates the inner product, and the same scalar bounds the error.
+
+1. Each query asks its nearest cells; the best by estimate are reranked on the original vectors in double precision. The
+   k-th best score so far is a floor that the query's neighbours must reach.
+2. Each query asks every cell whose hyperplanes lie near enough for a vector at the floor. Vectors whose upper bound
+   reaches the floor are reranked. Ranks come from both rounds.
+
+Cells are split into blocks of codes and their queries into blocks of queries, so no task sees a whole hot cell; codes,
+not vectors, meet queries. Of equal vectors only the k + 1 with the smallest ids can be among a query's k nearest, so only
+these are indexed. Centres are fitted to at most `SAMPLE` vectors, and there is one for every `CELL` vectors, at most one
+for every 16 of the sample.
+
+Recall: a neighbour is lost where its estimate falls short by more than `DEVIATIONS` standard errors (0.6 % of cases at
+2.5) or where it lies beyond a hyperplane `REACH` deviations away in a random direction (0.1 % at 3).
+
+Defined results: vectors that are null, zero, not finite somewhere, or shorter than the longest of rows and queries take
+no part, as queries or candidates; ties go to the smaller id; fewer candidates than k give fewer rows; ids must be unique;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, map_batches, written
-from .vectors import matrix, taking_part, unit
+from .common import drawn, map_batches, written
+from .embeddings import cell_distances, codebook
+from .vectors import length_of, matrix, taking_part, unit
+
+#: Vectors that centres are fitted to, vectors a cell, cells that round 1 asks, candidates that it takes a cell's block.
+SAMPLE, CELL, FIRST_CELLS, FIRST = 8_192, 4_096, 2, 32
+#: Bits of a query's components; standard errors that bounds allow for, and deviations that cells may be away.
+PLANES, DEVIATIONS, REACH = 4, 2.5, 3.0
+#: Vectors in a block of codes and in a block of queries.
+CODES, QUERIES = 65_536, 4_096
+
+
+def rotation(dims: int, seed: int = 5) -> np.ndarray:
+    """Whole words of bits x dims, with orthonormal columns."""
+    wide = 64 * max(1, -(-dims // 64))
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(wide, dims)))[0]
+
+
+def codes(rest: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs (64-bit words) of rotated rests, and for each its factor, error and product with its centre.
 
-#: Code length; deviations that an error bound allows for; vectors in a block of codes and in a block of queries.
-BITS, DEVIATIONS, CODES, QUERIES = 1024, 2.0, 65_536, 2_048
+    A query's product with the vector is its product with the centre, plus the last scalar, plus the factor times the
+    sum of the query's rotated rest over the code's signs; it is off by the error times the length of that rest.
+    """
+    y = rest @ turn.T
+    wide, length = y.shape[1], np.linalg.norm(y, axis=1)
+    own = np.abs(y).sum(axis=1) / math.sqrt(wide) / np.where(length > 0, length, 1)  # the code's product with the unit rest
+    own = np.where(length > 0, own, 1)
+    factor = length / (own * math.sqrt(wide))
+    error = length * np.sqrt(np.maximum(1 - own**2, 0)) / own / math.sqrt(max(wide - 1, 1))
+    return np.packbits(y > 0, axis=1, bitorder="little").view("<u8"), np.stack([factor, error, (rest * centre).sum(axis=1)], axis=1).astype(np.float32)
 
 
-def rotation(dims: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
-    """bits x dims with orthonormal columns (bits is raised to dims where less)."""
-    wide = -(-max(bits, dims) // 8) * 8
-    return np.linalg.qr(np.random.default_rng(seed).normal(size=(wide, dims)))[0].astype(np.float32)
+def planes(rest: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bit planes (query, plane, word) of rotated rests, and for each its least value, step and sum."""
+    y = rest @ turn.T
+    low = y.min(axis=1)
+    step = np.maximum((y.max(axis=1) - low) / (2**PLANES - 1), 1e-12)
+    cut = np.rint((y - low[:, None]) / step[:, None]).astype(np.uint8)
+    bits = [np.packbits(cut >> j & 1, axis=1, bitorder="little").view("<u8") for j in range(PLANES)]
+    return np.stack(bits, axis=1), low, step, low * y.shape[1] + step * cut.sum(axis=1)
 
 
-def codes(rows: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed signs and correction scalars of unit vectors."""
-    y = rows.astype(np.float32) @ turn.T
-    return np.packbits(y > 0, axis=1), np.abs(y).sum(axis=1) / np.sqrt(np.float32(y.shape[1]))
+def estimates(queries: np.ndarray, centre: np.ndarray, packed: np.ndarray, scalars: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines of unit queries (rows) with codes of one cell (columns), and their standard errors."""
+    rest = queries - centre
+    bits, low, step, total = planes(rest, turn)
+    shared = np.zeros((len(queries), len(packed)), np.float32)
+    for j in range(PLANES):
+        for w in range(packed.shape[1]):
+            shared += np.bitwise_count(bits[:, j, w, None] & packed[None, :, w]) * np.float32(1 << j)
+    ones = np.bitwise_count(packed).sum(axis=1).astype(np.float32)
+    signed = 2 * (low[:, None] * ones + step[:, None] * shared) - total[:, None]
+    about = (queries @ centre)[:, None] + scalars[:, 2] + scalars[:, 0] * signed
+    return about, np.linalg.norm(rest, axis=1)[:, None] * scalars[:, 1]
 
 
-def bounds(queries: np.ndarray, packed: np.ndarray, scalars: np.ndarray, turn: np.ndarray, deviations: float = DEVIATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines of queries (rows) with codes (columns), and how far these may be off (columns)."""
-    wide = turn.shape[0]
-    signs = np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
-    about = (queries.astype(np.float32) @ turn.T) @ signs.T / (np.sqrt(np.float32(wide)) * scalars)
-    return about, deviations * np.sqrt(np.maximum(1 - scalars**2, 0)) / scalars / np.sqrt(wide - 1)
+def _words(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(n, -1)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `df` with the largest cosine for each row of `queries`, itself excepted."""
-    own = taking_part(df, id_col, vector_col)
-    asked = taking_part(queries, id_col, vector_col)
-    n, dims = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    turn = rotation(dims or 1, bits)
+    dims = max(length_of(df, vector_col), length_of(queries, vector_col))
+    own, asked = (taking_part(x, id_col, vector_col, dims=dims) for x in (df, queries))
+    turn = rotation(dims)
     same = Window.partitionBy("v").orderBy("id")
     index = written(own.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "index")
-    blocks = max(1, -(-n // QUERIES))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, CODES * 8 * ((dims or 1) + 1)):
-            packed, scalars = codes(unit(matrix(batch.column(1))), turn)
-            yield pa.RecordBatch.from_pydict({"ids": [batch.column(0).to_numpy().tobytes()], "packed": [packed.tobytes()], "scalars": [scalars.tobytes()]})
-
-    def together(group: pa.Table) -> pa.Table:
-        rows = matrix(group.column("v"))
-        return pa.table({"block": group.column("block").slice(0, 1), "qids": [group.column("id").to_numpy().tobytes()], "qs": [unit(rows).astype(np.float32).tobytes()]})
-
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out_q, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for ids, packed, scalars, qids, qs in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-            ids, qids, scalars = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64), np.frombuffer(scalars, np.float32)
-            packed, qs = np.frombuffer(packed, np.uint8).reshape(len(ids), -1), np.frombuffer(qs, np.float32).reshape(len(qids), -1)
-            for a in range(0, len(qids), 256):
-                best: np.ndarray | None = None
-                parts = []
-                for b in range(0, len(ids), 8192):
-                    about, off = bounds(qs[a : a + 256], packed[b : b + 8192], scalars[b : b + 8192], turn)
-                    about[qids[a : a + 256, None] == ids[None, b : b + 8192]] = -np.inf
-                    low = about - off
-                    low = np.partition(low, -k, axis=1)[:, -k:] if low.shape[1] > k else low
-                    best = low if best is None else np.concatenate([best, low], axis=1)
-                    best = np.partition(best, -k, axis=1)[:, -k:] if best.shape[1] > k else best
-                    least = best.min(axis=1) if best.shape[1] == k else np.full(len(best), -np.inf)
-                    q, v = np.nonzero((about + off >= least[:, None]) & np.isfinite(about))
-                    parts.append((q, v + b, (about + off)[q, v]))
-                least = best.min(axis=1) if best.shape[1] == k else np.full(len(best), -np.inf)
-                q, v, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-                keep = high >= least[q]
-                out_q.append(qids[a + q[keep]])
-                out_v.append(ids[v[keep]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v))], ["query_id", "vec_id"])
-
-    coded = index.mapInArrow(encode, "ids binary, packed binary, scalars binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grouped = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(together, "block int, qids binary, qs binary")
-    met = coded.join(grouped, "block").select("ids", "packed", "scalars", "qids", "qs")
-    chosen = map_batches(met, near, "query_id bigint, vec_id bigint", 64 << 20)
-    both = chosen.join(asked.toDF("query_id", "q"), "query_id").join(index.toDF("vec_id", "v"), "vec_id").select("query_id", "vec_id", "q", "v")
+    total = index.count()
+    some = drawn(index, "id", SAMPLE, total).select("v").toPandas()["v"]  # `SAMPLE` rows at most
+    rows = unit(np.array(some.tolist(), np.float64)) if len(some) else np.ones((1, max(dims, 1)))
+    centres = codebook(rows, int(np.clip(-(-total // cell), 1, max(1, len(rows) // 16))))
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = unit(matrix(batch.column(1)))
+        at = (np.square(centres).sum(axis=1) - 2 * v @ centres.T).argmin(axis=1)
+        packed, scalars = codes(v - centres[at], centres[at], turn)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), *(pa.array(x) for x in scalars.T)], ["id", "cell", "code", "factor", "error", "product"])
+
+    coded = written(map_batches(index, place, "id bigint, cell int, code binary, factor float, error float, product float"), "codes")
+    sizes = written(coded.groupBy("cell").agg(F.ceil(F.count("*") / CODES).alias("xs")), "sizes")  # a row a centre
+
+    def visits(floors: DataFrame) -> DataFrame:
+        """(id, v, floor, cell): the cells that queries ask, the nearest ones where there is no floor yet."""
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            v, floor = unit(matrix(batch.column(1))), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            away = cell_distances(v, centres)[1]
+            most = 2 * (1 - floor) / max(dims, 1) * REACH**2
+            first = np.argsort(away, axis=1, kind="stable")[:, :FIRST_CELLS]
+            near = away <= np.where(np.isnan(most), -1, most)[:, None]
+            near[np.isnan(floor)[:, None] & (np.arange(len(centres)) == first[:, :1])] = True
+            for j in range(1, first.shape[1]):
+                near[np.isnan(floor), first[np.isnan(floor), j]] = True
+            near |= np.isneginf(floor)[:, None]
+            q, c = np.nonzero(near)
+            return pa.RecordBatch.from_arrays([*(x.take(pa.array(q)) for x in batch.columns), pa.array(c, pa.int32())], ["id", "v", "floor", "cell"])
+
+        return map_batches(floors, f, f"id bigint, v {asked.schema['v'].dataType.simpleString()}, floor double, cell int")
+
+    def candidates(floors: DataFrame) -> DataFrame:
+        """(query_id, vec_id): the best by estimate of each block where there is no floor yet, else all that may reach it."""
+        of = visits(floors)
+        asks = of.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("ys")).join(sizes, "cell")
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        salt = F.xxhash64("id")
+        left = coded.join(asks, "cell").withColumn("x", F.pmod(salt, "xs")).withColumn("y", upto("ys"))
+        right = of.join(asks, "cell").withColumn("y", F.pmod(salt, "ys")).withColumn("x", upto("xs"))
+
+        def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+            out_q, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            if len(one) and len(two):
+                ids, qids, floor = one.column("id").to_numpy(), two.column("id").to_numpy(), two.column("floor").to_numpy()
+                centre, packed = centres[one.column("cell")[0].as_py()], _words(one.column("code"), len(one))
+                scalars = np.stack([one.column(c).to_numpy() for c in ("factor", "error", "product")], axis=1)
+                qs = unit(matrix(two.column("v")))
+                for a in range(0, len(qids), 128):
+                    for b in range(0, len(ids), 8_192):
+                        about, error = estimates(qs[a : a + 128], centre, packed[b : b + 8_192], scalars[b : b + 8_192], turn)
+                        about[qids[a : a + 128, None] == ids[None, b : b + 8_192]] = -np.inf
+                        most, new = floor[a : a + 128], np.isnan(floor[a : a + 128])
+                        if new.any():
+                            least = -np.partition(-about[new], min(FIRST, about.shape[1]) - 1, axis=1)[:, min(FIRST, about.shape[1]) - 1]
+                            most = most.copy()
+                            most[new] = least
+                            error = np.where(new[:, None], 0, error)
+                        q, v = np.nonzero((about + DEVIATIONS * error >= most[:, None]) & np.isfinite(about))
+                        out_q.append(qids[a + q])
+                        out_v.append(ids[b + v])
+            return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v)})
+
+        keys = ["cell", "x", "y"]
+        left, right = left.select(*keys, "id", "code", "factor", "error", "product"), right.select(*keys, "id", "v", "floor")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint")
 
     def rerank(batch: pa.RecordBatch) -> pa.RecordBatch:
         q, v = matrix(batch.column(2)), matrix(batch.column(3))
         score = (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score)], ["query_id", "vec_id", "score"])
 
-    exact = map_batches(both, rerank, "query_id bigint, vec_id bigint, score double")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(asked.toDF("query_id", "q"), "query_id").join(index.toDF("vec_id", "v"), "vec_id").select("query_id", "vec_id", "q", "v")
+        exact = map_batches(both, rerank, "query_id bigint, vec_id bigint, score double")
+        return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+    first = written(scored(candidates(asked.withColumn("floor", F.lit(None).cast("double")))), "first")
+    floors = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+    # a query with fewer than k candidates so far asks all cells
+    floors = asked.join(floors, asked["id"] == floors["query_id"], "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
+    pairs = candidates(floors).unionByName(first.select("query_id", "vec_id")).distinct()
+    return scored(pairs).select("query_id", F.col("rank"), "vec_id", "score")

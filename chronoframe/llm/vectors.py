@@ -26,8 +26,12 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else rows
 
 
-def taking_part(df: DataFrame, id_col: str, vector_col: str, *keep: Column) -> DataFrame:
-    """(id, v, ...) of usable vectors of the greatest length there is; shorter ones can't be compared."""
-    own = df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), *keep)
-    most = own.agg(F.max(F.size("v"))).first()[0] or 0
-    return own.where(F.size("v") == most)
+def length_of(df: DataFrame, vector_col: str) -> int:
+    """The greatest length of a usable vector; 0 without any."""
+    return df.where(usable(F.col(vector_col))).agg(F.max(F.size(vector_col))).first()[0] or 0
+
+
+def taking_part(df: DataFrame, id_col: str, vector_col: str, *keep: Column, dims: int | None = None) -> DataFrame:
+    """(id, v, ...) of usable vectors of `dims` components, by default the greatest length there is; others can't be compared."""
+    most = length_of(df, vector_col) if dims is None else dims
+    return df.where(usable(F.col(vector_col)) & (F.size(vector_col) == most)).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), *keep)

@@ -30,10 +30,13 @@ def usable(rows):
     return fine, m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("cell,codes", [(4096, 65_536), (20, 9)])
+def test_nearest(spark, cell, codes, monkeypatch):
+    monkeypatch.setattr(nearest, "CODES", codes)
+    monkeypatch.setattr(nearest, "QUERIES", codes)
     rows = vectors()
     df = clashing(spark.createDataFrame(rows, SCHEMA).drop("id")).repartition(3)
-    found = nearest.search(df, df.where(F.col("vec_id") % 50 == 0), k=5).collect()
+    found = nearest.search(df, df.where(F.col("vec_id") % 50 == 0), k=5, cell=cell).collect()
     fine, m = usable(rows)
     ids = np.array([i for i, *_ in fine])
     hits = total = 0
@@ -51,6 +54,53 @@ def test_nearest(spark):
     assert hits / total >= 0.95
 
 
+def recall(found, m, asked, k=5):
+    best = {int(q): {int(i) for i in np.argsort(-(m @ m[q]), kind="stable")[: k + 1] if i != q} for q in asked}
+    return np.mean([len(best[r] & {x.vec_id for x in found if x.query_id == r}) / k for r in best])
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "low rank"])
+def test_nearest_recall(spark, kind):
+    rng = np.random.default_rng(4)
+    n, dims = 20_000, 64
+    m = rng.normal(size=(n, dims))
+    if kind == "clustered":
+        m = rng.normal(size=(100, dims))[rng.integers(0, 100, n)] + 0.4 * m
+    if kind == "low rank":
+        m = m[:, :8] @ rng.normal(size=(8, dims))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], SCHEMA).repartition(4)
+    asked = range(0, n, 100)
+    found = nearest.search(df, df.where(F.col("vec_id") % 100 == 0), k=5, cell=1_000).collect()
+    assert len(found) == 5 * len(asked)
+    m = m.astype(np.float64)
+    assert all(abs(r.score - m[r.query_id] @ m[r.vec_id] / np.linalg.norm(m[r.query_id]) / np.linalg.norm(m[r.vec_id])) < 1e-12 for r in found)
+    assert recall(found, m / np.linalg.norm(m, axis=1, keepdims=True), asked) >= 0.95
+
+
+def test_nearest_bounds_hold():
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(3_000, 50))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    turn, centre = nearest.rotation(50), m[:200].mean(axis=0)
+    packed, scalars = nearest.codes(m - centre, centre, turn)
+    assert packed.shape == (3_000, 1) and turn.shape == (64, 50)  # one bit a padded dimension
+    about, error = nearest.estimates(m[:100], centre, packed, scalars, turn)
+    off = np.abs(about - m[:100] @ m.T) / error
+    assert np.mean(off > nearest.DEVIATIONS) < 0.03 and np.mean(off > 4) < 1e-3
+    # a vector at its centre is known exactly
+    packed, scalars = nearest.codes(np.zeros((1, 50)), centre, turn)
+    about, error = nearest.estimates(m[:5], centre, packed, scalars, turn)
+    assert np.allclose(about[:, 0], m[:5] @ centre, atol=1e-6) and not error.any()
+
+
+def test_nearest_with_shorter_queries(spark):
+    long = spark.createDataFrame([(i, [1.0, float(i), 2.0], 1) for i in range(1, 9)], SCHEMA)
+    short = spark.createDataFrame([(50, [1.0, 2.0], 1), (100, None, 1)], SCHEMA)
+    assert nearest.search(long, short).count() == 0 and nearest.search(short, long).count() == 0
+    assert nearest.search(long, long.where("vec_id = 3")).count() == 5
+
+
 def test_nearest_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, [1.0, 1.0], 1)], SCHEMA)
     found = [(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df, df, k=5).orderBy("query_id", "rank").collect()]
