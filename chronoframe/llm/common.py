@@ -215,7 +215,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round links every vertex to its smallest neighbour, first larger neighbours then smaller ones
     (Kiveris et al., 2014). Only per-vertex minima are grouped, so hubs are pre-aggregated; edges stay in tables.
-    Vertices without edges don't appear. Null ids and self links are ignored.
+    Vertices without edges don't appear. Null ids and self links are ignored. Minima are written before edges meet them,
+    so that AQE can split a hub's edges. The result is a written table.
     """
     now = written(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -224,9 +225,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "minima")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.distinct(), "edges")
@@ -237,4 +238,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+    return written(stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()), "components")

@@ -5,24 +5,29 @@ sketch has one register a bucket: the smallest hash that fell there, stored as a
 (Yu and Weber, "HyperMinHash", 2017). Runs of registers make bands; classes that share a band are candidates:
 
 1. every class against the smallest class of each of its bands; confirmed links join components;
-2. where one band still holds several components, pairs from different components of that band: by a join where the
-   band is small, else block against block of at most about `BLOCK` classes, whose tasks return links only.
+2. where one band still holds several components, pairs from different components of that band. Sizes of similar sets
+   differ by a bounded factor, so a band is cut into overlapping zones of sizes: small ones by a join, else block against
+   block of at most about `BLOCK` classes and `BLOCK_BYTES` of sets.
 
-Registers give a collision-corrected estimate of the similarity; a pair whose estimate is far below the threshold
-(`margin`, five standard errors) goes no further, any other is confirmed on the full sets. Few full registers make no
-estimate: a pair with fewer than `FEW` of them is confirmed at once. A pair inside one component can't change the
-result, so step 2 leaves it out: large groups of copies need no pairs of their own.
+Sets of up to `SMALL` shingles travel whole in their sketches' place, so pairs of these are decided at once. For others
+registers give a collision-corrected estimate of the similarity; a pair whose estimate falls short of the threshold by
+more than five standard errors, reckoned from the registers that are full, goes no further, any other is confirmed on
+the full sets. Blocks compare sketches only; texts go just to blocks' members that have a likely partner there. A pair
+inside one component can't change the result, so step 2 leaves it out: large groups of copies need no pairs of their own.
 
 With 48 bands of 4 registers a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**48 = 1.2e-8 if its
 sets fill the registers; sets of a few shingles fill few bands, and share none more often.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle make
-one shingle of all words; texts count whole; ids must be unique and not null; extra columns are ignored; an empty table
-gives an empty result.
+one shingle of all words; texts count whole; rows with null ids are left out; ids must be unique; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +40,10 @@ BUCKETS = BANDS * ROWS
 #: Bits of a register: a leading-zero count and a mantissa. Short documents leave most registers of a band empty, so
 #: the mantissa alone has to tell them apart.
 COUNT_BITS, MANTISSA_BITS = 6, 26
-#: Full registers of a pair from which on its estimate counts.
-FEW = 32
-#: Classes in a block of a large band.
-BLOCK = 1500
+#: Shingles up to which a set travels whole.
+SMALL = 64
+#: Classes in a block of a large band, and bytes of their sets, at most.
+BLOCK, BLOCK_BYTES = 1500, 24 << 20
 _EDGES = np.array([-(-i * (1 << 64) // BUCKETS) for i in range(BUCKETS)], np.uint64)
 
 
@@ -106,100 +111,146 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((agree - chance) / np.maximum(n - chance, 1e-9), 0, 1)
 
 
-def possible(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of rows of registers, and which pairs go on to confirmation: from `least` on, or with few registers."""
+def possible(a: np.ndarray, b: np.ndarray, share: float, deviations: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of rows of registers, and which pairs go on to confirmation: not `deviations` errors below `share`."""
     e = estimate(a, b)
-    return e, (e >= least) | (((a > 0) | (b > 0)).sum(axis=1) < FEW)
+    full = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    return e, e >= share - deviations * np.sqrt(share * (1 - share) / full)
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """A small set whole, a larger one's registers."""
+    return shingles.tobytes() if len(shingles) <= SMALL else sketch(shingles).tobytes()
+
+
+def registers(own: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(own, np.uint32) if n > SMALL else sketch(np.frombuffer(own, np.uint64))
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, registers): k1, k2 identify the set."""
+    """(doc_id, n_shingles, k1, k2, sig): k1, k2 identify the set."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*text_bytes(batch.column(1)), words)
         with np.errstate(over="ignore"):
             k1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             k2 = [int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-        regs = [sketch(s).tobytes() if len(s) else b"" for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "registers"])
+        sigs = list(map(signature, sets))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), f, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, registers binary")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), f, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
     """(key, id) for every band of every class."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for i, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = bands_of(np.frombuffer(r, np.uint32))
-            keys.append(own)
-            ids.append(np.full(len(own), i, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+        own = [bands_of(registers(x, n)) for x, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in own]))], ["key", "id"])
 
-    return map_batches(reps.select("id", "registers"), f, "key bigint, id bigint")
+    return map_batches(reps.select("id", "sig", "n_shingles"), f, "key bigint, id bigint")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate reaches `least`, or which have too few registers for one."""
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sure): links of two small sets, and other pairs whose estimate allows for a link."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BUCKETS) for c in (2, 3))
-        return batch.select([0, 1]).filter(pa.array(possible(x, y, least)[1]))
+        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        keep, sure = _near_sizes(na, nb, percent), (na <= SMALL) & (nb <= SMALL)
+        for i in np.flatnonzero(keep & sure):
+            keep[i] = similar(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), percent)
+        rest = np.flatnonzero(keep & ~sure)
+        if len(rest):
+            r, t = (np.stack([registers(z[i], n[i]) for i in rest]) for z, n in ((x, na), (y, nb)))
+            keep[rest] = possible(r, t, percent / 100)[1]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(keep))
 
-    regs = reps.select("id", "registers")
-    both = pairs.join(regs.toDF("a", "ra"), "a").join(regs.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
-    return map_batches(both, f, "a bigint, b bigint")
+    regs = reps.select("id", "n_shingles", "sig")
+    both = pairs.join(regs.toDF("a", "na", "xa"), "a").join(regs.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return map_batches(both, f, "a bigint, b bigint, sure boolean")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of the full sets; each text meets each pair once."""
+def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _confirmed(likely: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b): sure ones, and those with 100 * intersection >= percent * union of the full sets."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (shingle_sets(*text_bytes(batch.column(c)), words) for c in (2, 3))
         keep = [similar(s, t, percent) for s, t in zip(x, y, strict=True)]
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "likely")
+    likely = written(likely, "likely")
+    pairs = likely.where("NOT sure").select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return map_batches(both, f, "a bigint, b bigint")
+    return likely.where("sure").select("a", "b").unionByName(map_batches(both, f, "a bigint, b bigint"))
+
 
+def _blocks(members: DataFrame, *keep: str) -> DataFrame:
+    """Members (key, zone, id, ..., blocks) in each pair (x, y) of blocks that their own one (`own`) has part in."""
+    out = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return out.select("key", "zone", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", *keep)
 
-def _hot_links(hot: DataFrame, known: DataFrame, docs: DataFrame, words: int, percent: int, sure: float) -> DataFrame:
-    """Links (a, b) between components within large bands, found block against block; at most a tree for each two blocks.
 
-    hot: (key, id, c, blocks). A pair is handled in the first band that its sketches share, in descending order of its
-    estimate, unless what was confirmed before already joins its components.
+def _candidates(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a group: the later rows it has to be compared with here and the estimates, most likely first.
+
+    A pair is compared in the first band and in the zone of its larger set, between blocks x and y, if its components
+    differ.
+    """
+    key, zone, x, y = (group.column(k)[0].as_py() for k in ("key", "zone", "x", "y"))
+    ids, comp, own, size, place = (group.column(k).to_numpy() for k in ("id", "c", "own", "n_shingles", "place"))
+    regs = np.stack([registers(s, n) for s, n in zip(group.column("sig").to_pylist(), size.tolist(), strict=True)])
+    runs = regs.reshape(-1, BANDS, ROWS)
+    here = _band_index(regs[0], key)
+    right = np.flatnonzero(own == y)
+    for i in np.flatnonzero(own == x):
+        js = right[(comp[right] != comp[i]) & _near_sizes(size[right], size[i], percent) & (np.maximum(place[right], place[i]) == zone)]
+        js = js[ids[js] > ids[i]] if x == y else js
+        if not len(js):
+            continue
+        e, keep = possible(regs[i][None], regs[js], percent / 100)
+        js, e = js[keep], e[keep]
+        if here and len(js):
+            earlier = ((runs[js, :here] == runs[i, :here]).all(axis=2) & (runs[i, :here] > 0).any(axis=1)).any(axis=1)
+            js, e = js[~earlier], e[~earlier]
+        if len(js):
+            yield int(i), js, e
+
+
+def _hot_links(hot: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within large zones of bands; at most a tree for each two blocks.
+
+    hot: (key, zone, place, id, c, blocks, n_shingles, sig). First sketches alone are compared, which tells the members
+    with a likely partner; then these meet again with their texts, pairs in descending order of their estimates, unless
+    what was confirmed before already joins their components.
     """
-    block = hot.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    block = block.select("key", "id", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    regs = known.select(F.col("doc_id").alias("id"), "n_shingles", "registers").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    rows = block.join(regs, "id").select("key", "x", "y", "own", "id", "c", "n_shingles", "registers", "text")
-
-    def f(group: pa.Table) -> pa.Table:
-        key, x, y = (group.column(k)[0].as_py() for k in ("key", "x", "y"))
-        ids, comp, own, size = (group.column(k).to_numpy() for k in ("id", "c", "own", "n_shingles"))
-        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint32).reshape(-1, BUCKETS)
-        runs = regs.reshape(-1, BANDS, ROWS)
-        here = _band_index(regs[0], key)
-        right = np.flatnonzero(own == y)
-        found = []
-        for i in np.flatnonzero(own == x):
-            js = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
-            js = js[ids[js] > ids[i]] if x == y else js
-            if not len(js):
-                continue
-            e, keep = possible(regs[i][None], regs[js], sure)
-            js, e = js[keep], e[keep]
-            if here and len(js):
-                earlier = ((runs[js, :here] == runs[i, :here]).all(axis=2) & (runs[i, :here] > 0).any(axis=1)).any(axis=1)
-                js, e = js[~earlier], e[~earlier]
-            found += zip(e.tolist(), [int(i)] * len(js), js.tolist(), strict=True)
+    own = ["c", "place", "n_shingles", "sig"]
+    schema = "key bigint, zone int, x bigint, y bigint, own bigint, id bigint, c bigint, place int, n_shingles bigint, sig binary"
+
+    def likely(group: pa.Table) -> pa.Table:
+        seen = np.zeros(len(group), bool)
+        for i, js, _ in _candidates(group, percent):
+            seen[i] = True
+            seen[js] = True
+        return group.select([x.split()[0] for x in schema.split(", ")]).filter(pa.array(seen))
+
+    some = written(_blocks(hot, *own).groupBy("key", "zone", "x", "y").applyInArrow(likely, schema), "likely")
+    large = some.where(F.col("n_shingles") > SMALL).select("id").distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(large, "id", "left_semi")
+    rows = some.join(texts, "id", "left").select(*some.columns, "text")
+
+    def links(group: pa.Table) -> pa.Table:
+        ids, comp, size = (group.column(k).to_numpy() for k in ("id", "c", "n_shingles"))
+        found = [(float(e), i, int(j)) for i, js, es in _candidates(group, percent) for j, e in zip(js, es, strict=True)]
         top: dict[int, int] = {}
         sets: dict[int, np.ndarray] = {}
-        texts = group.column("text")
+        sigs, texts = group.column("sig"), group.column("text")
 
         def root(c: int) -> int:
             while top.get(c, c) != c:
@@ -208,18 +259,18 @@ def _hot_links(hot: DataFrame, known: DataFrame, docs: DataFrame, words: int, pe
 
         def of(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = shingle_sets(*text_bytes(texts.slice(i, 1)), words)[0]
+                sets[i] = np.frombuffer(sigs[i].as_py(), np.uint64) if size[i] <= SMALL else shingle_sets(*text_bytes(texts.slice(i, 1)), words)[0]
             return sets[i]
 
-        links = []
+        out = []
         for _, i, j in sorted(found, reverse=True):
             a, b = root(int(comp[i])), root(int(comp[j]))
             if a != b and similar(of(i), of(j), percent):
                 top[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return rows.groupBy("key", "x", "y").applyInArrow(f, "a bigint, b bigint")
+    return rows.groupBy("key", "zone", "x", "y").applyInArrow(links, "a bigint, b bigint")
 
 
 def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -232,34 +283,38 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(both) - common)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, margin: float | None = None, hot: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, hot: int = 48) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): see the module's text.
 
-    margin: how far an estimate may fall short; five standard errors of all registers if None.
-    hot: classes from which on a band is compared block against block rather than by a join.
+    hot: classes from which on a zone of a band is compared block against block rather than by a join.
     """
-    share = percent / 100
-    sure = share - (5 * (share * (1 - share) / BUCKETS) ** 0.5 if margin is None else margin)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     known = written(sketches(docs, words), "sketches")
     some = known.where("n_shingles > 0")
-    reps = written(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    by_id = known.select(F.col("doc_id").alias("id"), "registers")
-    bands = band_keys(by_id.join(reps.select("id"), "id", "left_semi"))
-    least = bands.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    shared = written(bands.join(least, "key").select("key", "id", "b", "n"), "bands")
+    classes = written(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
+    by_id = known.select(F.col("doc_id").alias("id"), "n_shingles", "sig")
+    reps = by_id.join(classes.select("id"), "id", "left_semi")
+    # grouped sides of joins are written, so that AQE can split a hot key on the other side
+    bands = written(band_keys(reps), "bands")
+    least = written(bands.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    shared = written(bands.join(least, "key").select("key", "id", "b"), "shared")
     stars = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = written(_confirmed(_likely(stars, by_id, sure), docs, words, percent), "links")
-    first = written(components(links), "components")
-    member = shared.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = written(member.join(mixed, "key", "left_semi"), "members")
-    cold = left.where(F.col("n") <= hot).select("key", "id", "c")
-    across = cold.toDF("key", "a", "ca").join(cold.toDF("key", "b", "cb"), "key").where("ca < cb").select("a", "b").distinct()
-    more = _confirmed(_likely(across, by_id, sure), docs, words, percent)
-    large = left.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    more = written(more.unionByName(_hot_links(large, known, docs, words, percent, sure)), "links")
-    classes = components(links.unionByName(more))
-    of_class = reps.join(classes, "id", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("c"))
+    links = written(_confirmed(_likely(stars, by_id, percent), docs, words, percent), "links")
+    first = components(links)
+    member = written(shared.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "members")
+    mixed = written(member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "mixed")
+    left = member.join(mixed, "key", "left_semi").join(known.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
+    # sets within the threshold's factor of each other have places that differ by 1 at most; a zone holds two places
+    place = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
+    zones = written(left.withColumn("place", place).withColumn("zone", F.explode(F.array("place", F.col("place") + 1))), "zones")
+    sizes = written(zones.groupBy("key", "zone").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n_shingles").alias("most")).where("c0 < c1").select("key", "zone", "n", "most"), "sizes")
+    zones = zones.join(sizes, ["key", "zone"])
+    cold = zones.where(F.col("n") <= hot).select("key", "zone", "id", "c", "n_shingles")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    across = cold.toDF("key", "zone", "a", "ca", "na").join(cold.toDF("key", "zone", "b", "cb", "nb"), ["key", "zone"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
+    more = _confirmed(_likely(across, by_id, percent), docs, words, percent)
+    large = zones.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most")))))).drop("n_shingles").join(by_id, "id")
+    more = written(more.unionByName(_hot_links(large, docs, words, percent)), "links")
+    of_class = classes.join(components(links.unionByName(more)), "id", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("c"))
     out = known.join(of_class, (known.k1 == of_class.k1) & (known.k2 == of_class.k2) & (known.n_shingles == of_class.n), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -100,18 +100,42 @@ def test_minhash_estimates():
     assert not minhash.similar(pool[:0], pool[:0], 75)
 
 
-def test_minhash_confirms_where_registers_are_few():
+def test_minhash_estimates_allow_for_few_registers():
     # 3 of 4 hashes in common, and all 3 in one register: 1 of 2 registers agrees
     a = np.arange(1, 4, dtype=np.uint64) << np.uint64(40)
     b = np.append(a, np.uint64(1 << 63))
     x, y = minhash.sketch(a)[None], minhash.sketch(b)[None]
     assert minhash.similar(a, b, 75) and set(minhash.bands_of(x[0])) & set(minhash.bands_of(y[0]))
-    e, keep = minhash.possible(x, y, 0.594)
+    e, keep = minhash.possible(x, y, 0.75)
     assert e[0] < 0.594 and keep[0]
     # with enough registers the estimate decides
     many = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
     x, y = minhash.sketch(many[:200])[None], minhash.sketch(many[100:])[None]
-    assert not minhash.possible(x, y, 0.594)[1][0]
+    assert not minhash.possible(x, y, 0.75)[1][0]
+    # sets of up to SMALL shingles travel whole
+    few = np.sort(many[: minhash.SMALL])
+    assert np.array_equal(np.frombuffer(minhash.signature(few), np.uint64), few)
+    for s in (few, many):
+        assert np.array_equal(minhash.registers(minhash.signature(s), len(s)), minhash.sketch(s))
+
+
+@pytest.mark.parametrize("hot,block", [(48, 1500), (2, 30)])
+def test_minhash_passage_in_many_documents(spark, hot, block, monkeypatch):
+    # one passage in all documents, more or less of it, so that bands hold many components
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(12)
+    shared = prose(rng, 120).split()
+    some = []
+    for i in range(90):
+        own = shared[rng.randint(0, 20) :] + prose(rng, rng.randint(0, 90)).split()
+        some.append((i, " ".join(own), None, None, None))
+    some += [(100 + i, some[i][1] + " more", None, None, None) for i in range(20)] + [(None, some[0][1], None, None, None)]
+    sets = {i: shingles(t) for i, t, *_ in some if i is not None}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    top = union_find(ids, pairs)
+    assert 20 < len(set(top.values())) < 90
+    assert got(minhash.near_duplicates(table(spark, some), hot=hot), "component_id") == {i: (top[i],) for i in ids}
 
 
 @pytest.mark.parametrize("hot", [48, 1])
@@ -129,7 +153,15 @@ def test_minhash_links_short_texts(spark, hot):
     assert got(minhash.near_duplicates(table(spark, some), hot=hot), "component_id") == {1: (1,), 2: (1,)}
 
 
-@pytest.mark.parametrize("length", [20, 3])
+def test_substring_levels_double():
+    assert substrings.levels(20) == [5, 10, 20] and substrings.levels(40) == [5, 10, 20, 40] and substrings.levels(3) == [2, 3] and substrings.levels(2) == [1, 2]
+    # buckets grow with the corpus, and hold 128 MB at most
+    sizes = [10**k for k in range(6, 15)]
+    buckets = [substrings.n_buckets(n) for n in sizes]
+    assert buckets == sorted(buckets) and all(n / b <= 128 << 20 for n, b in zip(sizes, buckets, strict=True))
+
+
+@pytest.mark.parametrize("length", [20, 3, 9, 40])
 def test_substrings_are_brute_force(spark, length):
     seen, want = set(), {}
     for i, t, *_ in sorted(rows(), key=lambda r: r[0]):
