@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import PERSON, RESPONSE, TECHNICAL
-from .text import refused, word_count
+from .text import once, refused, stripped, word_count
 
 
 def json_text(content: Column) -> Column:
     """The JSON object in an answer, or null: fenced as json, fenced, the whole, or from the first to the last brace."""
-    fence = F.when(content.contains("```json"), F.trim(F.split_part(F.split_part(content, F.lit("```json"), F.lit(2)), F.lit("```"), F.lit(1))))
-    fence = fence.when(content.contains("```"), F.trim(F.split_part(F.split_part(content, F.lit("```"), F.lit(2)), F.lit("```"), F.lit(1)))).otherwise(content)
-    braces = F.regexp_extract(fence, r"(?s)\{.*\}", 0)
-    is_object = lambda c: F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{")
-    return F.when(is_object(fence), fence).when(is_object(braces), braces)
+    between = lambda mark: stripped(F.split_part(F.split_part(content, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1)))
+    fence = F.when(content.contains("```json"), between("```json")).when(content.contains("```"), between("```")).otherwise(content)
+    is_object = lambda c: F.startswith(stripped(c), F.lit("{")) & F.try_parse_json(c).isNotNull()
+    from_braces = lambda c: once(F.regexp_extract(c, r"(?s)\{.*\}", 0), lambda x: F.when(is_object(x), x))
+    return once(fence, lambda c: F.when(is_object(c), c).otherwise(from_braces(c)))
 
 
 def _empty_technical() -> Column:
@@ -49,13 +49,21 @@ def fallback(timestamp: Column) -> Column:
 def record(content: Column, timestamp: Column) -> Column:
     """The typed record of an answer. Refusal words count anywhere in it, before it is parsed.
 
-    Absent and null fields take their defaults; people and actions that aren't lists count as none.
+    Absent and null fields take their defaults; people and actions that aren't lists count as none. An answer is parsed
+    once, whatever is read of its record.
     """
-    found = F.from_json(json_text(content), RESPONSE)
+    read = lambda json: F.struct(json.isNull().alias("absent"), F.from_json(json, RESPONSE).alias("found"))
+    fill = lambda x: F.when(x["absent"], fallback(timestamp)).otherwise(_filled(x["found"], timestamp))
+    json = F.when(~refused(content), json_text(content))
+    return once(json, lambda j: once(read(j), fill))
+
+
+def _filled(found: Column, timestamp: Column) -> Column:
+    """A record with defaults where the answer has nothing."""
     people = F.coalesce(found["people"], F.array().cast(f"array<{PERSON}>"))
     strings = lambda name: F.coalesce(found[name], F.array().cast("array<string>"))
     text = F.coalesce(found["extracted_text"], F.lit(""))
-    parsed = F.struct(
+    return F.struct(
         F.coalesce(found["main_subject"], F.lit("Video content")).alias("main_subject"),
         F.coalesce(found["scene_type"], F.lit("other")).alias("scene_type"),
         text.alias("extracted_text"),
@@ -74,18 +82,17 @@ def record(content: Column, timestamp: Column) -> Column:
         F.when(text != "", 95.0).otherwise(0.0).alias("ocr_confidence"),
         F.lit(False).alias("is_fallback"),
     )
-    return F.when(refused(content) | json_text(content).isNull(), fallback(timestamp)).otherwise(parsed)
-
 
 def ocr_record(text: Column) -> Column:
     """The standalone recognizer's record: nothing for the exact marker NO_TEXT and for empty answers."""
-    none = F.coalesce(text, F.lit("")).isin("", "NO_TEXT")
-    return F.struct(
-        F.when(none, "").otherwise(text).alias("text"),
-        F.when(none, 0).otherwise(word_count(text)).alias("word_count"),
-        F.when(none, 0.0).otherwise(95.0).alias("confidence"),
-        (~none).alias("has_text"),
+    none = lambda t: t.isin("", "NO_TEXT")
+    made = lambda t: F.struct(
+        F.when(none(t), "").otherwise(t).alias("text"),
+        F.when(none(t), 0).otherwise(word_count(t)).alias("word_count"),
+        F.when(none(t), 0.0).otherwise(95.0).alias("confidence"),
+        (~none(t)).alias("has_text"),
     )
+    return once(stripped(F.coalesce(text, F.lit(""))), made)
 
 
 def people_text(people: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +29,16 @@ def minutes_seconds(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(seconds / 60).cast("bigint"), F.floor(F.pmod(seconds, F.lit(60))).cast("bigint"))
 
 
+def stripped(text: Column) -> Column:
+    """White space of any kind off both ends, as Python's str.strip does it; null stays null."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once a row, however often it is used; the optimizer copies no lambda's argument."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalized(text: Column) -> Column:
     """Lower case, white space of any kind folded to one space, none at the ends; null stays null."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
@@ -48,8 +58,8 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def recognized(text: Column) -> Column:
     """OCR output: empty for refusals, for NONE in any case, and for nothing."""
-    bare = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(contains_any(bare, OCR_REFUSALS) | (F.upper(bare) == "NONE"), "").otherwise(bare)
+    bare = stripped(F.coalesce(text, F.lit("")))
+    return once(bare, lambda t: F.when(contains_any(t, OCR_REFUSALS) | (F.upper(t) == "NONE"), "").otherwise(t))
 
 
 def refused(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
+from ..functions.text import stripped, word_count
 
 
 def with_audio(keyframes: DataFrame, segments: DataFrame, half_window: float = 5.0) -> DataFrame:
@@ -28,10 +28,10 @@ def with_audio(keyframes: DataFrame, segments: DataFrame, half_window: float = 5
 
 def transcript_stats(segments: DataFrame) -> DataFrame:
     """(video_id, segments, words)."""
-    return segments.groupBy("video_id").agg(F.count("*").alias("segments"), F.sum(word_count(F.trim(F.col("text"))).cast("bigint")).alias("words"))
+    return segments.groupBy("video_id").agg(F.count("*").alias("segments"), F.sum(word_count(F.col("text")).cast("bigint")).alias("words"))
 
 
 def full_text(segments: DataFrame) -> DataFrame:
     """(video_id, full_text): trimmed texts in order of time."""
-    ordered = F.sort_array(F.collect_list(F.struct("start", "end", F.trim("text").alias("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct("start", "end", stripped(F.col("text")).alias("text"))))
     return segments.groupBy("video_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("full_text"))

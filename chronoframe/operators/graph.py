@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -14,15 +14,21 @@ from ..functions import vector
 BLOCK = 1_024
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, new: Column | None = None) -> DataFrame:
     """(source, target, similarity) of all pairs with cosine >= threshold, source before target by `ord`.
 
     Every pair has to be compared, within and across videos. Vectors are packed into blocks, each pair of blocks meets
     once, by an equality join on the pair, and a block pair is one matrix product; only pairs that pass become rows.
+    new: which vectors are new; then only pairs with a new one are compared, new x all instead of all x all.
     """
-    count = vectors.count()
-    blocks = max(1, -(-count // block))
-    at = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    added = F.lit(True) if new is None else F.coalesce(new, F.lit(False))
+    sizes = vectors.agg(F.count_if(added), F.count_if(~added)).first()
+    n_new, n_old = (-(-n // block) for n in sizes)
+    n_new = max(1, n_new)
+    salt = F.xxhash64("id")
+    # new blocks come first; they meet all blocks, the others only new ones
+    at = F.when(added, F.pmod(salt, F.lit(n_new))).otherwise(n_new + F.pmod(salt, F.lit(max(1, n_old)))).cast("int")
+    last = F.when(F.col("b") < n_new, n_new + n_old - 1).otherwise(n_new - 1)
 
     def packed(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_pylist()
@@ -31,7 +37,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
 
     own = vectors.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("bigint").alias("ord"), vector.doubles(F.col("embedding")).alias("embedding"), at.alias("b"))
     packs = own.groupBy("b").applyInArrow(packed, "b int, ids array<string>, ords array<bigint>, rows binary")
-    meet = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "ids", "ords", "rows")
+    meet = packs.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "ids", "ords", "rows")
 
     def compare(group: pa.Table) -> pa.Table:
         sides = sorted(zip(group.column("b").to_pylist(), group.column("ids").to_pylist(), group.column("ords").to_pylist(), group.column("rows").to_pylist(), strict=True), key=lambda s: s[0])
@@ -56,9 +62,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     return meet.groupBy("x", "y").applyInArrow(compare, "source string, target string, similarity double")
 
 
-def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similarity, decay: float = DEFAULTS.temporal_decay, reach: int = DEFAULTS.max_temporal_distance, distance_unit: str = "frame") -> DataFrame:
+def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similarity, decay: float = DEFAULTS.temporal_decay, reach: int = DEFAULTS.max_temporal_distance, distance_unit: str = "frame", new: Column | None = None) -> DataFrame:
     """Edges of similar vectors; the weight decays with the distance between a video's frames.
 
+    new: which vectors are new; then only edges with a new end are made.
+
     distance_unit: 'frame' counts raw frame numbers, 'ordinal' positions among the video's keyframes.
     """
     nodes = vectors.select(F.col("id").cast("string").alias("id"), "video_id", "frame_number")
@@ -66,7 +74,7 @@ def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similari
         nodes = nodes.withColumn("frame_number", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number")))
     elif distance_unit != "frame":
         raise ValueError("distance_unit is 'frame' or 'ordinal'")
-    pairs = similar_pairs(vectors, threshold)
+    pairs = similar_pairs(vectors, threshold, new=new)
     a = nodes.select(F.col("id").alias("source"), F.col("video_id").alias("va"), F.col("frame_number").alias("fa"))
     b = nodes.select(F.col("id").alias("target"), F.col("video_id").alias("vb"), F.col("frame_number").alias("fb"))
     both = pairs.join(a, "source").join(b, "target").withColumn("same_video", F.col("va") == F.col("vb"))

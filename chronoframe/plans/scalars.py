@@ -39,13 +39,14 @@ def f03_format_timestamp(spark, d):
     return b.frames(spark, d).select("frame_number", text.minutes_seconds(F.col("timestamp")).alias("clock"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 50""")
+@query("""SELECT vec_id AS b, before AS a, round(list_cosine_similarity(own, prior), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS own, lag(vec_id) OVER w AS before,
+    lag(embedding::DOUBLE[]) OVER w AS prior FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) WHERE before IS NOT NULL""")
 def f04_cosine_pairs(spark, d):
-    v = b.table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("slot"), vector.doubles(F.col("embedding")).alias("v"))
-    x = v.select(F.col("vec_id").alias("a"), "label", F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"), F.col("v").alias("va"))
-    y = v.select(F.col("vec_id").alias("b"), "label", "slot", F.col("v").alias("vb"))
-    return x.join(y, ["label", "slot"]).where("b > a AND b - a <= 50").select("a", "b", r6(vector.cosine(F.col("va"), F.col("vb"))).alias("cosine"))
+    """Every vector with the one before it in its label."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    v = b.table(spark, d, "embeddings").select("vec_id", "label", vector.doubles(F.col("embedding")).alias("own"))
+    both = v.select(F.col("vec_id").alias("b"), F.lag("vec_id").over(w).alias("a"), "own", F.lag("own").over(w).alias("prior"))
+    return both.where("a IS NOT NULL").select("b", "a", r6(vector.cosine(F.col("own"), F.col("prior"))).alias("cosine"))
 
 
 @query()

@@ -11,7 +11,7 @@ from .. import providers
 from ..config import DEFAULTS, Settings
 from ..functions.text import frame_file, video_id
 from ..operators import annotate, audio, embed, gate, graph, pagerank, report, retrieve
-from ..sources.store import VectorStore, vector_records
+from ..sources.store import SessionReports, VectorStore, vector_records
 
 
 def records(frames: DataFrame, segments: DataFrame, embedder: providers.Embed, describe: Callable[[bytes], str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
@@ -36,19 +36,40 @@ def ingest(frames: DataFrame, segments: DataFrame, store: VectorStore, embedder:
     return store.append(vector_records(records(frames, segments, embedder, describe, settings), settings.compat_audio))
 
 
-def built_graph(store: VectorStore, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Nodes with importance, and edges, of everything in the store; order is by video and frame."""
+def _placed(store: VectorStore) -> DataFrame:
+    """What a graph needs of the store's rows; order is by video and frame."""
     rows = store.scan(None, "id", "video_id", "frame_number", "timestamp", "embedding", "scene_change_score")
     first = rows.groupBy("video_id").agg(F.count("*").alias("n"))
     # places of videos one after another: a row a video, so one task orders them
     base = first.select("video_id", F.coalesce(F.sum("n").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number"))
-    rows = rows.withColumn("own", own).join(base, "video_id").withColumn("ord", F.col("base") + F.col("own")).drop("own", "base")
-    edges = graph.merged_edges(graph.semantic_edges(rows, settings.edge_similarity, settings.temporal_decay, settings.max_temporal_distance), graph.temporal_edges(rows))
-    nodes = rows.drop("embedding")
+    return rows.withColumn("own", own).join(base, "video_id").withColumn("ord", F.col("base") + F.col("own")).drop("own", "base")
+
+
+def _ranked(rows: DataFrame, semantic: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = rows.drop("embedding"), pagerank.written(graph.merged_edges(semantic, graph.temporal_edges(rows)))
     return nodes.join(pagerank.pagerank(nodes, edges, settings.damping), "id"), edges
 
 
+def built_graph(store: VectorStore, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Nodes with importance, and edges, of everything in the store."""
+    rows = _placed(store)
+    return _ranked(rows, graph.semantic_edges(rows, settings.edge_similarity, settings.temporal_decay, settings.max_temporal_distance), settings)
+
+
+def extended_graph(store: VectorStore, known: DataFrame, semantic: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and semantic edges once the store has grown: only new vectors are compared, with all others.
+
+    known: ids that the graph had before, semantic: its semantic edges (`graph.semantic_edges`, unmerged).
+    """
+    rows = _placed(store)
+    had = known.select(F.col("id").alias("__id"), F.lit(True).alias("__had")).distinct()
+    flagged = rows.join(had, F.col("id") == F.col("__id"), "left").drop("__id")
+    fresh = graph.semantic_edges(flagged, settings.edge_similarity, settings.temporal_decay, settings.max_temporal_distance, new=F.col("__had").isNull())
+    semantic = pagerank.written(semantic.unionByName(fresh))
+    return *_ranked(rows, semantic, settings), semantic
+
+
 def ask(store: VectorStore, nodes: DataFrame, question: str, embedder: providers.Embed, k: int = 5, settings: Settings = DEFAULTS) -> DataFrame:
     """The k best moments for a question, with context; none if the question can't be embedded."""
     vectors = store.scan()
@@ -65,6 +86,12 @@ def video_report(keyframes: DataFrame, semantic: DataFrame, compat: bool = False
     return found.join(report.semantic_counts(semantic, "video_id"), "video_id", "left")
 
 
+def reported(reports: SessionReports, keyframes: DataFrame, semantic: DataFrame, videos: DataFrame, compat: bool = False) -> int:
+    """Appends the reports of processed videos to the session's; videos: video_id, video_name. Returns how many."""
+    named = video_report(keyframes, semantic, compat).join(videos.select("video_id", F.col("video_name").alias("name")), "video_id")
+    return reports.append(named)
+
+
 def choices(videos: DataFrame) -> DataFrame:
     """(label, video_id): all videos first (null), then each by name."""
     every = videos.sparkSession.sql("SELECT 'All videos' AS label, CAST(NULL AS STRING) AS video_id")

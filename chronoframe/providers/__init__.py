@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.responses import ocr_record
 from ..functions.text import OCR_REFUSALS
 
 
@@ -25,6 +26,12 @@ class Describe(Protocol):
     def __call__(self, image: bytes) -> str: ...
 
 
+class Features(Protocol):
+    dims: int
+
+    def __call__(self, images: list[bytes]) -> np.ndarray: ...
+
+
 class Transcribe(Protocol):
     def __call__(self, audio: bytes) -> Iterable[tuple[float, float, str]]: ...
 
@@ -69,6 +76,35 @@ def recognized(frames: DataFrame, ocr: Callable[[bytes], str], image: str = "dat
     return frames.withColumn("extracted_text", read(F.col(image)))
 
 
+def texts_read(frames: DataFrame, ocr: Callable[[bytes], str], image: str = "data", enabled: bool = True) -> DataFrame:
+    """Adds `ocr`, the standalone recognizer's record; NO_TEXT, nothing, a failure or a switched-off recognizer give the empty one."""
+
+    @F.pandas_udf("string")
+    def read(images: pd.Series) -> pd.Series:
+        def one(data: bytes) -> str:
+            try:
+                return (ocr(data) or "").strip()
+            except Exception:  # a provider's failure is no text
+                return ""
+
+        return images.map(one)
+
+    return frames.withColumn("ocr", ocr_record(read(F.col(image)) if enabled else F.lit("")))
+
+
+def featured(frames: DataFrame, model: Callable[[], Features], image: str = "data") -> DataFrame:
+    """Adds `features`, unit vectors of images. `model` makes the extractor, once a task; its failures aren't covered."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        extract = model()
+        for images in batches:
+            found = np.asarray(extract(images.tolist()), np.float64).reshape(len(images), -1)
+            yield pd.Series(list(found / (np.linalg.norm(found, axis=1, keepdims=True) + 1e-8)))
+
+    return frames.withColumn("features", run(F.col(image)))
+
+
 def described(frames: DataFrame, describe: Callable[[bytes], str], image: str = "data") -> DataFrame:
     """Adds `content`, a model's raw answer; a failure gives null, which parses to the fallback record."""
 

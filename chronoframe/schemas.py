@@ -20,6 +20,10 @@ VECTORS = (
     "id string, embedding array<float>, document string, frame_number bigint, timestamp double, frame_path string, scene_change_score double,"
     " main_subject string, scene_type string, text_content string, audio_context string, differential_norm double, video_id string"
 )
+REPORTS = (
+    "name string, keyframes bigint, text_based_count bigint, visual_based_count bigint, frames_with_people bigint, frames_with_text bigint,"
+    " frames_with_actions bigint, video_id string"
+)
 NODES = "id string, video_id string, video_name string, frame_number bigint, timestamp double, scene_change_score double, ord bigint"
 EDGES = (
     "source string, target string, weight double, edge_type string, same_video boolean, similarity double,"

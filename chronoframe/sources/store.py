@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import VECTORS
+from ..schemas import REPORTS, VECTORS
 
 
 class VectorStore:
@@ -35,12 +35,10 @@ class VectorStore:
         return rows.select(*columns) if columns else rows
 
     def append(self, rows: DataFrame) -> int:
-        """Adds the rows whose id isn't there yet, each id once; returns how many. No rows are no write."""
-        fresh = new_rows(rows, self.scan(None, "id")).select(*self.schema.fieldNames())
-        count = fresh.count()
-        if count:
-            fresh.write.mode("append").partitionBy("video_id").parquet(self.path)
-        return count
+        """Adds the rows whose id isn't there yet, each id once; returns how many. `rows` are computed once."""
+        fresh, seen = new_rows(rows, self.scan(None, "id")).select(*self.schema.fieldNames()), Observation()
+        fresh.observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("video_id").parquet(self.path)
+        return seen.get["n"]
 
     def clear(self) -> None:
         """Drops all rows; the collection stays. Media files are not touched."""
@@ -49,6 +47,25 @@ class VectorStore:
         self.create()
 
 
+class SessionReports:
+    """One row a processed video, appended as videos are taken in; a reset forgets them all."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._rows = VectorStore(spark, path, REPORTS)
+
+    def append(self, reports: DataFrame) -> int:
+        """Adds reports (`plans.timeline.video_report`, with `name`); returns how many. A video may be reported again."""
+        seen = Observation()
+        reports.select(*(F.col(c) if c in reports.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in REPORTS.split(", ")))).observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("video_id").parquet(self._rows.path)
+        return seen.get["n"]
+
+    def scan(self) -> DataFrame:
+        return self._rows.scan()
+
+    def reset(self) -> None:
+        self._rows.clear()
+
+
 def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows with ids that don't exist; of equal ids one."""
     return rows.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")

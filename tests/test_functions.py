@@ -30,6 +30,12 @@ def one(spark, column):
         (lambda: text.recognized(F.lit("I CANNOT read")), ""),
         (lambda: text.recognized(F.lit(" Total 5 ")), "Total 5"),
         (lambda: text.preview(F.lit("abcdef"), 3), "abc..."),
+        (lambda: text.recognized(F.lit("\nNONE\n")), ""),
+        (lambda: text.recognized(F.lit("\t x\n y \u00a0\n")), "x\n y"),
+        (lambda: text.recognized(F.lit(None).cast("string")), ""),
+        (lambda: text.stripped(F.lit("\x1c \u2003a b\u3000\r\n")), "a b"),
+        (lambda: text.stripped(F.lit(" \n ")), ""),
+        (lambda: text.stripped(F.lit(None).cast("string")), None),
     ],
 )
 def test_text(spark, column, want):
@@ -54,6 +60,23 @@ def test_vectors(spark):
     assert labels == ["minor_change", "moderate_change", "moderate_change", "scene_change", "scene_change", "major_scene_cut"]
 
 
+def test_stripping_takes_linear_time(spark):
+    assert one(spark, F.length(text.stripped(F.lit("a" + " " * 1_000_000 + "b")))) == 1_000_002
+
+
+def test_ocr_record(spark):
+    said = [("two words\n", ("two words", 2, 95.0, True)), (" NO_TEXT\n", ("", 0, 0.0, False)), ("\n", ("", 0, 0.0, False)), (None, ("", 0, 0.0, False)), ("no_text", ("no_text", 1, 95.0, True))]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, t string").select("i", responses.ocr_record(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [tuple(x.r) for x in rows] == [w for _, w in said]
+
+
+def test_an_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}", 1.0)], "content string, timestamp double").withColumn("semantic", responses.record(F.col("content"), F.col("timestamp")))
+    df = df.withColumn("prompt", responses.prompt(F.col("timestamp"), F.col("semantic"), F.lit("")))
+    plan = df.select("prompt", "semantic.people_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("jsontostructs") + plan.count("from_json") == 1
+
+
 RESPONSES = [
     ('```json\n{"main_subject":"a","people":[]}\n```', ("a", 0, False)),
     ('```\n{"main_subject":"c"}\n```', ("c", 0, False)),
@@ -62,6 +85,8 @@ RESPONSES = [
     ('{"main_subject":"person unable to lift box"}', ("Video content showing visual scene", 1, True)),
     ('{"extracted_text":"two words"}', ("Video content", 0, False)),
     (None, ("Video content showing visual scene", 1, True)),
+    ("```json\r\n\t{\"main_subject\":\"d\"}\n\n```", ("d", 0, False)),
+    ("```json\nnone\n``` but {\"main_subject\":\"e\"}", ("Video content showing visual scene", 1, True)),
 ]
 
 

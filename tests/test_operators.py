@@ -198,6 +198,69 @@ def test_media(spark, tmp_path):
     assert media.cut_chunk("none.mp4", 0, 1, os.path.join(folder, "lecture.mp4")).endswith("lecture.mp4")
 
 
+def test_sampler_over_batches_is_linear(spark):
+    """A million kept frames of one video beside others, by plain loops."""
+    import time
+
+    rng = np.random.default_rng(3)
+    times = np.cumsum(rng.random(60_000) * 2)
+    rows = [("long", i, float(t)) for i, t in enumerate(times)] + [(None, 7, 1.0), ("one", 1, 5.0), ("one", 2, None), ("two", 1, 0.5), ("two", 2, 0.9), ("two", 3, 1.4), ("two", 4, 2.4)]
+    frames = spark.createDataFrame(rows, "video_id string, frame_number bigint, timestamp double").repartition(3)
+    due, kept, last, far = 1.0, [0], times[0], [0]
+    for i, t in enumerate(times[1:], 1):
+        if t >= due:
+            kept.append(i)
+            due = t + 1.0
+        if t - last >= 1.5:
+            far.append(i)
+            last = t
+    got = sampling.sampled(frames, 1.0).collect()
+    assert sorted(r.frame_number for r in got if r.video_id == "long") == kept
+    assert [r.frame_number for r in got if r.video_id is None] == [7] and [r.frame_number for r in got if r.video_id == "one"] == [1]
+    assert sorted(r.frame_number for r in got if r.video_id == "two") == [1, 3, 4]
+    assert sorted(r.frame_number for r in sampling.spaced(frames, 1.5).collect() if r.video_id == "long") == far
+    many = spark.range(1_000_000).select(F.lit("v").alias("video_id"), F.col("id").alias("frame_number"), (F.col("id") * 1.0).alias("timestamp"))
+    start = time.perf_counter()
+    assert sampling.sampled(many, 1.0).count() == 1_000_000
+    assert time.perf_counter() - start < 60
+
+
+def test_append_computes_its_rows_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def ids(x: pd.Series) -> pd.Series:
+        calls.add(len(x))
+        return x.astype(str)
+
+    rows = spark.range(50).select(ids("id").alias("id"), F.lit("v").alias("video_id"))
+    store = VectorStore(spark, str(tmp_path / "once"), "id string, video_id string")
+    assert store.append(rows) == 50 and calls.value == 50
+    assert store.append(rows) == 0 and store.scan().count() == 50
+
+
+def test_standalone_recognizer_and_features(spark):
+    frames = spark.createDataFrame([(i, t) for i, t in enumerate([b"two words", b"NO_TEXT ", b"", b"boom"])], "i int, data binary")
+
+    def ocr(data):
+        if bytes(data) == b"boom":
+            raise RuntimeError
+        return bytes(data).decode()
+
+    read = [tuple(r.ocr) for r in providers.texts_read(frames, ocr).orderBy("i").collect()]
+    assert read == [("two words", 2, 95.0, True), *[("", 0, 0.0, False)] * 3]
+    assert {tuple(r.ocr) for r in providers.texts_read(frames, ocr, enabled=False).collect()} == {("", 0, 0.0, False)}
+
+    class Bytes:
+        dims = 4
+
+        def __call__(self, images):
+            return np.array([np.bincount(np.frombuffer(bytes(x), np.uint8) % 4, minlength=4) for x in images], float)
+
+    found = [r.features for r in providers.featured(frames.coalesce(1), Bytes).orderBy("i").collect()]
+    assert abs(np.linalg.norm(found[0]) - 1) < 1e-6 and found[2] == [0.0] * 4
+
+
 def test_providers(spark):
     frames = spark.createDataFrame([(1, bytearray(b"hello")), (2, bytearray(b"none")), (3, bytearray(b"I am unable")), (4, bytearray(b"bad"))], "i int, data binary")
 
