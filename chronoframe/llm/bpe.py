@@ -3,16 +3,23 @@
 The automaton accepts exactly the correct tokenizations. It starts as one state with a loop for every byte; each merge
 (u, v) -> w, in order, inserts a gadget: arcs labelled u lead to a copy of their target that has lost its arc v, and
 wherever an arc u followed by an arc v was, an arc w goes straight to where they led (Berglund, Martens and van der
-Merwe, "Constructing a BPE Tokenization DFA", 2024). All arcs with one label lead to one state, so a state is stored as
-its *cuts*: lost arcs and the merge that removed them. An arc w exists in a state unless w, or the token that w began
-with when w was made, had been cut by then; that is looked up along w's left spine, so no table of states times tokens
-is needed.
+Merwe, "Constructing a BPE Tokenization DFA", 2024). All arcs with one label lead to one state, and a state is told by
+the arcs that it has lost.
 
-Encoding follows arcs over a pre-split word. Exactly one path spells the word, so it is the correct tokenization; a dead
-end is met once for each position and state. Decoding joins the arcs' labels.
+Transitions are compiled into one sorted table. Tokens are numbered so that those that began with one token and came
+about later than a given merge follow one another; what a state has lost is then a few intervals of numbers, and an arc is
+there if an even number of the state's bounds lie before it. The labels of arcs are a trie in a hash table.
+
+Encoding: every prefix of a pre-split word has exactly one correct tokenization, so exactly one arc into each position
+comes from a position's state that has it. All distinct words of a batch are taken through the tables at once, position
+by position; nothing is tried again. Equal hashes alone never share ids: words' bytes are compared. Decoding emits the
+arcs' labels.
+
+Texts are split by byte classes where their words are of ASCII characters and letters of U+00C0 to U+00FF; words with
+apostrophes or other characters are split by the pattern itself, and texts with other white space or special tokens whole.
 
 Defined results: null and empty texts give no ids and an empty text; special tokens' strings in a text become their ids;
-texts of any length are taken whole; repeated rows give repeated results; extra columns are not touched.
+texts of any length are taken whole; repeated rows and ids give repeated results; extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -20,19 +27,29 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import HashTable, hashes_of, map_batches, text_bytes, unlike
 
 #: Fixed value: the public byte-level pre-splitting pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and pieces that a worker remembers at most.
-REMEMBERED = 800_000
+#: Words that a worker remembers at most, of those that byte classes don't split; bytes of a word up to which it is taken
+#: through the tables with others.
+REMEMBERED, TOGETHER = 200_000, 64
+WHITE, LETTER, DIGIT, MARK, OTHER = range(5)
+#: Texts that byte classes can't split: with white space beyond ASCII's six characters.
+_ODD_SPACE = regex.compile(r"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80".encode("latin-1"))
+
+
+_MAY_BE_ODD = np.isin(np.arange(256), [*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,182 +59,294 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _classes() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    out[0x21:0x7F] = MARK
+    out[0x27] = OTHER  # the apostrophe begins endings such as 's
+    out[0x30:0x3A] = DIGIT
+    out[0x41:0x5B] = out[0x61:0x7B] = LETTER
+    out[list(b" \t\n\v\f\r")] = WHITE
+    out[0x80:0xC0] = out[0xC3] = LETTER  # two bytes of U+00C0 to U+00FF; other leading bytes are OTHER
+    return out
+
+
+_CLASS = _classes()
+
+
 class Automaton:
     """The automaton of a byte-level merge list, with its encoder and decoder."""
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], special: dict[str, int] | None = None, split: str = SPLIT) -> None:
         byte_of = byte_alphabet()
-        self.labels: dict[int, bytes] = {}
-        for token, i in vocab.items():
-            if all(c in byte_of for c in token):
-                self.labels[i] = bytes(byte_of[c] for c in token)
+        self.labels: dict[int, bytes] = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if all(c in byte_of for c in token)}
         self.special = dict(special or {})
-        for text, i in self.special.items():
-            self.labels[i] = text.encode()
-        self.split = regex.compile(split)
-        self.state: dict[int, int] = {}
-        self.cuts: list[dict[int, int]] = [{}]
-        self.left: dict[int, int] = {}
-        self.made: dict[int, int] = {}
-        self.trie: dict = {}
-        self._known: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
-        shared = [0]
-        for token, i in vocab.items():
-            if len(token) == 1 and token in byte_of:
-                self.state[i] = 0
-                shared[0] += 1
+        self.labels |= {i: text.encode() for text, i in self.special.items()}
+        self.split, self.own_split = regex.compile(split), split == SPLIT
+        self.state: dict[int, int] = {i: 0 for token, i in vocab.items() if len(token) == 1 and token in byte_of}
+        self._cuts: list[dict[int, int]] = [{}]
+        self._left: dict[int, int] = {}
+        self._made: dict[int, int] = {}
+        self._shared = [len(self.state)]
         for k, (a, b) in enumerate(merges):
-            self._gadget(k, vocab[a], vocab[b], vocab[a + b], shared)
-        for i in self.state:
-            node = self.trie
-            for byte in self.labels[i]:
-                node = node.setdefault(byte, {})
-            node[-1] = i
-        self._arc_labels = [self.labels.get(i, b"") for i in range(max(self.labels, default=-1) + 1)]
-        self._sizes = [len(x) for x in self._arc_labels]
-        self._longest = max(self._sizes, default=0)
+            self._gadget(k, vocab[a], vocab[b], vocab[a + b])
+        self._compile()
+        self._words: dict[bytes, np.ndarray] = {}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _gadget(self, k: int, u: int, v: int, w: int, shared: list[int]) -> None:
-        """Adds merge `k`. `shared`: for each state, how many labels lead to it."""
+    def _gadget(self, k: int, u: int, v: int, w: int) -> None:
+        """Adds merge `k`. `_shared`: for each state, how many labels lead to it."""
         if w in self.state:
             raise ValueError("two merges make one token; the automaton needs one merge a token")
-        if u not in self.state or v not in self.state or not self.allowed(self.state[u], v):
+        if u not in self.state or v not in self.state or not self._has(self.state[u], v):
             return  # u v can't stand side by side any more, so no arc w comes about
         from_u, to = self.state[u], self.state[v]
-        if shared[from_u] == 1 and u != v:
-            self.cuts[from_u][v] = k
+        if self._shared[from_u] == 1 and u != v:
+            self._cuts[from_u][v] = k
         else:
-            self.cuts.append(self.cuts[from_u] | {v: k})
-            shared[from_u] -= 1
-            shared.append(1)
-            self.state[u] = len(self.cuts) - 1
-        self.left[w], self.made[w], self.state[w] = u, k, to
-        shared[to] += 1
-        self._known.clear()
+            self._cuts.append(self._cuts[from_u] | {v: k})
+            self._shared[from_u] -= 1
+            self._shared.append(1)
+            self.state[u] = len(self._cuts) - 1
+        self._left[w], self._made[w], self.state[w] = u, k, to
+        self._shared[to] += 1
+
+    def _has(self, state: int, token: int) -> bool:
+        """Whether `state` has an arc `token` while the automaton is being built.
+
+        It has lost it if it was cut, or if the token that it began with had been cut by the time it was made.
+        """
+        cuts, until = self._cuts[state], 1 << 60
+        while (at := cuts.get(token)) is None or at > until:
+            if token not in self._left:
+                return True
+            until, token = self._made[token], self._left[token]
+        return False
+
+    def _compile(self) -> None:
+        """The tables: tokens' numbers, bounds of states' lost intervals, targets, labels and their trie."""
+        begun: dict[int, list[int]] = {}
+        for w, u in self._left.items():  # in the order of merges
+            begun.setdefault(u, []).append(w)
+        number, end = {}, {}
+        for root in (i for i in self.state if i not in self._left):
+            stack = [(root, iter(begun.get(root, ())))]
+            number[root] = len(number)
+            while stack:
+                token, rest = stack[-1]
+                if (w := next(rest, None)) is None:
+                    end[token] = len(number)
+                    stack.pop()
+                else:
+                    number[w] = len(number)
+                    stack.append((w, iter(begun.get(w, ()))))
+        made = {u: [self._made[w] for w in ws] for u, ws in begun.items()}
+        self._wide = len(number) + 1
+        bounds: list[int] = []
+        for state, cuts in enumerate(self._cuts):
+            lost = [(number[t], number[t] + 1) for t in cuts]
+            for t, k in cuts.items():
+                if t in begun and (at := bisect_left(made[t], k)) < len(begun[t]):
+                    lost.append((number[begun[t][at]], end[t]))
+            own: list[int] = []
+            for a, b in sorted(lost):
+                if own and a <= own[-1]:
+                    own[-1] = max(own[-1], b)
+                else:
+                    own += [a, b]
+            bounds += [state * self._wide + x for x in own]
+        self._bounds, self._bisected = np.array(bounds, np.int64), array("q", bounds)
+        top = max(self.labels, default=-1) + 1
+        self._number, self._target = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        for t, s in self.state.items():
+            self._number[t], self._target[t] = number[t], s
+        self._cuts, self._left, self._made, self._shared = [], {}, {}, []
+        every = [self.labels.get(i, b"") for i in range(top)]
+        self._sizes = np.array([len(x) for x in every], np.int64)
+        self._ends = np.append(0, np.cumsum(self._sizes))
+        self._bytes = np.frombuffer(b"".join(every), np.uint8)
+        nodes: dict[int, int] = {}
+        tokens = [-1]
+        for t in self.state:
+            node = 0
+            for byte in self.labels[t]:
+                node = nodes.setdefault(node << 8 | byte, len(nodes) + 1)
+            tokens += [-1] * (len(nodes) + 1 - len(tokens))
+            tokens[node] = t
+        self._trie, self._token = nodes, np.array(tokens, np.int32)
+        self._child = HashTable(np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes)))
+        self._longest = max(map(len, map(self.labels.__getitem__, self.state)), default=0)
 
     def allowed(self, state: int, token: int) -> bool:
         """Whether `state` has an arc `token`."""
-        cuts, until, left, made = self.cuts[state], 1 << 60, self.left, self.made
-        while True:
-            at = cuts.get(token)
-            if at is not None and at <= until:
-                return False
-            if token not in left:
-                return True
-            until, token = made[token], left[token]
-
-    def _arcs(self, word: bytes, at: int) -> list[int]:
-        """Tokens that a word goes on with at a position, shortest first."""
-        node, found = self.trie, []
-        for byte in word[at : at + self._longest]:
-            node = node.get(byte)
-            if node is None:
-                break
-            token = node.get(-1)
-            if token is not None:
-                found.append(token)
-        return found
-
-    def _walk(self, word: bytes) -> list[int]:
-        """The token ids of one pre-split word: the one path from the start state that ends with it.
-
-        Longer arcs are tried first; a position and state from which the end can't be reached is left for good.
-        """
-        n, known, state_of, size = len(word), self._known, self.state, self._sizes
-        at, state, arcs = 0, 0, self._arcs(word, 0)
-        path: list[int] = []
-        before: list[tuple[int, int, list[int]]] = []
-        dead: set[tuple[int, int]] = set()
-        while True:
-            while arcs:
-                token = arcs.pop()
-                if at:
-                    may = known.get((state, token))
-                    if may is None:
-                        may = known[state, token] = self.allowed(state, token)
-                    if not may:
-                        continue
-                end = at + size[token]
-                if end == n:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    return [*path, token]
-                if (end, state_of[token]) in dead:
-                    continue
-                path.append(token)
-                before.append((at, state, arcs))
-                at, state = end, state_of[token]
-                arcs = self._arcs(word, end)
-            dead.add((at, state))
-            at, state, arcs = before.pop()
-            path.pop()
-
-    def _word(self, word: str) -> bytes:
+        return bisect_right(self._bisected, state * self._wide + int(self._number[token])) % 2 == 0
+
+    def _path(self, word: bytes) -> np.ndarray:
+        """Ids of one word: the arcs into each position, from the first to the last."""
+        into: list[int] = [-1] * (len(word) + 1)
+        for at in range(len(word)):
+            state = int(self._target[into[at]]) if at else 0
+            node = 0
+            for end in range(at, min(len(word), at + self._longest)):
+                node = self._trie.get(node << 8 | word[end], -1)
+                if node < 0:
+                    break
+                token = int(self._token[node])
+                if token >= 0 and (not at or self.allowed(state, token)):
+                    into[end + 1] = token
+        out, at = [], len(word)
+        while at:
+            out.append(into[at])
+            at -= int(self._sizes[into[at]])
+        return np.array(out[::-1], np.int64)
+
+    def _paths(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of `TOGETHER` bytes at most, one after another, and how many each has."""
+        size = ends - starts
+        first = np.cumsum(size) - size
+        own = body[np.repeat(starts - first, size) + np.arange(size.sum())].astype(np.int64)
+        left = np.repeat(first + size, size) - np.arange(len(own))
+        # tokens that stand at each position, by their number of bytes
+        at, node, tokens = np.arange(len(own)), np.zeros(len(own), np.int64), [np.zeros(0, np.int64)]
+        while len(at):
+            node = self._child(node << 8 | own[at + len(tokens) - 1])
+            at, node = at[node >= 0], node[node >= 0]
+            if len(at):
+                here = np.full(len(own), -1, np.int32)
+                here[at] = self._token[node]
+                tokens.append(here)
+            more = left[at] >= len(tokens)
+            at, node = at[more], node[more]
+        into = np.full(len(own), -1, np.int32)  # the arc that ends with each byte
+        for upto in range(1, int(size.max(initial=0)) + 1):
+            open_ = (first + upto - 1)[size >= upto]
+            for n in range(min(upto, len(tokens) - 1), 0, -1):
+                token = tokens[n][open_ - n + 1]
+                there = np.flatnonzero(token >= 0)
+                if 1 < n < upto and len(there):  # one byte is left where nothing longer was right
+                    key = self._target[into[open_[there] - n]] * self._wide + self._number[token[there]]
+                    there = there[np.searchsorted(self._bounds, key, "right") % 2 == 0]
+                if len(there):
+                    into[open_[there]] = token[there]
+                    stay = np.ones(len(open_), bool)
+                    stay[there] = False
+                    open_ = open_[stay]
+                if not len(open_):
+                    break
+        # back from the ends
+        count, rounds = np.zeros(len(size), np.int64), []
+        live, last = np.arange(len(size)), first + size - 1
+        while len(live):
+            token = into[last]
+            rounds.append((live, token))
+            count[live] += 1
+            last -= self._sizes[token]
+            more = last >= first[live]
+            live, last = live[more], last[more]
+        upto = np.cumsum(count)
+        out = np.empty(count.sum(), np.int64)
+        for k, (live, token) in enumerate(rounds):
+            out[upto[live] - 1 - k] = token
+        return out, count
+
+    def _odd(self, word: bytes) -> np.ndarray:
+        """Ids of what stands between white space, with the space before it, by the pattern."""
         ids = self._words.get(word)
         if ids is None:
-            ids = np.array(self._walk(word.encode()), "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self._words) >= REMEMBERED // 2:
+            ids = np.concatenate([self._path(w.encode()) for w in self.split.findall(word.decode())])
+            if len(word) <= TOGETHER:
+                if len(self._words) >= REMEMBERED:
                     self._words.clear()
                 self._words[word] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a stretch that starts with a space and ends before one; no pre-split word reaches over its ends."""
-        ids = b"".join(map(self._word, self.split.findall(chunk)))
-        if len(chunk) <= 64:
-            if len(self._chunks) >= REMEMBERED:
-                self._chunks.clear()
-            self._chunks[chunk] = ids
-        return ids
-
-    _double_space = regex.compile(r"\s\s")
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self._double_space.search(text):
-            return b"".join(map(self._word, self.split.findall(text)))
-        first, *others = text.split(" ")
-        known, out = self._chunks, [b"".join(map(self._word, self.split.findall(first)))]
-        last = len(others) - 1
-        for k, word in enumerate(others):
-            ids = known.get(word) if word else None
-            if ids is None:
-                # a text's final space is a word of its own, which `word` as an empty string stands for
-                ids = self._chunk_of(word) if word or k == last else b""
-            out.append(ids)
-        return b"".join(out)
-
-    def _chunk_of(self, word: str) -> bytes:
-        ids = self._chunk(" " + word)
-        if word and len(word) < 64:
-            self._chunks.pop(" " + word, None)
-            self._chunks[word] = ids
-        return ids
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.special_split and any(s in text for s in self.special):
-            parts = self.special_split.split(text)
-            return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))
-        return self._plain(text)
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text that is split by the pattern, special tokens first."""
+        parts = self.special_split.split(text) if self.special_split else [text]
+        ids = [np.array([self.special[p]], np.int64) if i % 2 else self._path(w.encode()) for i, p in enumerate(parts) for w in ([p] if i % 2 else self.split.findall(p))]
+        return np.concatenate(ids) if ids else np.zeros(0, np.int64)
+
+    def _units(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pre-split words, and which of them the pattern has to split further."""
+        n = len(body)
+        kind = _CLASS[body]
+        signs = np.flatnonzero((body[1:] == 0x97) | (body[1:] == 0xB7)) + 1
+        kind[signs[body[signs - 1] == 0xC3]] = OTHER  # U+00D7 and U+00F7 are no letters
+        begins = np.zeros(n + 1, bool)  # rows
+        begins[offsets] = True
+        white = kind == WHITE
+        edge = np.empty(n, bool)  # of white space, of what isn't, and of rows
+        edge[0] = True
+        edge[1:] = (white[1:] != white[:-1]) | begins[1:-1]
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], n)
+        odd = np.zeros(len(starts), bool)
+        odd[np.searchsorted(starts, np.flatnonzero(kind == OTHER), "right") - 1] = True
+        kind[np.repeat(odd, ends - starts)] = OTHER
+        change = np.empty(n + 1, bool)
+        change[0] = change[n] = True
+        change[1:n] = (kind[1:] != kind[:-1]) | begins[1:-1]
+        # white space before a word: a last space goes with the word, another last character stands alone
+        last = ends[white[starts]] - 1
+        last = last[~begins[last + 1]]
+        change[last] = True
+        spaces = last[body[last] == 0x20]
+        change[spaces + 1] = False
+        starts = np.flatnonzero(change[:n])
+        behind = starts + (body[starts] == 0x20)
+        return starts, np.append(starts[1:], n), kind[np.minimum(behind, n - 1)] == OTHER
+
+    def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids as unsigned 32-bit integers, one row after another, and where rows begin and end."""
+        rows = len(offsets) - 1
+        raw = body.tobytes()
+        # the search is dear, so the bytes that odd white space begins with are looked for first
+        some = any(s.encode() in raw for s in self.special) or not self.own_split or (bool(_MAY_BE_ODD[body].any()) and _ODD_SPACE.search(raw) is not None)
+        apart = [i for i in range(rows) if some and self._by_pattern(raw[offsets[i] : offsets[i + 1]])]
+        if apart:  # these rows whole, the others without them
+            size = np.diff(offsets)
+            keep = np.ones(rows, bool)
+            keep[apart] = False
+            rest = body[np.repeat(keep, size)]
+            ids, at = self.encode_all(rest, np.append(0, np.cumsum(np.where(keep, size, 0))))
+            parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+            for i in apart:
+                parts[i] = self._whole(raw[offsets[i] : offsets[i + 1]].decode()).astype("<u4")
+            return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+        if not len(body):
+            return np.zeros(0, "<u4"), np.zeros(rows + 1, np.int64)
+        starts, ends, odd = self._units(body, offsets)
+        odd = odd | (ends - starts > TOGETHER)
+        _, lead, of = np.unique(hashes_of(body, starts, ends), return_index=True, return_inverse=True)
+        clash = unlike(body, starts, ends, lead[of])
+        of[clash] = len(lead) + np.arange(len(clash))
+        lead = np.append(lead, clash)
+        plain, others = np.flatnonzero(~odd[lead]), np.flatnonzero(odd[lead])
+        ids, n = self._paths(body, starts[lead[plain]], ends[lead[plain]])
+        by_pattern = [self._odd(raw[a:b]) for a, b in zip(starts[lead[others]].tolist(), ends[lead[others]].tolist(), strict=True)]
+        m = np.array([len(x) for x in by_pattern], np.int64)
+        flat, count, begin = np.concatenate([ids, *by_pattern]).astype("<u4"), np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64)
+        count[plain], count[others] = n, m
+        begin[plain], begin[others] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
+        each = count[of]
+        upto = np.append(0, np.cumsum(each))
+        return flat[np.repeat(begin[of] - upto[:-1], each) + np.arange(upto[-1])], upto[np.searchsorted(starts, offsets, "left")]
+
+    def _by_pattern(self, row: bytes) -> bool:
+        return not self.own_split or _ODD_SPACE.search(row) is not None or any(s.encode() in row for s in self.special)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return self.encode_all(*text_bytes(pa.array([text], pa.string())))[0].tolist()
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        """Labels of arcs, joined."""
-        return b"".join(map(self._arc_labels.__getitem__, ids))
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Labels of all rows' arcs, one after another, and where rows begin and end."""
+        size = self._sizes[ids]
+        upto = np.append(0, np.cumsum(size))
+        return self._bytes[np.repeat(self._ends[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes(), upto[at]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Labels of arcs, joined; bytes that aren't UTF-8 become U+FFFD."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+        own = np.array(list(ids), np.int64)
+        return self.decode_all(own, np.array([0, len(own)]))[0].decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
@@ -235,8 +364,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = from_file(vocabulary)
-        ids = [automaton.encode(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([automaton.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
+        ids, at = automaton.encode_all(*text_bytes(batch.column(1)))
+        raw, ends = automaton.decode_all(ids, at)
+        decoded = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), f, f"`{id_col}` {kind}, ids array<int>, decoded string")
@@ -247,17 +378,17 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = from_file(vocabulary)
-        n, ids_sha, text_sha = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = automaton.encode_bytes(text)
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            decoded = automaton.decode_bytes(np.frombuffer(ids, "<u4").tolist())
+        ids, at = automaton.encode_all(*text_bytes(batch.column(1)))
+        raw, ends = automaton.decode_all(ids, at)
+        codes, text_sha = memoryview(ids.tobytes()), []
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            own = raw[a:b]
             try:
-                decoded.decode("utf-8")
+                own.decode("utf-8")
             except UnicodeDecodeError:
-                decoded = decoded.decode("utf-8", "replace").encode()
-            text_sha.append(hashlib.sha256(decoded).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                own = own.decode("utf-8", "replace").encode()
+            text_sha.append(hashlib.sha256(own).hexdigest())
+        ids_sha = [hashlib.sha256(codes[4 * a : 4 * b]).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select("doc_id", "text"), f, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), f, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -153,6 +153,55 @@ def hashes_of(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def unlike(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Spans whose bytes differ from those of the span that stands for them."""
+    size = ends - starts
+    differ = size != size[lead]
+    blocks = blocks_of(body)
+    live = np.flatnonzero(~differ & (lead != np.arange(len(lead))))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        x = (blocks[starts[live] + done] ^ blocks[starts[lead[live]] + done]) << ((8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8))
+        differ[live[x != 0]] = True
+        live = live[(x == 0) & (left > 8)]
+        done += 8
+    return np.flatnonzero(differ)
+
+
+class HashTable:
+    """Numbers by key, not negative both, looked up an array at a time; -1 where a key isn't there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(8, int(len(keys) * 3).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            some = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[some]], self.values[slot[some]] = keys[some], values[some]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found, out = self.keys[slot], self.values[slot]
+        other = found != keys
+        out[other] = -1
+        left = np.flatnonzero(other & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 def words_of(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows: 64-bit hashes, starts, ends (byte positions) and, for each row, its first word's number.
 

@@ -18,7 +18,7 @@ import re
 import numpy as np
 
 from .bpe import byte_alphabet
-from .common import blocks_of, hashes_of
+from .common import HashTable, hashes_of, unlike
 
 #: Words that a worker remembers at most, of those that the library encodes.
 REMEMBERED = 100_000
@@ -43,43 +43,6 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-class _Pairs:
-    """Ranks of merges by pair, in an open hash table."""
-
-    def __init__(self, pairs: np.ndarray, size: int) -> None:
-        self.size = size
-        self.bits = max(8, int(len(pairs) * 4).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.rank = np.full(1 << self.bits, NONE, np.int32)
-        left, keys = np.arange(len(pairs)), pairs[:, 0] * size + pairs[:, 1]
-        slot = self._slot(keys)
-        while len(left):
-            free = self.keys[slot[left]] < 0
-            some = left[free][np.unique(slot[left[free]], return_index=True)[1]]
-            self.keys[slot[some]], self.rank[slot[some]] = keys[some], some
-            left = left[self.keys[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.int64) * self.size + b
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        out = self.rank[slot]
-        left = np.flatnonzero((found != keys) & (found >= 0))
-        out[found != keys] = NONE
-        while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.rank[slot[left[hit]]]
-            left = left[~hit & (found >= 0)]
-        return out
-
-
 class WordTokenizer:
     """See the module's text."""
 
@@ -107,7 +70,8 @@ class WordTokenizer:
         vocab, chars = model["vocab"], {b: c for c, b in byte_alphabet().items()}
         self.inner, self.last = (np.array([vocab.get(chars[b] + tail, -1) for b in range(256)], np.int32) for tail in ("", end))
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.pairs = _Pairs(np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2), max(vocab.values()) + 1)
+        self.size = max(vocab.values()) + 1
+        self.ranks = HashTable(np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64), np.arange(len(merges)))
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.own = self.own and bool((self.inner >= 0).all() and (self.last >= 0).all())
         self.special = [t["content"].encode() for t in said.get("added_tokens", [])]
@@ -151,6 +115,11 @@ class WordTokenizer:
         ends = np.flatnonzero(part & stop) + 1
         return small, starts, ends, kind[starts] == OTHER
 
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens."""
+        rank = self.ranks(a.astype(np.int64) * self.size + b)
+        return np.where(rank < 0, NONE, rank).astype(np.int32)
+
     def _merge(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spans, one after another, and how many each has."""
         size = ends - starts
@@ -220,7 +189,7 @@ class WordTokenizer:
         hashes = hashes_of(small, starts, ends)
         hashes[other] ^= np.uint64(1)
         _, lead, of = np.unique(hashes, return_index=True, return_inverse=True)
-        clash = self._unlike(small, starts, ends, other, lead[of])
+        clash = unlike(small, starts, ends, lead[of])
         if len(clash):  # equal hashes of different bytes: each such unit stands for itself
             of[clash] = len(lead) + np.arange(len(clash))
             lead = np.append(lead, clash)
@@ -236,21 +205,6 @@ class WordTokenizer:
         ids = flat[np.repeat(begin[of] - upto[:-1], each) + np.arange(upto[-1])]
         return ids.astype("<u4"), upto[np.searchsorted(starts, offsets, "left")]
 
-    def _unlike(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, lead: np.ndarray) -> np.ndarray:
-        """Units whose bytes differ from those of the unit that stands for them."""
-        size = ends - starts
-        differ = (size != size[lead]) | (other != other[lead])
-        blocks = blocks_of(body)
-        live = np.flatnonzero(~differ & (lead != np.arange(len(lead))))
-        done = 0
-        while len(live):
-            left = size[live] - done
-            x = (blocks[starts[live] + done] ^ blocks[starts[lead[live]] + done]) << ((8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8))
-            differ[live[x != 0]] = True
-            live = live[(x == 0) & (left > 8)]
-            done += 8
-        return np.flatnonzero(differ)
-
 
 @functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
