@@ -59,8 +59,10 @@ class Network:
         return begin + np.minimum(k * STRIDE, last), np.repeat(offsets[1:], n), np.repeat(first, chunks) + step * CHUNK, chunk_first
 
     def _codes(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        base = starts[0]  # starts rise, so a stretch of the body holds all windows
+        part = np.append(body[base : starts[-1] + WIDTH], np.uint8(0)).astype(np.int16)
         at = starts[:, None] + np.arange(WIDTH)
-        codes = np.append(body, np.uint8(0)).astype(np.int16)[np.minimum(at, len(body))]
+        codes = part[np.minimum(at - base, len(part) - 1)]
         return np.where(at < ends[:, None], codes, PAD) if (starts + WIDTH > ends).any() else codes
 
     def _respond(self, codes: np.ndarray) -> np.ndarray:
@@ -123,8 +125,10 @@ class Network:
         dx = dz[:, None] * self.weights
         n = np.diff(np.append(first, len(top)))
         doc = np.repeat(np.arange(len(n)), n)
-        dtop = (dx[:, FILTERS:] / n[:, None])[doc]
-        dtop += np.where(top == x[doc, :FILTERS], dx[doc, :FILTERS], 0)
+        dtop = (dx[:, FILTERS:] / n[:, None])[doc].copy()
+        # of chunks that tie for a document's maximum one gets its gradient
+        best = np.stack([a + top[a : a + k].argmax(axis=0) for a, k in zip(first, n, strict=True)])
+        np.add.at(dtop, (best, np.arange(FILTERS)), dx[:, :FILTERS])
         dtop *= top > 0
         g_filters, g_embedding = np.zeros_like(self.filters), np.zeros_like(self.embedding)
         for f in range(FILTERS):
