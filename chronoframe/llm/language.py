@@ -6,11 +6,13 @@
 3. Address: a host's prior is smoothed towards its address suffix's, and that towards the corpus's, from sums of the
    text posteriors; a page's own share is taken out of its host's and suffix's sums.
 
-The posterior is the product of the three, normalized. Counts cover all rows; only the tables of languages and trigram
-buckets (at most `MAX_LANGUAGES` x `BUCKETS`) reach the driver.
+The posterior is the product of the three, normalized. Counts cover all rows. Languages are the labels that at least one
+in `RARE` labelled documents has, so there are at most `RARE` of them, and only their table of trigram buckets (at most
+`RARE` x `BUCKETS` numbers) reaches the driver.
 
 Defined results: a null or empty page has no text evidence and takes its prior; pages without a host share the host '';
-an undeclared or malformed language is the value ''; ties go to the language that sorts first; without labelled
+an undeclared or malformed language is the value ''; rarer labels count as none; numeric references of nine digits or more
+stand for U+FFFD; unclosed markup is text; ties go to the language that sorts first; without labelled
 documents the language is null; ids may repeat; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -27,11 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import gathered, map_batches, mix64, text_bytes, written
 
-BUCKETS, MAX_LANGUAGES = 8_192, 256
+#: Trigram buckets; one in how many labelled documents a language must have.
+BUCKETS, RARE = 8_192, 1_000
 #: Weight of a trigram's log-likelihood, pseudo-counts of a host's and a suffix's prior, and of declared values.
 TEMPER, HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 0.3, 4.0, 20.0, 1.0
-_MARKUP = re.compile(r"<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+_RAW = re.compile(r"<(script|style|noscript)\b", re.I)
+_RAW_END = {k: re.compile(rf"</{k}\s*+>", re.I) for k in ("script", "style", "noscript")}
+_ROOT = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?+\s*+([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}+|[xX][0-9A-Fa-f]{9,}+);?")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -67,20 +73,62 @@ def trigram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return known.mapInArrow(f, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def likelihoods(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probabilities of buckets, one row a language."""
-    rows = counts.toPandas()  # MAX_LANGUAGES x BUCKETS rows at most
-    langs = sorted(rows["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def languages(docs: DataFrame, rare: int = RARE, lang_col: str = "lang") -> list[str]:
+    """Labels that at least one in `rare` labelled documents has, in order; `rare` of them at most."""
+    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(r[0] for r in counts.where(F.col("n") * rare >= total).select("lang").collect())
+
+
+def likelihoods(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """The log-probabilities of buckets, one row a language."""
     table = np.full((len(langs), BUCKETS), 0.5)
-    table[[langs.index(x) for x in rows["lang"]], rows["bucket"].to_numpy(int)] += rows["n"].to_numpy(float)
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
+    if langs:
+        rows = counts.toPandas()  # languages x BUCKETS rows at most
+        place = {x: i for i, x in enumerate(langs)}
+        table[[place[x] for x in rows["lang"]], rows["bucket"].to_numpy(int)] += rows["n"].to_numpy(float)
+    return np.log(table / table.sum(axis=1, keepdims=True))
 
 
 def visible_text(page: str | None) -> str:
-    """A page's text without markup."""
-    return entities.unescape(_MARKUP.sub(" ", page)) if page else ""
+    """A page's text with a space for each tag, comment and element that holds no text, in one pass.
+
+    What has no end further on is not looked for again.
+    """
+    if not page:
+        return ""
+    out, at, endless = [], 0, set()
+    while (a := page.find("<", at)) >= 0 and (b := page.find(">", a)) >= 0:
+        end = b + 1
+        raw = _RAW.match(page, a)
+        name = raw[1].lower() if raw else "!--" if page.startswith("<!--", a) else None
+        if name and name not in endless:
+            if name == "!--":
+                close = page.find("-->", a + 4)
+                close = close + 3 if close >= 0 else -1
+            else:
+                found = _RAW_END[name].search(page, end)
+                close = found.end() if found else -1
+            if close >= 0:
+                end = close
+            else:
+                endless.add(name)
+        out += [page[at:a], " "]
+        at = end
+    out.append(page[at:])
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", "".join(out)))
+
+
+def declared_language(page: str | None) -> str:
+    """What the first root tag that declares a language says, in lower case; else ''."""
+    at = 0
+    while page and (root := _ROOT.search(page, at)):
+        end = page.find(">", root.end())
+        end = len(page) if end < 0 else end
+        if said := _LANG.search(page, root.end(), end):
+            return said[1].lower()
+        at = end
+    return ""
 
 
 def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
@@ -93,8 +141,7 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
             host = found[1].lower() if found else ""
             hosts.append(host)
             suffixes.append(host.rpartition(".")[2])
-            said = _DECLARED.search(page or "")
-            declared.append(said[1].lower() if said else "")
+            declared.append(declared_language(page))
             texts.append(visible_text(page))
         bucket, row = _trigrams(*text_bytes(pa.array(texts, pa.string())))
         ll = np.stack([np.bincount(row, own[bucket], minlength=len(texts)) for own in table], axis=1) * TEMPER if langs else np.zeros((len(texts), 0))
@@ -119,15 +166,17 @@ def _share(counts: Column, base: Column, weight: float) -> Column:
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, declared, text_lang, lang, confidence of every page."""
-    langs, table = likelihoods(trigram_counts(docs))
+    langs = languages(docs)
+    table = likelihoods(trigram_counts(docs.where(F.col("lang").isin(langs))), langs)
     n = len(langs)
     own = written(evidence(pages, langs, table), "evidence")
     if not n:
         return own.select("page_id", "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
     names = F.array(*map(F.lit, langs))
-    hosts = _sums(own, "host_sum", n, "p", "host", "suffix")
-    suffixes = _sums(hosts, "suffix_sum", n, "host_sum", "suffix")
-    said = _sums(own, "said", n, "p", "declared")
+    # written, so that pages meet plain tables and AQE can split a hot host
+    hosts = written(_sums(own, "host_sum", n, "p", "host", "suffix"), "hosts")
+    suffixes = written(_sums(hosts, "suffix_sum", n, "host_sum", "suffix"), "suffixes")
+    said = written(_sums(own, "said", n, "p", "declared"), "declared")
     kinds, totals = said.agg(F.count("*"), F.array(*(F.sum(F.col("said")[i]) for i in range(n)))).first()
     every = [float(x or 0) for x in totals or [0] * n]
     # P(declared | language) for every declared value: one small row a value
