@@ -7,9 +7,11 @@ lie, and a link at the threshold, in a random direction, crosses hyperplanes far
 deviations of its own length so seldom that what remains unvisited falls under 1 - recall. Every vector of a visited
 cell is verified in double precision. A pair is a link if either side's visit finds it.
 
-Codebooks are fitted to at most `sample` vectors; the grid grows with the table, so cells don't. Equal vectors of a
-label are one point with a weight. Large cells are verified block against block, and a block returns counts and a forest
-of links, never all pairs.
+Each label has the grid that its own size asks for, of 1, 2, 4, ... codewords a half, so cells hold about `CELL` vectors
+whatever other labels hold. Codebooks are fitted to 16 vectors a codeword, 8,192 at least and `sample` at most; the
+largest grid has a 16th of `sample` codewords a half (4,096, so that cells grow only from 8.6 billion vectors a label
+on). Equal vectors of a label are one point with a weight. Large cells are verified block against block, and a block
+returns counts and a forest of links, never all pairs.
 
 Defined results: vectors that are null, zero, not finite somewhere, or shorter than the longest, and those with a null
 label, have no links and stay; ids must be unique; extra columns are ignored; an empty table gives an empty result.
@@ -34,24 +36,28 @@ CELL, MEMBERS, VISITORS = 512, 2_048, 4_096
 
 
 def codebook(rows: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
-    """k centres by Lloyd's rounds."""
+    """k centres by Lloyd's rounds; fewer where there are fewer rows."""
     rng = np.random.default_rng(seed)
     centres = rows[np.sort(rng.permutation(len(rows))[:k])].copy()
-    for _ in range(rounds):
-        own = ((rows**2).sum(1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(1)).argmin(axis=1)
-        for c in range(len(centres)):
-            if (own == c).any():
-                centres[c] = rows[own == c].mean(axis=0)
+    for _ in range(rounds if k > 1 else 1):
+        own = np.concatenate([(np.square(centres).sum(1) - 2 * rows[a : a + 4_096] @ centres.T).argmin(axis=1) for a in range(0, len(rows), 4_096)])
+        order = np.argsort(own, kind="stable")
+        some, first, n = np.unique(own[order], return_index=True, return_counts=True)
+        centres[some] = np.add.reduceat(rows[order], first, axis=0) / n[:, None]
     return centres
 
 
-def cell_distances(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Own codeword, and squared distance to the farthest hyperplane that parts a row from each codeword's region."""
+def cell_distances(rows: np.ndarray, centres: np.ndarray, against: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Own codeword, and squared distance to the farthest hyperplane that parts a row from each codeword's region.
+
+    Hyperplanes between a codeword and the `against` nearest ones count; others hardly ever lie farther.
+    """
     d = (rows**2).sum(1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(1)
     apart = np.sqrt(np.maximum((centres**2).sum(1)[:, None] - 2 * centres @ centres.T + (centres**2).sum(1), 1e-12))
-    best = np.zeros_like(d)
-    for other in range(len(centres)):
-        np.maximum(best, np.where(np.arange(len(centres)) == other, 0, (d - d[:, other : other + 1]) / (2 * apart[:, other])), out=best)
+    best, every = np.zeros_like(d), np.arange(len(rows))
+    near = np.argpartition(d, min(against, d.shape[1]) - 1, axis=1)[:, :against] if len(rows) else np.zeros((0, 1), np.int64)
+    for j in range(near.shape[1]):
+        np.maximum(best, (d - d[every, near[:, j]][:, None]) / (2 * apart[near[:, j]]), out=best)
     return d.argmin(axis=1), best**2
 
 
@@ -83,34 +89,43 @@ def _forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
         top_a, top_b = new_a, new_b
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.93, deviations: float = 3.2, sample: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, threshold: float = 0.93, deviations: float = 3.5, sample: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; only rows with equal labels are compared."""
     part = taking_part(df.where(F.col(label_col).isNotNull()), id_col, vector_col, F.col(label_col).alias("label"))
     points = written(part.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "points")
-    total, labels, dims = points.agg(F.count("*"), F.count_distinct("label"), F.max(F.size("v"))).first()
+    grids = written(points.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")), "grids")
+    total, most_of_one, dims = grids.agg(F.sum("n"), F.max("n"), F.max("dims")).first()
     every = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    if not total or dims < 2:  # nothing to compare, or no halves: vectors of one dimension link by sign, in one cell
-        k = 1
-    else:
-        k = int(np.clip(round(math.sqrt(total / labels / CELL)), 1, 256))
+    # codewords a half are 2**level; vectors of one dimension have no halves and link by sign, in one cell
+    top = max(0, round(math.log2(max(1.0, (most_of_one or 0) / cell)) / 2)) if (dims or 0) > 1 else 0
+    top = min(top, int(math.log2(max(1, sample // 16))))
+    level = F.least(F.lit(top), F.greatest(F.lit(0), F.round(F.log2(F.col("n") / cell) / 2))).cast("int")
     half = max(1, (dims or 2) // 2)
-    some = drawn(points, "id", sample, total or 0).select("v").toPandas()["v"]  # `sample` rows
+    some = drawn(points, "id", min(sample, max(8_192, 16 << top)), total or 0).select("v").toPandas()["v"]  # `sample` rows at most
     rows = unit(np.array(some.tolist(), np.float64)) if len(some) else np.ones((1, 2))
-    halves = [codebook(rows[:, :half], k), codebook(rows[:, half:], k) if (dims or 2) > 1 else np.zeros((1, 0))]
+    books = [(codebook(rows[:, :half], 1 << t), codebook(rows[:, half:], 1 << t) if (dims or 2) > 1 else np.zeros((1, 0))) for t in range(top + 1)]
     most = 2 * (1 - threshold) / (dims or 2) * deviations**2
     kind = points.schema["label"].dataType.simpleString()
 
     def traverse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = unit(matrix(batch.column(1)))
-        (c1, d1), (c2, d2) = cell_distances(v[:, :half], halves[0]), cell_distances(v[:, half:], halves[1])
-        wide = len(halves[1])
-        visits = [[i * wide + j for i, j in multi_sequence(x, y, most)] for x, y in zip(d1, d2, strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(c1 * wide + c2, pa.int64()), pa.array(visits, pa.list_(pa.int64()))], [*batch.schema.names, "cell", "visits"])
-
-    placed = written(map_batches(points.select("label", "v", "id", "n"), traverse, f"label {kind}, v {points.schema['v'].dataType.simpleString()}, id bigint, n bigint, cell bigint, visits array<bigint>"), "placed")
+        v, own = unit(matrix(batch.column(1))), batch.column(4).to_numpy()
+        cells, visits = np.zeros(len(v), np.int64), [[0]] * len(v)
+        for t in np.unique(own):
+            at, (one, two) = np.flatnonzero(own == t), books[t]
+            (c1, d1), (c2, d2) = cell_distances(v[at, :half], one), cell_distances(v[at, half:], two)
+            cells[at] = c1 * len(two) + c2
+            for i, x, y in zip(at.tolist(), d1, d2, strict=True):
+                visits[i] = [a * len(two) + b for a, b in multi_sequence(x, y, most)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cells), pa.array(visits, pa.list_(pa.int64()))], [*batch.schema.names[:4], "cell", "visits"])
+
+    leveled = points.join(grids.select("label", level.alias("level")), "label").select("label", "v", "id", "n", "level")
+    placed = written(map_batches(leveled, traverse, f"label {kind}, v {points.schema['v'].dataType.simpleString()}, id bigint, n bigint, cell bigint, visits array<bigint>"), "placed")
     visitors = placed.select("label", F.explode("visits").alias("at"), "id", "n", "v", "cell", F.lit(None).cast("array<bigint>").alias("visits"))
     members = placed.select("label", F.col("cell").alias("at"), "id", "n", "v", "cell", "visits")
     sizes = members.groupBy("label", "at").agg(F.ceil(F.count("*") / MEMBERS).alias("xs")).join(visitors.groupBy("label", "at").agg(F.ceil(F.count("*") / VISITORS).alias("ys")), ["label", "at"])
+    sizes = written(sizes, "sizes")  # a plain side, so that AQE can split a hot cell on the other one
     salt = F.xxhash64("id")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     sides = members.join(sizes, ["label", "at"]).withColumn("x", F.pmod(salt, "xs")).withColumn("y", upto("ys")).withColumn("member", F.lit(True))
@@ -124,9 +139,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, deviations: float =
         links = v[q] @ v[m].T >= threshold
         links &= ids[q][:, None] != ids[m][None, :]
         found_q = links @ n[m]
-        seen = {c: np.array([c in set(x) for x in group.column("visits").take(pa.array(m)).to_pylist()], bool) for c in set(cell[q].tolist())}
-        back = links & ~np.stack([seen[c] for c in cell[q].tolist()]) if len(q) else links
-        found_m = n[q] @ back
+        # links that the member's own visit to the visitor's cell doesn't find
+        cells, of = np.unique(cell[q], return_inverse=True)
+        lists = group.column("visits").combine_chunks().take(pa.array(m))
+        flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(m)), lists.value_lengths().fill_null(0).to_numpy())
+        place = np.minimum(np.searchsorted(cells, flat), max(len(cells) - 1, 0))
+        hit = cells[place] == flat if len(cells) else np.zeros(len(flat), bool)
+        seen = np.zeros((len(cells), len(m)), bool)
+        seen[place[hit], owner[hit]] = True
+        found_m = n[q] @ (links & ~seen[of])
         a, b = _forest(links, ids[q], ids[m])
         keep = a != b
         some_q, some_m = found_q > 0, found_m > 0

@@ -123,6 +123,38 @@ def test_near_duplicates(spark, members, monkeypatch):
     assert found == {i: (n[i], top[i], top[i] == i) for i, *_ in rows}
 
 
+@pytest.mark.parametrize("kind", ["even", "low rank"])
+def test_near_duplicates_over_many_cells(spark, kind):
+    rng = np.random.default_rng(6)
+    n, dims, cell = 21_000, 64, 256  # 20,000 vectors of one label: a grid of 8 x 8
+    m = rng.normal(size=(n, dims))
+    if kind == "low rank":
+        m = m[:, :10] @ rng.normal(size=(10, dims))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    # every other vector has a partner at a cosine of 0.93 to 0.95
+    other = rng.normal(size=(n // 2, dims))
+    other -= (other * m[::2]).sum(axis=1, keepdims=True) * m[::2]
+    cos = rng.uniform(0.9301, 0.95, (n // 2, 1))
+    m[1::2] = cos * m[::2] + np.sqrt(1 - cos**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    label = np.where(np.arange(n) < 20_000, 0, 1 + np.arange(n) // 2 % 50)
+    m = m.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(m, label, strict=True))], SCHEMA).repartition(4)
+    assert round(np.log2(20_000 / cell) / 2) == 3
+    found = {r.vec_id: r for r in embeddings.near_duplicates(df, cell=cell).collect()}
+    m = m.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want, pairs = np.zeros(n, np.int64), []
+    for a in range(0, n, 1_000):
+        i, j = np.nonzero((m[a : a + 1_000] @ m.T >= 0.93) & (label[a : a + 1_000, None] == label))
+        keep = i + a != j
+        np.add.at(want, i[keep] + a, 1)
+        pairs += zip((i[keep] + a).tolist(), j[keep].tolist(), strict=True)
+    have = np.array([found[i].n_links for i in range(n)])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum() >= 0.99 * 20_000
+    top = union_find(range(n), [(a, b) for a, b in pairs if a < b])
+    assert np.mean([found[i].component_id == top[i] for i in range(n)]) >= 0.99
+
+
 def test_traversal_rises():
     rng = np.random.default_rng(0)
     a, b = rng.random(9), rng.random(7)
