@@ -7,6 +7,7 @@ import pytest
 
 from chronoframe.llm import queries
 
+from .helpers import clashing
 from .test_texts import labelled, shingles
 
 
@@ -60,5 +61,23 @@ def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+def test_stages_with_awkward_tables(spark, sf_dir):
+    """Null, empty and repeated rows, clashing names and an empty table through every stage."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(900, None, None, None, None), (901, "", "en", "", 0), (None, "free of id token=Zq8Lk2Vb9Xw4 " * 3, "en", "s", None), (None, None, None, None, None), (902, " \n\n ", "en", "s", 4), (902, " \n\n ", "en", "s", 4)], schema)
+    for docs in (clashing(base.limit(40).unionByName(odd)), clashing(spark.createDataFrame([], schema))):
+        columns, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name == "pack":
+                assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and (out.count() > 0) == (n > 0)
+            else:
+                assert out.columns == columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+                assert out.count() <= n
+            if name in ("line_dedup", "secret_scan") and n:  # rows without a text or an id stay
+                assert out.where("doc_id = 900").count() == 1 and out.where("doc_id IS NULL").count() == 2
+
+
 def test_all_ten_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
