@@ -6,13 +6,13 @@ product with the centre, and its product with its own code. Estimate: a query's
 and cut to `PLANES` bits, so that its product with a code comes from packed bits by counting those they share; over the
 correction scalar it estimates the inner product, and the same scalar bounds the error.
 
-1. Each query asks its nearest cells; the best by estimate are reranked on the original vectors in double precision. The
-   k-th best score so far is a floor that the query's neighbours must reach.
-2. Each query asks every cell whose hyperplanes lie near enough for a vector at the floor. Vectors whose upper bound
-   reaches the floor are reranked. Ranks come from both rounds.
+1. Each query asks its nearest cells. The k-th best score that it gets is a floor that its neighbours must reach.
+2. Each query asks every other cell whose hyperplanes lie near enough for a vector at the floor.
 
-Cells are split into blocks of codes and their queries into blocks of queries, so no task sees a whole hot cell; codes,
-not vectors, meet queries. Of equal vectors only the k + 1 with the smallest ids can be among a query's k nearest, so only
+Where a query meets a cell, the best by estimate are reranked first, on the original vectors in double precision, which
+may raise the floor; then those whose upper bound reaches the floor. What leaves the task is the k best of the cell, so
+pairs never become rows. Cells are split into blocks of vectors and their queries into blocks of queries, so no task sees
+a whole hot cell. Of equal vectors only the k + 1 with the smallest ids can be among a query's k nearest, so only
 these are indexed. Centres are fitted to at most `SAMPLE` vectors, and there is one for every `CELL` vectors, at most one
 for every 16 of the sample.
 
@@ -37,12 +37,12 @@ from .common import drawn, map_batches, written
 from .embeddings import cell_distances, codebook
 from .vectors import length_of, matrix, taking_part, unit
 
-#: Vectors that centres are fitted to, vectors a cell, cells that round 1 asks, candidates that it takes a cell's block.
+#: Vectors that centres are fitted to, vectors a cell, cells that round 1 asks, vectors of a block that are reranked first.
 SAMPLE, CELL, FIRST_CELLS, FIRST = 8_192, 4_096, 2, 32
 #: Bits of a query's components; standard errors that bounds allow for, and deviations that cells may be away.
 PLANES, DEVIATIONS, REACH = 4, 2.5, 3.0
-#: Vectors in a block of codes and in a block of queries.
-CODES, QUERIES = 65_536, 4_096
+#: Vectors in a block of a cell and in a block of its queries.
+CODES, QUERIES = 32_768, 4_096
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -94,11 +94,39 @@ def _words(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(n, -1)
 
 
+def best_of(queries: np.ndarray, qids: np.ndarray, floors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, centre: np.ndarray, packed: np.ndarray, scalars: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, vector id, score) of each query's k best in a block, of those that reach its floor (NaN: none)."""
+    out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    lengths, units = np.sqrt((vectors * vectors).sum(axis=1)), unit(queries)
+
+    def score(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (q * vectors[at]).sum(axis=1) / (np.sqrt((q * q).sum()) * lengths[at])
+
+    for a in range(0, len(qids), 64):
+        about, error = estimates(units[a : a + 64], centre, packed, scalars, turn)
+        about[qids[a : a + 64, None] == ids] = -np.inf
+        high = about + DEVIATIONS * error
+        for i in range(len(about)):
+            q, floor = queries[a + i], floors[a + i]
+            top = np.argpartition(-about[i], FIRST)[:FIRST] if len(ids) > FIRST else np.arange(len(ids))
+            first = np.sort(score(q, top[np.isfinite(about[i, top])]))
+            floor = np.fmax(floor, first[-k] if len(first) >= k else -np.inf)
+            at = np.flatnonzero((high[i] >= floor) & np.isfinite(about[i]))
+            at = np.union1d(at, top[np.isfinite(about[i, top])])
+            s = score(q, at)
+            best = np.lexsort((ids[at], -s))[:k]
+            out_q.append(np.full(len(best), qids[a + i]))
+            out_v.append(ids[at[best]])
+            out_s.append(s[best])
+    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `df` with the largest cosine for each row of `queries`, itself excepted."""
     dims = max(length_of(df, vector_col), length_of(queries, vector_col))
     own, asked = (taking_part(x, id_col, vector_col, dims=dims) for x in (df, queries))
     turn = rotation(dims)
+    kind = own.schema["v"].dataType.simpleString()
     same = Window.partitionBy("v").orderBy("id")
     index = written(own.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "index")
     total = index.count()
@@ -110,31 +138,28 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
         v = unit(matrix(batch.column(1)))
         at = (np.square(centres).sum(axis=1) - 2 * v @ centres.T).argmin(axis=1)
         packed, scalars = codes(v - centres[at], centres[at], turn)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), *(pa.array(x) for x in scalars.T)], ["id", "cell", "code", "factor", "error", "product"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), *(pa.array(x) for x in scalars.T)], ["id", "v", "cell", "code", "factor", "error", "product"])
 
-    coded = written(map_batches(index, place, "id bigint, cell int, code binary, factor float, error float, product float"), "codes")
+    coded = written(map_batches(index, place, f"id bigint, v {kind}, cell int, code binary, factor float, error float, product float"), "codes")
     sizes = written(coded.groupBy("cell").agg(F.ceil(F.count("*") / CODES).alias("xs")), "sizes")  # a row a centre
 
     def visits(floors: DataFrame) -> DataFrame:
-        """(id, v, floor, cell): the cells that queries ask, the nearest ones where there is no floor yet."""
+        """(id, v, floor, cell): the nearest cells where there is no floor yet, else the others that may hold a neighbour."""
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             v, floor = unit(matrix(batch.column(1))), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
             away = cell_distances(v, centres)[1]
-            most = 2 * (1 - floor) / max(dims, 1) * REACH**2
-            first = np.argsort(away, axis=1, kind="stable")[:, :FIRST_CELLS]
-            near = away <= np.where(np.isnan(most), -1, most)[:, None]
-            near[np.isnan(floor)[:, None] & (np.arange(len(centres)) == first[:, :1])] = True
-            for j in range(1, first.shape[1]):
-                near[np.isnan(floor), first[np.isnan(floor), j]] = True
-            near |= np.isneginf(floor)[:, None]
-            q, c = np.nonzero(near)
+            first = np.zeros(away.shape, bool)
+            np.put_along_axis(first, np.argsort(away, axis=1, kind="stable")[:, :FIRST_CELLS], True, axis=1)
+            most = 2 * (1 - floor) / max(dims, 1) * REACH**2  # infinite without a floor after round 1
+            asks = np.where(np.isnan(floor)[:, None], first, ~first & (away <= most[:, None]))
+            q, c = np.nonzero(asks)
             return pa.RecordBatch.from_arrays([*(x.take(pa.array(q)) for x in batch.columns), pa.array(c, pa.int32())], ["id", "v", "floor", "cell"])
 
-        return map_batches(floors, f, f"id bigint, v {asked.schema['v'].dataType.simpleString()}, floor double, cell int")
+        return map_batches(floors, f, f"id bigint, v {kind}, floor double, cell int")
 
-    def candidates(floors: DataFrame) -> DataFrame:
-        """(query_id, vec_id): the best by estimate of each block where there is no floor yet, else all that may reach it."""
+    def met(floors: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the k best of each block of each cell that a query asks."""
         of = visits(floors)
         asks = of.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("ys")).join(sizes, "cell")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -143,44 +168,22 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
         right = of.join(asks, "cell").withColumn("y", F.pmod(salt, "ys")).withColumn("x", upto("xs"))
 
         def meet(one: pa.Table, two: pa.Table) -> pa.Table:
-            out_q, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             if len(one) and len(two):
-                ids, qids, floor = one.column("id").to_numpy(), two.column("id").to_numpy(), two.column("floor").to_numpy()
-                centre, packed = centres[one.column("cell")[0].as_py()], _words(one.column("code"), len(one))
                 scalars = np.stack([one.column(c).to_numpy() for c in ("factor", "error", "product")], axis=1)
-                qs = unit(matrix(two.column("v")))
-                for a in range(0, len(qids), 128):
-                    for b in range(0, len(ids), 8_192):
-                        about, error = estimates(qs[a : a + 128], centre, packed[b : b + 8_192], scalars[b : b + 8_192], turn)
-                        about[qids[a : a + 128, None] == ids[None, b : b + 8_192]] = -np.inf
-                        most, new = floor[a : a + 128], np.isnan(floor[a : a + 128])
-                        if new.any():
-                            least = -np.partition(-about[new], min(FIRST, about.shape[1]) - 1, axis=1)[:, min(FIRST, about.shape[1]) - 1]
-                            most = most.copy()
-                            most[new] = least
-                            error = np.where(new[:, None], 0, error)
-                        q, v = np.nonzero((about + DEVIATIONS * error >= most[:, None]) & np.isfinite(about))
-                        out_q.append(qids[a + q])
-                        out_v.append(ids[b + v])
-            return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v)})
+                packed = np.frombuffer(b"".join(one.column("code").to_pylist()), "<u8").reshape(len(one), -1)
+                q, v, s = best_of(matrix(two.column("v")), two.column("id").to_numpy(), two.column("floor").to_numpy(), matrix(one.column("v")), one.column("id").to_numpy(), centres[one.column("cell")[0].as_py()], packed, scalars, turn, k)
+            return pa.table({"query_id": q, "vec_id": v, "score": s})
 
         keys = ["cell", "x", "y"]
-        left, right = left.select(*keys, "id", "code", "factor", "error", "product"), right.select(*keys, "id", "v", "floor")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint")
-
-    def rerank(batch: pa.RecordBatch) -> pa.RecordBatch:
-        q, v = matrix(batch.column(2)), matrix(batch.column(3))
-        score = (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score)], ["query_id", "vec_id", "score"])
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(asked.toDF("query_id", "q"), "query_id").join(index.toDF("vec_id", "v"), "vec_id").select("query_id", "vec_id", "q", "v")
-        exact = map_batches(both, rerank, "query_id bigint, vec_id bigint, score double")
-        return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
-    first = written(scored(candidates(asked.withColumn("floor", F.lit(None).cast("double")))), "first")
-    floors = first.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
-    # a query with fewer than k candidates so far asks all cells
-    floors = asked.join(floors, asked["id"] == floors["query_id"], "left").select("id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
-    pairs = candidates(floors).unionByName(first.select("query_id", "vec_id")).distinct()
-    return scored(pairs).select("query_id", F.col("rank"), "vec_id", "score")
+        left, right = left.select(*keys, "id", "v", "code", "factor", "error", "product"), right.select(*keys, "id", "v", "floor")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+
+    def ranked(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+    first = written(ranked(met(asked.withColumn("floor", F.lit(None).cast("double")))), "first")
+    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    # a query with fewer than k candidates so far has no floor and asks all cells
+    floors = asked.join(floors, asked["id"] == floors["query_id"], "left").select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    return ranked(first.drop("rank").unionByName(met(floors))).select("query_id", "rank", "vec_id", "score")
