@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
-#: Edges and vertices up to which one task iterates in memory; a larger graph iterates as tables.
-SMALL = 2_000_000
+#: Edges and vertices up to which one task iterates in memory (about 100 MB of ids); a larger graph iterates as tables.
+SMALL = 200_000
 
 
 def written(df: DataFrame) -> DataFrame:
