@@ -44,6 +44,8 @@ COUNT_BITS, MANTISSA_BITS = 6, 26
 SMALL = 64
 #: Classes in a block of a large band, and bytes of their sets, at most.
 BLOCK, BLOCK_BYTES = 1500, 24 << 20
+#: Ids that are broadcast at most (8 bytes each).
+FEW_IDS = 1_000_000
 _EDGES = np.array([-(-i * (1 << 64) // BUCKETS) for i in range(BUCKETS)], np.uint64)
 
 
@@ -175,6 +177,14 @@ def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows with these ids. Few ids go to all tasks, so that other texts aren't shuffled; the texts of many are written, so that both sides of the next join are plain."""
+    ids, texts = written(ids.distinct(), "ids"), docs.select(F.col("doc_id").alias("id"), "text")
+    if ids.count() <= FEW_IDS:
+        return texts.join(F.broadcast(ids), "id", "left_semi")
+    return written(texts.join(ids, "id", "left_semi"), "texts")
+
+
 def _confirmed(likely: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b): sure ones, and those with 100 * intersection >= percent * union of the full sets."""
 
@@ -185,8 +195,7 @@ def _confirmed(likely: DataFrame, docs: DataFrame, words: int, percent: int) ->
 
     likely = written(likely, "likely")
     pairs = likely.where("NOT sure").select("a", "b")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return likely.where("sure").select("a", "b").unionByName(map_batches(both, f, "a bigint, b bigint"))
 
@@ -241,8 +250,7 @@ def _hot_links(hot: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         return group.select([x.split()[0] for x in schema.split(", ")]).filter(pa.array(seen))
 
     some = written(_blocks(hot, *own).groupBy("key", "zone", "x", "y").applyInArrow(likely, schema), "likely")
-    large = some.where(F.col("n_shingles") > SMALL).select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(large, "id", "left_semi")
+    texts = _texts(docs, some.where(F.col("n_shingles") > SMALL).select("id"))
     rows = some.join(texts, "id", "left").select(*some.columns, "text")
 
     def links(group: pa.Table) -> pa.Table:

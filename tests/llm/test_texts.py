@@ -115,8 +115,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("hot", [48, 2])
-def test_minhash_is_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,few", [(48, 1_000_000), (2, 0)])
+def test_minhash_is_brute_force(spark, hot, few, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW_IDS", few)
     sets = {i: shingles(t) for i, t, *_ in rows()}
     ids = sorted(sets)
     pairs = [(a, b) for a in ids for b in ids if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
