@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +66,27 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, new:
     return meet.groupBy("x", "y").applyInArrow(compare, "source string, target string, similarity double")
 
 
+def similar_pairs_approximately(vectors: DataFrame, threshold: float, tables: int = 4, width: float = 2.0, seed: int = 5) -> DataFrame:
+    """`similar_pairs` by random projections: only vectors that share a bucket in one of `tables` tables are compared.
+
+    Buckets are `width` times as wide as vectors at the threshold are apart. A pair at the threshold shares one with
+    probability 0.61 a table at a width of 2, so 97.7 % of such pairs are found with 4 tables, and more of closer ones;
+    what is returned is exact. It pays for high thresholds; near 0 almost all vectors share buckets. Zero vectors are in
+    no pair. threshold: over 0 and under 1.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold lies between 0 and 1")
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, y: a + y * y))
+    own = vectors.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("bigint").alias("ord"), vector.doubles(F.col("embedding")).alias("e"))
+    own = own.withColumn("length", F.greatest(length, F.lit(1e-300))).where(F.exists("e", lambda x: x != 0))
+    own = own.select("id", "ord", array_to_vector(F.transform("e", lambda x: x / F.col("length"))).alias("v"))
+    apart = math.sqrt(2 - 2 * threshold)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="buckets", bucketLength=width * apart, numHashTables=tables, seed=seed).fit(own)
+    pairs = model.approxSimilarityJoin(own, own, apart + 1e-9, "d").where("datasetA.ord < datasetB.ord")
+    found = pairs.select(F.col("datasetA.id").alias("source"), F.col("datasetB.id").alias("target"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
+    return found.where(F.col("similarity") >= threshold)
+
+
 def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similarity, decay: float = DEFAULTS.temporal_decay, reach: int = DEFAULTS.max_temporal_distance, distance_unit: str = "frame", new: Column | None = None) -> DataFrame:
     """Edges of similar vectors; the weight decays with the distance between a video's frames.
 

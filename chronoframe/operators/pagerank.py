@@ -22,7 +22,7 @@ SMALL = 200_000
 def written(df: DataFrame) -> DataFrame:
     """`df` written to the folder that the cluster names for checkpoints, to cut its lineage."""
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "ranks", uuid.uuid4().hex)
+    path = os.path.join(shared_folder(spark), "tables", spark.sparkContext.applicationId, f"ranks-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

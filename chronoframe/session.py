@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="chronoframe-")
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that this application's operators have written to the shared folder, whose results aren't needed any more."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; on a cluster leave `master` and `shuffle_partitions` to the submitter."""
     builder = SparkSession.builder.appName("chronoframe")

@@ -95,6 +95,18 @@ def test_similar_pairs(spark, block):
     assert found == {("A0", "A5"): 0.8, ("A0", "B0"): 0.6, ("A5", "A20"): 0.6, ("A5", "B0"): 0.96, ("A20", "B0"): 0.8}
 
 
+def test_similar_pairs_approximately(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(600, 24))
+    m[1::2] = m[::2] + rng.normal(size=(300, 24)) * rng.uniform(0.1, 0.6, (300, 1))
+    rows = [(f"n{i}", i, v.tolist()) for i, v in enumerate(m)] + [("zero", 9999, [0.0] * 24)]
+    vectors = spark.createDataFrame(rows, "id string, ord bigint, embedding array<double>").repartition(3)
+    exact = {(r.source, r.target): r.similarity for r in graph.similar_pairs(vectors, 0.85).collect()}
+    found = {(r.source, r.target): r.similarity for r in graph.similar_pairs_approximately(vectors, 0.85).collect()}
+    assert len(exact) > 150 and set(found) <= set(exact) and len(found) >= 0.95 * len(exact)
+    assert all(abs(exact[p] - s) < 1e-9 for p, s in found.items())
+
+
 def test_graph(spark):
     nodes = four(spark)
     semantic, temporal = graph.semantic_edges(nodes), graph.temporal_edges(nodes)
