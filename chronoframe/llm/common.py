@@ -46,9 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, so that lost executors never force it to be computed again."""
+    """`df` as a Parquet table in the shared folder, so that lost executors never force it to be computed again.
+
+    `chronoframe.session.drop_tables` deletes an application's tables.
+    """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
