@@ -37,13 +37,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, hashes_of, map_batches, text_bytes, unlike
+from .common import HashTable, hashes_of, in_parts, map_batches, text_bytes, unlike
 
 #: Fixed value: the public byte-level pre-splitting pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers at most, of those that byte classes don't split; bytes of a word up to which it is taken
 #: through the tables with others.
 REMEMBERED, TOGETHER = 200_000, 64
+#: Bytes of text that are encoded at once.
+PART = 4 << 20
 WHITE, LETTER, DIGIT, MARK, OTHER = range(5)
 #: Texts that byte classes can't split: with white space beyond ASCII's six characters.
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80".encode("latin-1"))
@@ -296,7 +298,14 @@ class Automaton:
         return starts, np.append(starts[1:], n), kind[np.minimum(behind, n - 1)] == OTHER
 
     def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids as unsigned 32-bit integers, one row after another, and where rows begin and end."""
+        """All rows' ids as unsigned 32-bit integers, one row after another, and where rows begin and end.
+
+        Long texts may be cut before a space between two printable ASCII characters: no word reaches over it.
+        """
+        printable = lambda x: (x > 0x20) & (x < 0x7F)
+        return in_parts(self._encoded, body, offsets, lambda x: (x[1:-1] == 0x20) & printable(x[:-2]) & printable(x[2:]), PART)
+
+    def _encoded(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         raw = body.tobytes()
         # the search is dear, so the bytes that odd white space begins with are looked for first
@@ -307,7 +316,7 @@ class Automaton:
             keep = np.ones(rows, bool)
             keep[apart] = False
             rest = body[np.repeat(keep, size)]
-            ids, at = self.encode_all(rest, np.append(0, np.cumsum(np.where(keep, size, 0))))
+            ids, at = self._encoded(rest, np.append(0, np.cumsum(np.where(keep, size, 0))))
             parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
             for i in apart:
                 parts[i] = self._whole(raw[offsets[i] : offsets[i + 1]].decode()).astype("<u4")

@@ -172,6 +172,36 @@ def unlike(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndar
     return np.flatnonzero(differ)
 
 
+def in_parts(
+    encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], body: np.ndarray, offsets: np.ndarray, safe: Callable[[np.ndarray], np.ndarray], most: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """`encode` of rows, which gives values of all rows and where rows begin and end, over parts of about `most` bytes.
+
+    Longer rows are cut where that changes nothing: `safe` tells where, of bytes with one more on either side. So memory
+    doesn't grow with the longest text by more than its values.
+    """
+    if len(body) <= 2 * most:
+        return encode(body, offsets)
+    edges, starts = [], []  # of parts, and which part each row starts with
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        starts.append(len(edges))
+        edges.append(a)
+        while b - a > 2 * most:
+            look = np.flatnonzero(safe(body[a + most - 1 : min(a + 2 * most, b)]))
+            a += most + (int(look[0]) if len(look) else 0)
+            if len(look):
+                edges.append(a)
+    every = np.array([*edges, len(body)], np.int64)
+    values, upto, first = [], [np.zeros(1, np.int64)], 0
+    while first < len(edges):
+        last = max(first + 1, int(np.searchsorted(every, every[first] + most, "right")) - 1)
+        own, at = encode(body[every[first] : every[last]], every[first : last + 1] - every[first])
+        values.append(own)
+        upto.append(upto[-1][-1] + at[1:])
+        first = last
+    return np.concatenate(values), np.concatenate(upto)[[*starts, len(edges)]]
+
+
 class HashTable:
     """Numbers by key, not negative both, looked up an array at a time; -1 where a key isn't there."""
 

@@ -18,10 +18,12 @@ import re
 import numpy as np
 
 from .bpe import byte_alphabet
-from .common import HashTable, hashes_of, unlike
+from .common import HashTable, hashes_of, in_parts, unlike
 
 #: Words that a worker remembers at most, of those that the library encodes.
 REMEMBERED = 100_000
+#: Bytes of text that are encoded at once.
+PART = 4 << 20
 #: The normalizers and the pre-splitting pattern that the byte classes below stand for.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
@@ -182,7 +184,13 @@ class WordTokenizer:
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(p) for p in parts], np.int64)
 
     def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids as unsigned 32-bit integers, one row after another, and where rows begin and end."""
+        """All rows' ids as unsigned 32-bit integers, one row after another, and where rows begin and end.
+
+        Long texts may be cut at white space.
+        """
+        return in_parts(self._encoded, body, offsets, lambda x: _CLASS[x[1:-1]] == SPACE, PART)
+
+    def _encoded(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(body):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         small, starts, ends, other = self._units(body, offsets)

@@ -464,6 +464,18 @@ def test_word_ids_are_the_library():
             assert ids[at[k] : at[k + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    rng = random.Random(8)
+    odd = ["don't", "a\u00a0b", "\n\n", "  ", "caf\u00e9", "x,y", "<|endoftext|>", "\u65e5\u672c", "\t", "12"]
+    texts = [" ".join(rng.choice([prose(rng, 1), prose(rng, 1), rng.choice(odd)]) for _ in range(n)) for n in (400, 0, 3, 900, 1, 0, 700)] + [None, "q" * 3000, prose(rng, 500)]
+    encoders = [bpe.from_file(vocabulary("byte_bpe_50k.json")), wordpieces.word_tokenizer(vocabulary("word_bpe_49k.json"))]
+    want = [[x.tolist() for x in e.encode_all(*text_bytes(pa.array(texts)))] for e in encoders]
+    for most in (64, 300, 1000):
+        for module, e, w in zip((bpe, wordpieces), encoders, want, strict=True):
+            monkeypatch.setattr(module, "PART", most)
+            assert [x.tolist() for x in e.encode_all(*text_bytes(pa.array(texts)))] == w
+
+
 def test_word_ids_do_not_come_from_hashes_alone(monkeypatch):
     path = vocabulary("word_bpe_49k.json")
     own = wordpieces.WordTokenizer(path)
