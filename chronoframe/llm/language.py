@@ -82,11 +82,16 @@ def languages(docs: DataFrame, rare: int = RARE, lang_col: str = "lang") -> list
 
 def likelihoods(counts: DataFrame, langs: list[str]) -> np.ndarray:
     """The log-probabilities of buckets, one row a language."""
-    table = np.full((len(langs), BUCKETS), 0.5)
+    table, place = np.full((len(langs), BUCKETS), 0.5), {x: i for i, x in enumerate(langs)}
+
+    def packed(group: pa.Table) -> pa.Table:
+        own = np.zeros(BUCKETS, np.int64)
+        own[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        return pa.table({"lang": group.column("lang").slice(0, 1), "counts": pa.array([own.tobytes()], pa.binary())})
+
     if langs:
-        rows = counts.toPandas()  # languages x BUCKETS rows at most
-        place = {x: i for i, x in enumerate(langs)}
-        table[[place[x] for x in rows["lang"]], rows["bucket"].to_numpy(int)] += rows["n"].to_numpy(float)
+        for row in counts.groupBy("lang").applyInArrow(packed, "lang string, counts binary").collect():  # a row a language
+            table[place[row["lang"]]] += np.frombuffer(row["counts"], np.int64)
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
