@@ -1,11 +1,17 @@
 """The whole flows, from frames to ranked moments."""
 
+import os
+import types
+import urllib.parse
+
+import pytest
 from pyspark.sql import functions as F
 
 from chronoframe import providers
 from chronoframe.functions import responses
-from chronoframe.operators import graph
+from chronoframe.operators import graph, pagerank
 from chronoframe.plans import timeline
+from chronoframe.session import drop_tables, shared_folder
 from chronoframe.sources.store import SessionReports, VectorStore
 
 from .test_operators import random_frames
@@ -73,3 +79,25 @@ def test_session_reports(spark, tmp_path):
 def test_choices(spark):
     rows = timeline.choices(spark.createDataFrame([("lecture.mp4",)], "video_name string")).collect()
     assert [(r.label, r.video_id) for r in rows] == [("All videos", None), ("lecture.mp4", "646ee630")]
+
+
+def test_written_tables_can_be_dropped(spark):
+    table = pagerank.written(spark.range(3))
+    path = urllib.parse.urlparse(table.inputFiles()[0]).path
+    assert table.count() == 3 and os.path.exists(path)
+    drop_tables(spark)
+    assert not os.path.exists(path)
+    drop_tables(spark)  # nothing there is no error
+
+
+class Cluster:
+    """A session on a cluster that names no shared folder."""
+
+    def __init__(self):
+        self.sparkContext = types.SimpleNamespace(master="spark://x:7077", getConf=dict)
+        self.conf = {}
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
