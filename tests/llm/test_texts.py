@@ -379,6 +379,8 @@ def test_packing(spark):
             part = ids[k : k + cap]
             want[i, k // cap] = (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want
+    for r in packing.pieces(table(spark), path, cap, ids=True).collect():
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == want[r.doc_id, r.piece][2] and len(r.ids) == r.length
     at = {}
     for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at.get(r.sequence_id, 0)
