@@ -144,13 +144,14 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """(key, id) for every band of every class."""
+    """(key, id, n_shingles) for every band of every class."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [bands_of(registers(x, n)) for x, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in own]))], ["key", "id"])
+        each = [len(x) for x in own]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in (0, 2))], ["key", "id", "n_shingles"])
 
-    return map_batches(reps.select("id", "sig", "n_shingles"), f, "key bigint, id bigint")
+    return map_batches(reps.select("id", "sig", "n_shingles"), f, "key bigint, id bigint, n_shingles bigint")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -305,13 +306,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, hot: int
     # grouped sides of joins are written, so that AQE can split a hot key on the other side
     bands = written(band_keys(reps), "bands")
     least = written(bands.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-    shared = written(bands.join(least, "key").select("key", "id", "b"), "shared")
+    shared = written(bands.join(least, "key").select("key", "id", "n_shingles", "b"), "shared")
     stars = shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links = written(_confirmed(_likely(stars, by_id, percent), docs, words, percent), "links")
     first = components(links)
-    member = written(shared.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "members")
+    member = written(shared.join(first, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("c")), "members")
     mixed = written(member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "mixed")
-    left = member.join(mixed, "key", "left_semi").join(known.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
+    left = member.join(mixed, "key", "left_semi")
     # sets within the threshold's factor of each other have places that differ by 1 at most; a zone holds two places
     place = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
     zones = written(left.withColumn("place", place).withColumn("zone", F.explode(F.array("place", F.col("place") + 1))), "zones")
