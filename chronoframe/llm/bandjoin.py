@@ -9,9 +9,8 @@ pair comes twice, and only prices at which it can reach further than the absolut
 
 An item's own lines don't count. They are found by an ordinary join on the item, summed up before it, and subtracted.
 For the first lines of an item, points are ranked by gap at each price; an item needs those before which fewer than `k`
-lines lie besides its own. At a point the first 2 k lines by (sale_id, line_no, item_id) travel. Where one item has more
-than k of these, the first k lines of other items go with them. So whichever item is left out, k lines are there if the
-point has as many.
+lines lie besides its own. Of a point, the first 2 k lines by (sale_id, line_no, item_id) travel, counting the first k of
+each item only. So whichever item is left out, k lines are there if the point has as many.
 
 Joins are merge joins throughout: no side is collected or broadcast, whatever its size.
 
@@ -77,28 +76,15 @@ def _within(prices: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _first_lines(lines: DataFrame, k: int) -> DataFrame:
-    """(u, lines): at each point, lines of which at least the first k of any items but one are there, in order.
+    """(u, lines): at each point, in order, the first 2 k lines of those that are among the first k of their item there.
 
-    A point is cut to 2 k lines before it is shuffled. An item with more than k of them gives way to k lines of others.
+    Whichever item is left out, k lines or all of the others stay, since no item has more than k of them. Both limits cut
+    what a task has before it is shuffled, so a point or an item that holds a third of the lines is a few rows a task.
     """
-    order = [F.col("sale_id"), F.col("line_no").asc_nulls_first(), F.col("item")]
-    line = F.struct("sale_id", "line_no", "item")
-
-    def first(df: DataFrame, most: int) -> DataFrame:
-        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order))).where(F.col("r") <= most)
-        return ranked.groupBy("u").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-
-    head = written(first(lines, 2 * k), "heads")
-    # the item of the middle line by item: only it can have more than k of at most 2 k lines
-    middle = F.element_at(F.sort_array(F.col("lines.item")), F.lit(k + 1).cast("int"))
-    full = head.where(F.size("lines") == 2 * k).select("u", middle.alias("x"), "lines")
-    crowded = full.where(F.size(F.filter("lines", lambda s: s["item"] == F.col("x"))) > k).select("u", "x")
-    others = lines.join(crowded.select(F.col("u").alias("v"), "x").hint("merge"), F.col("u") == F.col("v")).where("item <> x").drop("v", "x")
-    rest = first(others, k).select(F.col("u").alias("v"), F.col("lines").alias("others"))
-    both = head.hint("merge").join(rest, F.col("u") == F.col("v"), "left")
-    # the same line may be in both: as many copies stay as either has
-    own = F.filter("lines", lambda s: s["item"] == middle)
-    return both.select("u", F.when(F.col("others").isNull(), F.col("lines")).otherwise(F.sort_array(F.concat(own, "others"))).alias("lines"))
+    order = [F.col("sale_id"), F.col("line_no").asc_nulls_first()]
+    few = lines.withColumn("r", F.row_number().over(Window.partitionBy("u", "item").orderBy(*order))).where(F.col("r") <= k)
+    head = few.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order, "item"))).where(F.col("r") <= 2 * k)
+    return head.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sale_id", "line_no", "item"))).alias("lines"))
 
 
 def nearest_lines(items: DataFrame, sale_lines: DataFrame, k: int = 10) -> DataFrame:
