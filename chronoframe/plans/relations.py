@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import annotate, audio, gate, graph, pagerank, report, retrieve
 from ..session import shared_folder
 from ..sources import bindings as b
+from ..sources.index import VectorIndex
 from ..sources.store import VectorStore, new_rows
 from .registry import ROUNDS, query
 from .scalars import GAP, Q0, SAMPLE, _keyframes, _query_vector, r6
@@ -260,6 +261,29 @@ def t01_knn(spark, d):
     return retrieve.nearest(b.vectors(spark, d), _query_vector(spark, d), 10).select("id", r6("distance").alias("distance"))
 
 
+def _index(spark: SparkSession, d: str) -> VectorIndex:
+    """An index of the vectors in the shared folder, made in two appends."""
+    rows = b.vectors(spark, d).select("id", "embedding", "frame_number")
+    index = VectorIndex(spark, os.path.join(shared_folder(spark), "tables", spark.sparkContext.applicationId, f"index-{uuid.uuid4().hex}"))
+    index.create(rows.where("frame_number % 3 <> 0")).append(rows.where("frame_number % 3 = 0"))
+    return index
+
+
+@query(f"SELECT id, round(pow(list_distance(embedding, {Q0}), 2), 6) AS distance FROM vectors ORDER BY pow(list_distance(embedding, {Q0}), 2), id LIMIT 10", "vectors")
+def t01_indexed_knn(spark, d):
+    return _index(spark, d).nearest(_query_vector(spark, d), 10).select("id", r6("distance").alias("distance"))
+
+
+@query("""SELECT query, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id)::INTEGER AS rank
+    FROM (SELECT q.frame_number AS query, v.id, pow(list_distance(v.embedding, q.embedding), 2) AS distance FROM vectors q JOIN vectors v ON q.frame_number % 50 = 0)) WHERE rank <= 10""", "vectors")
+def t01_indexed_many(spark, d):
+    queries = b.vectors(spark, d).where("frame_number % 50 = 0").select("frame_number", "embedding").orderBy("frame_number").collect()
+    numbers = spark.createDataFrame([(k, r["frame_number"]) for k, r in enumerate(queries)], "q int, query bigint")
+    found = _index(spark, d).nearest_each([r["embedding"] for r in queries], 10)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).join(F.broadcast(numbers), "q").select("query", "rank", "id", r6("distance").alias("distance"))
+
+
 @query(f"""SELECT id, round(1 - distance, 6) AS similarity, round(importance, 9) AS importance, round(0.7 * (1 - distance) + 0.3 * importance, 6) AS score, chunk_start, chunk_end
     FROM (SELECT v.id, pow(list_distance(v.embedding, {Q0}), 2) AS distance, r.importance, greatest(0.0, v.timestamp - 2.5) AS chunk_start, v.timestamp + 2.5 AS chunk_end
     FROM vectors v JOIN ranked r ON r.id = v.id ORDER BY distance, v.id LIMIT 10) ORDER BY 0.7 * (1 - distance) + 0.3 * importance DESC, distance, id LIMIT 5""", "vectors", "ranked")
@@ -300,7 +324,5 @@ def u04_minus_self(spark, d):
 
 @query("""SELECT id, count(*) OVER (PARTITION BY video_id ORDER BY frame_number RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS near FROM nodes""", "nodes")
 def w05_range_frame(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("video_id").orderBy("frame_number").rangeBetween(-20, 20)
     return b.nodes(spark, d).select("id", F.count("*").over(w).alias("near"))

@@ -11,6 +11,7 @@ from .. import providers
 from ..config import DEFAULTS, Settings
 from ..functions.text import frame_file, video_id
 from ..operators import annotate, audio, embed, gate, graph, pagerank, report, retrieve
+from ..sources.index import VectorIndex
 from ..sources.store import SessionReports, VectorStore, vector_records
 
 
@@ -70,13 +71,20 @@ def extended_graph(store: VectorStore, known: DataFrame, semantic: DataFrame, se
     return *_ranked(rows, semantic, settings), semantic
 
 
-def ask(store: VectorStore, nodes: DataFrame, question: str, embedder: providers.Embed, k: int = 5, settings: Settings = DEFAULTS) -> DataFrame:
-    """The k best moments for a question, with context; none if the question can't be embedded."""
+def ask(store: VectorStore, nodes: DataFrame, question: str, embedder: providers.Embed, k: int = 5, settings: Settings = DEFAULTS, index: VectorIndex | None = None) -> DataFrame:
+    """The k best moments for a question, with context; none if the question can't be embedded.
+
+    With an index of the store's vectors only the rows that it finds are read, else all.
+    """
     vectors = store.scan()
     try:
         query = [float(x) for x in embedder([question])[0]]
     except Exception:  # a provider's failure is an empty result
         query, vectors = [0.0] * embedder.dims, vectors.where("false")
+    else:
+        if index is not None:
+            near = [r["id"] for r in index.nearest(query, settings.over_fetch * k).collect()]
+            vectors = vectors.where(F.col("id").isin(near) & F.col("video_id").isin(sorted({i.rpartition("_")[0] for i in near})))
     return retrieve.search(vectors, nodes, query, k, include_context=True, settings=settings)
 
 
