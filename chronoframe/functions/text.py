@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,6 +81,7 @@ def one_decimal(x: Column) -> Column:
     return F.format_string("%.1f", F.round(x, 1))
 
 
+@functools.lru_cache(maxsize=4096)
 def ratio(current: str, previous: str) -> float:
     """difflib's ratio of lower-cased texts: 1 if both are empty, 0 if one is. Not symmetric."""
     if not current and not previous:
@@ -89,6 +91,17 @@ def ratio(current: str, previous: str) -> float:
     return difflib.SequenceMatcher(None, current.lower(), previous.lower()).ratio()
 
 
+@functools.lru_cache(maxsize=4096)
+def alike(current: str, previous: str, least: float) -> bool:
+    """Whether `ratio` is at least `least`. Equal texts and difflib's upper bounds settle most pairs; texts repeat, so answers are remembered."""
+    if current == previous:
+        return least <= 1.0
+    if not current or not previous:
+        return least <= 0.0
+    found = difflib.SequenceMatcher(None, current.lower(), previous.lower())
+    return found.real_quick_ratio() >= least and found.quick_ratio() >= least and found.ratio() >= least
+
+
 def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for current, previous in batches:
         yield pd.Series([ratio(a or "", b or "") for a, b in zip(current, previous, strict=True)], dtype="float64")

@@ -11,14 +11,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.image import changed_share
-from ..functions.text import normalized, ratio
+from ..functions.text import alike, normalized, ratio
+from .sampling import by_video, checks, in_order
 
+DECIDED = [pa.field("frame_number", pa.int64()), pa.field("timestamp", pa.float64()), *(pa.field(x, pa.string()) for x in ("decision", "change_type")), pa.field("score", pa.float64()), pa.field("reason", pa.string()), pa.field("accepted", pa.bool_())]
 DECISIONS = "video_id {kind}, frame_number bigint, timestamp double, decision string, change_type string, score double, reason string, accepted boolean"
 
 
@@ -49,10 +51,10 @@ class Gate:
         before = self.recent[-s.flicker_reach :]
         self.recent = [*self.recent, text][-5:]
         folded, last = _folded(text), _folded(self.text)
-        if folded and any(p and ratio(folded, p) >= s.flicker_similarity for p in map(_folded, before)):
+        if folded and any(p and alike(folded, p, s.flicker_similarity) for p in map(_folded, before)):
             return self._said(frame, "flicker")
         if folded and last:
-            same = ratio(folded, last)
+            same = 1.0 if folded == last else ratio(folded, last)
             differs = same < s.text_similarity
         else:
             same, differs = (1.0, False) if folded == last else (0.0, True)
@@ -101,18 +103,26 @@ def decisions_of(frames: Iterable[dict[str, Any]], settings: Settings = DEFAULTS
 def gate(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """A row for each checked frame: decision, what it would be a keyframe for, and whether it became one.
 
-    frames: video_id, frame_number, timestamp, extracted_text, and thumb or pixel_pct. Frames that can't be due under any
-    history aren't removed first: the clock drifts with the frames themselves.
+    frames: video_id, frame_number, timestamp, extracted_text, and thumb or pixel_pct. Frames without a time are left out.
+    A video's sorted frames come to one task in Arrow batches, of which only frames that are due are looked at; from batch
+    to batch the gate's state is carried, so memory is that of a batch however long a video is.
     """
-    columns = [c for c in ("video_id", "frame_number", "timestamp", "extracted_text", "thumb", "pixel_pct") if c in frames.columns]
-    kind = frames.schema["video_id"].dataType.simpleString()
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["timestamp", "frame_number"])
-        rows = list(decisions_of(group.to_dict("records"), settings))
-        return pd.DataFrame(rows, columns=["video_id", "frame_number", "timestamp", "decision", "change_type", "score", "reason", "accepted"])
-
-    return frames.select(*columns).groupBy("video_id").applyInPandas(decide, DECISIONS.format(kind=kind))
+    columns = [c for c in ("extracted_text", "thumb", "pixel_pct") if c in frames.columns]
+    sorted_ = in_order(frames, *columns)
+    schema = DECISIONS.format(kind=sorted_.schema["video_id"].dataType.simpleString())
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, clock = Gate(), checks(settings.sample_interval)
+        for starts, part in by_video(batches):
+            if starts:
+                own, clock = Gate(), checks(settings.sample_interval)
+            # what isn't due never becomes Python objects, its pixels least of all
+            due = part.take(pa.array(clock.kept(part.column(2).to_numpy()), pa.int64()))
+            rows = [said for frame in due.to_pylist() if (said := own.decide(frame, settings)) is not None]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([due.schema.field("video_id"), *DECIDED]))
+
+    return sorted_.mapInArrow(decide, schema)
 
 
 def keyframes(decisions: DataFrame) -> DataFrame:

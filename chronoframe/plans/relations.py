@@ -14,6 +14,7 @@ from ..session import shared_folder
 from ..sources import bindings as b
 from ..sources.index import VectorIndex
 from ..sources.store import VectorStore, new_rows
+from ..streaming import gate as stream_gate
 from .registry import ROUNDS, query
 from .scalars import GAP, Q0, SAMPLE, _keyframes, _query_vector, r6
 
@@ -221,6 +222,35 @@ def g01_keyframe_gate(spark, d):
     return gate.gate(b.frames(spark, d), GATE).select("video_id", "frame_number", r6("timestamp").alias("timestamp"), "decision", "change_type", r6("score").alias("score"), "reason", "accepted")
 
 
+@query("SELECT video_id, frame_number, round(timestamp, 6) AS timestamp, decision, change_type, round(score, 6) AS score, reason, accepted FROM said", "said")
+def g01_late_stream(spark, d):
+    """The gate over events that arrive out of order: five files, up to seven days late, under a watermark of as many."""
+    folder = os.path.join(shared_folder(spark), "tables", spark.sparkContext.applicationId, f"late-{uuid.uuid4().hex}")
+    events = b.table(spark, d, "events").select(F.col("event_id").alias("frame_number"), F.col("ts").cast("timestamp").alias("event_time"))
+    rows = b.frames(spark, d).select("video_id", "frame_number", "timestamp", "extracted_text", "pixel_pct").join(events, "frame_number")
+    late = F.pmod(F.xxhash64("frame_number"), F.lit(7))
+    first = F.lit(events.agg(F.min("event_time")).first()[0])
+    rows = rows.withColumn("batch", F.least(F.floor((F.datediff("event_time", first) + late) / 8), F.lit(4)))
+    rows = pagerank.written(rows)
+    for k in range(5):
+        rows.where(F.col("batch") == k).drop("batch").write.parquet(f"{folder}/in/part={k}")
+    # a row from long after all others lets the watermark pass them
+    end = rows.limit(1).select("video_id", F.lit(-1).cast("bigint").alias("frame_number"), F.lit(0.0).alias("timestamp"), F.lit("").alias("extracted_text"), F.lit(0.0).alias("pixel_pct"), (F.col("event_time") + F.expr("INTERVAL 1000 DAYS")).alias("event_time"))
+    end.coalesce(1).write.parquet(f"{folder}/in/part=5")
+    kind = rows.drop("batch").schema
+    provider, key = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        frames = spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+        decided = stream_gate.late_gate(frames, "15 days", slot=86_400.0, settings=GATE)
+        decided.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, had)
+    said = spark.read.schema(decided.schema).parquet(f"{folder}/out").where("frame_number >= 0")
+    return said.select("video_id", "frame_number", r6("timestamp").alias("timestamp"), "decision", "change_type", r6("score").alias("score"), "reason", "accepted")
+
+
 def _store(spark: SparkSession) -> VectorStore:
     """A collection of (id, video_id, frame_number) in the shared folder."""
     return VectorStore(spark, os.path.join(shared_folder(spark), "collections", uuid.uuid4().hex), "id string, frame_number bigint, video_id bigint")

@@ -1,15 +1,24 @@
-"""The keyframe gate over a stream of frames, with the batch form's state machine."""
+"""The keyframe gate over streams of frames, with the batch form's state machine.
+
+`gate` decides frames as they come and needs them in order. `late_gate` takes them in any order within a delay: frames
+wait in state until the watermark has passed them, and are then decided in time order, so the order of arrival makes no
+difference. What is later than the delay is dropped and counted by Spark (`numRowsDroppedByWatermark` of the progress).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Settings
 from ..operators.gate import DECISIONS, Gate
+from ..operators.sampling import checks
 
 STATE = "text string, time double, thumb binary, recent array<string>, due double, latest double"
 
@@ -40,3 +49,100 @@ def gate(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         yield pd.DataFrame(rows, columns=["video_id", "frame_number", "timestamp", "decision", "change_type", "score", "reason", "accepted"])
 
     return frames.select(*columns).groupBy("video_id").applyInPandasWithState(decide, DECISIONS.format(kind=kind), STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+NAMES = ["video_id", "frame_number", "timestamp", "decision", "change_type", "score", "reason", "accepted"]
+#: Frames that wait: when they happened in microseconds, and what the gate needs of them.
+WAITING = "us bigint, frame_number bigint, timestamp double, extracted_text string, thumb binary, pixel_pct double"
+HELD = "text string, time double, thumb binary, recent array<string>, due double"
+
+
+class LateGate(StatefulProcessor):
+    """A video's waiting frames and its gate. One timer a video: the end of the earliest slot in which a frame waits.
+
+    When the watermark has passed the end of a slot no more frames of it can come, so all frames up to there are decided.
+    The sampler's clock runs ahead of the gate's texts and pixels: frames that aren't due leave without being looked at.
+    """
+
+    def __init__(self, settings: Settings, slot_ms: int) -> None:
+        self.settings, self.slot = settings, slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.held = handle.getValueState("gate", HELD)
+        self.clock = handle.getValueState("clock", "last double, n bigint")
+        self.timer = handle.getValueState("timer", "ms bigint")
+        self.counts = handle.getMapState("counts", "decision string", "n bigint")
+
+    def _wait_until(self, ms: int) -> None:
+        """Sets the video's timer, if none is due sooner."""
+        if self.timer.exists():
+            (now,) = self.timer.get()
+            if now <= ms:
+                return
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
+    def _end_of_slot(self, us: int) -> int:
+        return (us // 1000 // self.slot + 1) * self.slot
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            new = [(int(r[0]), int(r[1]), float(r[2]), *(None if x is None or x != x else x for x in r[3:])) for r in zip(*(part[c] for c in ("us", "frame_number", "timestamp", "extracted_text", "thumb", "pixel_pct")), strict=True)]
+            if new:
+                self.waiting.appendList(new)
+                first = min(new[0][0] if first is None else first, *(x[0] for x in new))
+        if first is not None:
+            self._wait_until(self._end_of_slot(first))
+        yield pd.DataFrame(columns=NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        upto = timerValues.getCurrentWatermarkInMs() // self.slot * self.slot * 1000  # in microseconds: slots that have ended
+        every = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((tuple(x) for x in every if x[0] < upto), key=lambda x: (x[2], x[1]))
+        rest = [tuple(x) for x in every if x[0] >= upto]
+        if rest:
+            self.waiting.put(rest)
+            self._wait_until(self._end_of_slot(min(x[0] for x in rest)))
+        elif every:
+            self.waiting.clear()
+        yield pd.DataFrame(self._decided(key[0], ready), columns=NAMES)
+
+    def _decided(self, video, ready: list[tuple]) -> list[dict]:
+        own, clock = Gate(), checks(self.settings.sample_interval)
+        if self.clock.exists():
+            clock.last, clock.n = self.clock.get()
+        if self.held.exists():
+            text, time, thumb, recent, due = self.held.get()
+            own = Gate(text, time, thumb, list(recent), due)
+        said = []
+        for i in clock.kept(np.array([x[2] for x in ready], np.float64)):
+            _, number, time, text, thumb, share = ready[i]
+            one = own.decide({"video_id": video, "frame_number": number, "timestamp": time, "extracted_text": text, "thumb": thumb, "pixel_pct": share}, self.settings)
+            if one is not None:
+                said.append(one)
+                had = self.counts.getValue((one["decision"],)) if self.counts.containsKey((one["decision"],)) else (0,)
+                self.counts.updateValue((one["decision"],), (had[0] + 1,))
+        if ready:
+            self.clock.update((clock.last, clock.n))
+            self.held.update((own.text, own.time, own.thumb, own.recent, own.due))
+        return said
+
+
+def late_gate(frames: DataFrame, delay: str, event_time: str = "event_time", slot: float = 10.0, settings: Settings = DEFAULTS) -> DataFrame:
+    """Decisions on a streaming DataFrame of frames that come in any order, but no later than `delay`.
+
+    event_time: when a frame happened; within a video it grows with `timestamp`. Frames are decided by slots of `slot`
+    seconds, so a decision comes at most delay + slot after its frame. Frames without a time or a video are left out. The
+    query needs the RocksDB state store (`session.session` names it).
+    """
+    own = frames.where(F.col("timestamp").isNotNull() & F.col(event_time).isNotNull() & F.col("video_id").isNotNull())
+    optional = [F.col(c) if c in frames.columns else F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("thumb", "binary"), ("pixel_pct", "double"))]
+    own = own.select("video_id", F.col(event_time).cast("timestamp").alias("__at"), F.col("frame_number").cast("bigint").alias("frame_number"), F.col("timestamp").cast("double").alias("timestamp"), *optional)
+    own = own.withWatermark("__at", delay).withColumn("us", F.unix_micros("__at"))
+    kind = frames.schema["video_id"].dataType.simpleString()
+    return own.groupBy("video_id").transformWithStateInPandas(LateGate(settings, max(1, int(slot * 1000))), DECISIONS.format(kind=kind), "Append", "EventTime")
