@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import responses, text, vector
-from ..operators import annotate, embed, gate, retrieve, sampling
+from ..operators import annotate, embed, gate, retrieve, sampling, split
 from ..sources import bindings as b
 from ..sources.media import FORMATS, accepted, frames_between
 from .registry import query
@@ -204,6 +204,14 @@ def p04_time_sampler(spark, d):
     return sampling.sampled(b.frames(spark, d), SAMPLE).select("video_id", "frame_number", r6("timestamp").alias("timestamp"))
 
 
+@query(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS rn FROM frames),
+    s AS (SELECT video_id, frame_number, timestamp, {SAMPLE}::DOUBLE AS due FROM f WHERE rn = 1
+    UNION ALL SELECT s.video_id, arg_min(f.frame_number, f.timestamp), min(f.timestamp), min(f.timestamp) + {SAMPLE}::DOUBLE FROM s JOIN f ON f.video_id = s.video_id AND f.rn > 1 AND f.timestamp >= s.due GROUP BY s.video_id)
+    SELECT video_id, frame_number, round(timestamp, 6) AS timestamp FROM s""", "frames")
+def p04_split_sampler(spark, d):
+    return split.sampled(b.frames(spark, d), SAMPLE).select("video_id", "frame_number", r6("timestamp").alias("timestamp"))
+
+
 @query("""SELECT frame_number, CASE WHEN now <> '' AND coalesce(prior, '') <> '' THEN now <> prior ELSE now <> coalesce(prior, '') END AS differs
     FROM (SELECT frame_number, lower(extracted_text) AS now, lag(lower(extracted_text)) OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS prior FROM frames)""", "frames")
 def p05_text_differs(spark, d):
@@ -224,6 +232,14 @@ def p08_min_gap(spark, d):
     return sampling.spaced(b.frames(spark, d), GAP).select("video_id", "frame_number", r6("timestamp").alias("timestamp"))
 
 
+@query(f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS rn FROM frames),
+    s AS (SELECT video_id, frame_number, timestamp FROM f WHERE rn = 1
+    UNION ALL SELECT s.video_id, arg_min(f.frame_number, f.timestamp), min(f.timestamp) FROM s JOIN f ON f.video_id = s.video_id AND f.timestamp - s.timestamp >= {GAP} GROUP BY s.video_id)
+    SELECT video_id, frame_number, round(timestamp, 6) AS timestamp FROM s""", "frames")
+def p08_split_gap(spark, d):
+    return split.spaced(b.frames(spark, d), GAP).select("video_id", "frame_number", r6("timestamp").alias("timestamp"))
+
+
 @query("""SELECT frame_number, t <> '' AND (coalesce(t = lag(t, 1) OVER w, false) OR coalesce(t = lag(t, 2) OVER w, false) OR coalesce(t = lag(t, 3) OVER w, false)) AS flicker
     FROM (SELECT *, lower(extracted_text) AS t FROM frames) WINDOW w AS (PARTITION BY video_id ORDER BY timestamp, frame_number)""", "frames")
 def p09_flicker_exact(spark, d):
