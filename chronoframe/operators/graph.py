@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,36 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions import vector
+from ..functions import clusters, vector
+from .pagerank import written
 
 #: Rows of vectors in one block of the comparison.
 BLOCK = 1_024
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, new: Column | None = None) -> DataFrame:
-    """(source, target, similarity) of all pairs with cosine >= threshold, source before target by `ord`.
+PACKS = "b int, ids array<string>, ords array<bigint>, rows binary"
+PAIRS = "source string, target string, similarity double"
 
-    Every pair has to be compared, within and across videos. Vectors are packed into blocks, each pair of blocks meets
-    once, by an equality join on the pair, and a block pair is one matrix product; only pairs that pass become rows.
-    new: which vectors are new; then only pairs with a new one are compared, new x all instead of all x all.
-    """
-    added = F.lit(True) if new is None else F.coalesce(new, F.lit(False))
-    sizes = vectors.agg(F.count_if(added), F.count_if(~added)).first()
-    n_new, n_old = (-(-n // block) for n in sizes)
-    n_new = max(1, n_new)
-    salt = F.xxhash64("id")
-    # new blocks come first; they meet all blocks, the others only new ones
-    at = F.when(added, F.pmod(salt, F.lit(n_new))).otherwise(n_new + F.pmod(salt, F.lit(max(1, n_old)))).cast("int")
-    last = F.when(F.col("b") < n_new, n_new + n_old - 1).otherwise(n_new - 1)
 
-    def packed(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_pylist()
-        rows = np.array(group.column("embedding").to_pylist(), np.float64)
-        return pa.table({"b": group.column("b").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.string())), "ords": pa.array([group.column("ord").to_pylist()], pa.list_(pa.int64())), "rows": pa.array([rows.tobytes()], pa.binary())})
+def _packed(group: pa.Table) -> pa.Table:
+    ids = group.column("id").to_pylist()
+    rows = np.array(group.column("embedding").to_pylist(), np.float64)
+    return pa.table({"b": group.column("b").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.string())), "ords": pa.array([group.column("ord").to_pylist()], pa.list_(pa.int64())), "rows": pa.array([rows.tobytes()], pa.binary())})
 
-    own = vectors.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("bigint").alias("ord"), vector.doubles(F.col("embedding")).alias("embedding"), at.alias("b"))
-    packs = own.groupBy("b").applyInArrow(packed, "b int, ids array<string>, ords array<bigint>, rows binary")
-    meet = packs.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "ids", "ords", "rows")
+
+def _compared(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Similar pairs between the two sides of a block pair, or within the one of a block with itself."""
 
     def compare(group: pa.Table) -> pa.Table:
         sides = sorted(zip(group.column("b").to_pylist(), group.column("ids").to_pylist(), group.column("ords").to_pylist(), group.column("rows").to_pylist(), strict=True), key=lambda s: s[0])
@@ -63,7 +53,105 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, new:
         s, t, c = out[0]
         return pa.table({"source": pa.array(s, pa.string()), "target": pa.array(t, pa.string()), "similarity": pa.array(c, pa.float64())})
 
-    return meet.groupBy("x", "y").applyInArrow(compare, "source string, target string, similarity double")
+    return compare
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, new: Column | None = None) -> DataFrame:
+    """(source, target, similarity) of all pairs with cosine >= threshold, source before target by `ord`.
+
+    Every pair has to be compared, within and across videos. Vectors are packed into blocks, each pair of blocks meets
+    once, by an equality join on the pair, and a block pair is one matrix product; only pairs that pass become rows.
+    new: which vectors are new; then only pairs with a new one are compared, new x all instead of all x all.
+    """
+    added = F.lit(True) if new is None else F.coalesce(new, F.lit(False))
+    sizes = vectors.agg(F.count_if(added), F.count_if(~added)).first()
+    n_new, n_old = (-(-n // block) for n in sizes)
+    n_new = max(1, n_new)
+    salt = F.xxhash64("id")
+    # new blocks come first; they meet all blocks, the others only new ones
+    at = F.when(added, F.pmod(salt, F.lit(n_new))).otherwise(n_new + F.pmod(salt, F.lit(max(1, n_old)))).cast("int")
+    last = F.when(F.col("b") < n_new, n_new + n_old - 1).otherwise(n_new - 1)
+
+    own = vectors.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("bigint").alias("ord"), vector.doubles(F.col("embedding")).alias("embedding"), at.alias("b"))
+    packs = own.groupBy("b").applyInArrow(_packed, PACKS)
+    meet = packs.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "ids", "ords", "rows")
+
+    return meet.groupBy("x", "y").applyInArrow(_compared(threshold), PAIRS)
+
+
+def balls(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of vectors that point the same way, written: what `similar_pairs` packs, and each block's centre and angle.
+
+    Directions are fitted to a sample; their number and the sample grow by the root of the vectors. A direction with more
+    than `block` vectors is several blocks. Vectors that are null or zero are in none.
+    """
+    own = vectors.select(F.col("id").cast("string").alias("id"), F.col("ord").cast("bigint").alias("ord"), vector.doubles(F.col("embedding")).alias("embedding")).where(F.exists("embedding", lambda x: x != 0))
+    n = own.count()
+    centres = clusters.fitted(own.select("id", vector.unit(F.col("embedding")).alias("embedding")), max(1, round(math.sqrt(n) / 2)))
+
+    def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            cell = clusters.assigned(x / np.linalg.norm(x, axis=1, keepdims=True), centres)[0] if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
+
+    placed = written(own.mapInArrow(directed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", cell int"))
+    # blocks are numbered by direction and part; a direction is a row here
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    first = {r["cell"]: r for r in parts.orderBy("cell").collect()}
+    starts = np.cumsum([0, *(first[c]["parts"] for c in sorted(first))])
+    numbers = vectors.sparkSession.createDataFrame([(c, int(starts[k]), first[c]["parts"]) for k, c in enumerate(sorted(first))], "cell int, first int, parts int")
+    numbered = placed.join(F.broadcast(numbers), "cell").withColumn("b", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+
+    def ball(group: pa.Table) -> pa.Table:
+        packed = _packed(group)
+        x = np.frombuffer(packed.column("rows")[0].as_py(), np.float64).reshape(group.num_rows, -1)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        centre = x.mean(0)
+        length = np.linalg.norm(centre)
+        centre = centre / length if length > 0 else x[0]
+        angle = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        return packed.append_column("centre", pa.array([centre.tolist()], pa.list_(pa.float64()))).append_column("angle", pa.array([angle]))
+
+    return written(numbered.select("id", "ord", "embedding", "b").groupBy("b").applyInArrow(ball, f"{PACKS}, centre array<double>, angle double"))
+
+
+def meeting_balls(blocks: DataFrame, threshold: float, together: int = BLOCK) -> DataFrame:
+    """(x, y) of blocks, x <= y, that may hold a similar pair: their centres are no further apart than both angles and the threshold's.
+
+    Centres meet as vectors do, packed, a matrix product for each two packs; a pack stands for about a million vectors.
+    """
+    n = max(1, -(-blocks.count() // together))
+    packs = blocks.select("b", "centre", "angle", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int").alias("p"))
+    met = packs.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("p", "o").alias("m"), F.greatest("p", "o").alias("q"), "p", "b", "centre", "angle")
+    most = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def near(group: pa.Table) -> pa.Table:
+        pack, b, angle = (group.column(c).to_numpy() for c in ("p", "b", "angle"))
+        x = np.array(group.column("centre").to_pylist(), np.float64)
+        one, two = (np.flatnonzero(pack == group.column(c)[0].as_py()) for c in ("m", "q"))
+        apart = np.arccos(np.clip(x[one] @ x[two].T, -1, 1))
+        i, j = np.nonzero(apart <= angle[one][:, None] + angle[two][None, :] + most)
+        u, v = b[one][i], b[two][j]
+        keep = (u <= v) | (group.column("m")[0].as_py() != group.column("q")[0].as_py())
+        return pa.table({"x": pa.array(np.minimum(u, v)[keep], pa.int32()), "y": pa.array(np.maximum(u, v)[keep], pa.int32())})
+
+    return met.groupBy("m", "q").applyInArrow(near, "x int, y int")
+
+
+def similar_pairs_pruned(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """`similar_pairs`, exact, where blocks are balls of near directions, and only balls that can hold a pair meet.
+
+    It pays where vectors lie in groups and thresholds are high; without structure nearly all balls meet. A threshold of
+    0 or less is met by nearly all pairs and left to `similar_pairs`.
+    """
+    if threshold <= 0:
+        return similar_pairs(vectors, threshold, block)
+    blocks = balls(vectors, block)
+    pairs = written(meeting_balls(blocks, threshold))
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    meet = blocks.select("b", "ids", "ords", "rows").join(sides, "b").select("x", "y", "b", "ids", "ords", "rows")
+    return meet.groupBy("x", "y").applyInArrow(_compared(threshold), PAIRS)
 
 
 def similar_pairs_approximately(vectors: DataFrame, threshold: float, tables: int = 4, width: float = 2.0, seed: int = 5) -> DataFrame:
@@ -87,10 +175,10 @@ def similar_pairs_approximately(vectors: DataFrame, threshold: float, tables: in
     return found.where(F.col("similarity") >= threshold)
 
 
-def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similarity, decay: float = DEFAULTS.temporal_decay, reach: int = DEFAULTS.max_temporal_distance, distance_unit: str = "frame", new: Column | None = None) -> DataFrame:
+def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similarity, decay: float = DEFAULTS.temporal_decay, reach: int = DEFAULTS.max_temporal_distance, distance_unit: str = "frame", new: Column | None = None, pruned: bool = False) -> DataFrame:
     """Edges of similar vectors; the weight decays with the distance between a video's frames.
 
-    new: which vectors are new; then only edges with a new end are made.
+    new: which vectors are new; then only edges with a new end are made. pruned: by `similar_pairs_pruned`, for all.
 
     distance_unit: 'frame' counts raw frame numbers, 'ordinal' positions among the video's keyframes.
     """
@@ -99,7 +187,7 @@ def semantic_edges(vectors: DataFrame, threshold: float = DEFAULTS.edge_similari
         nodes = nodes.withColumn("frame_number", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number")))
     elif distance_unit != "frame":
         raise ValueError("distance_unit is 'frame' or 'ordinal'")
-    pairs = similar_pairs(vectors, threshold, new=new)
+    pairs = similar_pairs_pruned(vectors, threshold) if pruned else similar_pairs(vectors, threshold, new=new)
     a = nodes.select(F.col("id").alias("source"), F.col("video_id").alias("va"), F.col("frame_number").alias("fa"))
     b = nodes.select(F.col("id").alias("target"), F.col("video_id").alias("vb"), F.col("frame_number").alias("fb"))
     both = pairs.join(a, "source").join(b, "target").withColumn("same_video", F.col("va") == F.col("vb"))

@@ -55,6 +55,11 @@ def j02_semantic_edges(spark, d):
     return _rounded(_semantic(spark, d))
 
 
+@query("SELECT source, target, round(weight, 6) AS weight, edge_type, same_video, round(similarity, 6) AS similarity, temporal_distance FROM sem", "sem")
+def j02_pruned_edges(spark, d):
+    return _rounded(graph.semantic_edges(b.vectors(spark, d).select("id", "video_id", "frame_number", "embedding", "ord"), THRESHOLD, pruned=True))
+
+
 @query("SELECT * FROM tem", "tem")
 def j03_temporal_edges(spark, d):
     return _temporal(spark, d)

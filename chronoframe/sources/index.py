@@ -11,8 +11,8 @@ The table has a folder for each append and cell, sorted by id, so that codes, wh
 without the vectors, and a candidate's vector costs a page. An append counts from the moment that its row of totals is
 there; one that failed before leaves files that nothing reads.
 
-The number of cells is about the root of the rows at creation, and the sample that centres are fitted to has `PER_CENTRE`
-rows for each: both grow by the root of the table. An index that has grown a lot is best created anew.
+The number of cells is about the root of the rows at creation, and the sample that centres are fitted to has
+`clusters.PER_CENTRE` rows for each: both grow by the root of the table. An index that has grown a lot is best created anew.
 """
 
 from __future__ import annotations
@@ -27,42 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from ..functions import clusters, vector
 
-#: Rows of the sample for each centre; rounds of fitting.
-PER_CENTRE, ROUNDS = 16, 8
 #: Queries that meet a code at once, and candidates up to which their ids are sent with the plan; more are joined.
 MOST_QUERIES, MOST_IDS = 1_000, 5_000
 #: Distances are compared with this much room for rounding.
 ROOM = 1e-9
 
 
-def _fitted(sample: np.ndarray, cells: int) -> np.ndarray:
-    """Centres by Lloyd's rounds from evenly spaced rows; a centre that loses all its rows stays where it was."""
-    centres = sample[np.linspace(0, len(sample) - 1, cells).astype(int)].copy()
-    for _ in range(ROUNDS):
-        own = _assigned(sample, centres)[0]
-        total, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
-        np.add.at(total, own, sample)
-        centres[n > 0] = total[n > 0] / n[n > 0, None]
-    return centres
-
-
-def _assigned(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row, and the distance to it."""
-    own = np.concatenate([np.argmin((centres**2).sum(1) - 2 * part @ centres.T, 1) for part in (x[i : i + rows] for i in range(0, len(x), rows))] or [np.zeros(0, np.int64)])
-    return own, np.sqrt(((x - centres[own]) ** 2).sum(1))
-
-
-def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the rows that are vectors of `dims` finite numbers, and these vectors."""
-    size = column.value_lengths().fill_null(-1).to_numpy()
-    good = np.flatnonzero(size == dims)
-    x = column.take(pa.array(good)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dims)
-    fine = np.isfinite(x).all(1)  # nulls inside a vector are NaN here
-    return good[fine], x[fine]
-
-
 class VectorIndex:
     """An index in a folder that driver and executors share."""
 
@@ -77,9 +49,7 @@ class VectorIndex:
         own = rows.select("id", "embedding").where("embedding IS NOT NULL")
         n, dims = own.agg(F.count("*"), F.mode(F.size("embedding"))).first()
         cells = max(1, round(math.sqrt(n) / 2))
-        sample = own.where(F.size("embedding") == dims).orderBy(F.xxhash64("id"), "id").limit(cells * PER_CENTRE).select("embedding").toArrow().column(0).combine_chunks() if n else None
-        x = _matrix(sample, dims)[1] if n else np.zeros((0, 0))
-        centres = _fitted(x, min(cells, len(x))) if len(x) else np.zeros((1, dims or 1))
+        centres = clusters.fitted(own.where(F.size("embedding") == dims), cells) if n else np.zeros((1, dims or 1))
         self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{self.path}/centres")
         kind = rows.schema["embedding"].dataType.simpleString()
         self.spark.createDataFrame([], f"id string, embedding {kind}").write.parquet(f"{self.path}/kind")
@@ -103,8 +73,8 @@ class VectorIndex:
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good, x = _matrix(batch.column(1), dims)
-                own, away = _assigned(x, centres)
+                good, x = clusters.matrix(batch.column(1), dims)
+                own, away = clusters.assigned(x, centres)
                 rest = x - centres[own]
                 scale = np.maximum(np.abs(rest).max(1, initial=0.0) / 127, 1e-300)
                 code = np.rint(rest / scale[:, None]).astype(np.int8)

@@ -95,6 +95,25 @@ def test_similar_pairs(spark, block):
     assert found == {("A0", "A5"): 0.8, ("A0", "B0"): 0.6, ("A5", "A20"): 0.6, ("A5", "B0"): 0.96, ("A20", "B0"): 0.8}
 
 
+def test_pruned_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(12, 24))[rng.integers(0, 12, 900)] + rng.normal(size=(900, 24)) * 0.15
+    m[:200] = m[0]  # one block's direction holds many copies
+    rows = [(f"n{i}", i, v.tolist()) for i, v in enumerate(m)] + [("zero", 9999, [0.0] * 24), ("none", 9998, None)]
+    vectors = spark.createDataFrame(rows, "id string, ord bigint, embedding array<double>").repartition(3)
+    skipped = {}
+    for threshold in (0.5, 0.9):
+        exact = {(r.source, r.target): round(r.similarity, 9) for r in graph.similar_pairs(vectors.where("id <> 'none'"), threshold).collect()}
+        found = graph.similar_pairs_pruned(vectors, threshold, block=64).collect()
+        assert {(r.source, r.target): round(r.similarity, 9) for r in found} == exact and len(found) == len(exact) > 10_000
+        blocks = graph.balls(vectors, 64)
+        n, met = blocks.count(), graph.meeting_balls(blocks, threshold, together=5)
+        assert met.count() == met.distinct().count()
+        skipped[threshold] = 1 - met.count() / (n * (n + 1) / 2)
+    assert skipped[0.9] > 0.5 and skipped[0.5] > 0.2, skipped  # 0.54 and 0.25: the copies alone are four blocks that all meet
+    assert graph.similar_pairs_pruned(vectors.where("false"), 0.5).count() == 0
+
+
 def test_similar_pairs_approximately(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(600, 24))
