@@ -40,7 +40,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digests(table(spark, sf_dir, "documents"))
+    return lines.digests(table(spark, sf_dir, "documents"), maximal=True)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,8 @@ _OP6 = f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) A
 l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM t),
 k AS (SELECT doc_id, p, ls[p] AS x, len({_WORDS.format("ls[p]")}) AS c FROM l),
 u AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY p) AS cum FROM k),
-q AS (SELECT a.doc_id, a.p, min(b.p) AS q FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.cum - a.cum + a.c >= 10 WHERE a.c > 0 GROUP BY ALL),
+w AS (SELECT a.doc_id, a.p, b.p AS q, b.cum - a.cum AS later, min(b.p) OVER (PARTITION BY a.doc_id, a.p) AS least FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.cum - a.cum + a.c >= 10 AND b.cum - a.cum - b.c < 10 WHERE a.c > 0),
+q AS (SELECT doc_id, p, q FROM w WHERE q = least OR later < 10),
 g AS (SELECT doc_id, p, q, row_number() OVER (PARTITION BY array_to_string(ls[p:q], chr(10)), q - p ORDER BY doc_id, p) AS n FROM q JOIN t USING (doc_id)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM g WHERE n > 1)
 SELECT k.doc_id, count(*) AS n_lines, count(gone.p) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY k.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
