@@ -258,7 +258,7 @@ def g01_late_stream(spark, d):
 
 def _store(spark: SparkSession) -> VectorStore:
     """A collection of (id, video_id, frame_number) in the shared folder."""
-    return VectorStore(spark, os.path.join(shared_folder(spark), "collections", uuid.uuid4().hex), "id string, frame_number bigint, video_id bigint")
+    return VectorStore(spark, os.path.join(shared_folder(spark), "tables", spark.sparkContext.applicationId, f"store-{uuid.uuid4().hex}"), "id string, frame_number bigint, video_id bigint")
 
 
 @query("SELECT video_id, count(*) AS n, min(id) AS first_id FROM nodes GROUP BY video_id", "nodes")

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: The fresh folder of each application that names none, in local mode.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names for checkpoints, or a fresh one in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -15,12 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="chronoframe-")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="chronoframe-")
+    return _OWN[app]
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Deletes the tables that this application's operators have written to the shared folder, whose results aren't needed any more."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if folder:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables/{spark.sparkContext.applicationId}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

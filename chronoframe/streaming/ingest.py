@@ -17,9 +17,12 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def into_store(rows: DataFrame, store: VectorStore, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends a stream's rows to the vector table. A batch that runs again adds nothing: ids that exist are left out."""
+    """Appends a stream's rows to the vector table. A batch that runs again adds nothing: the table knows the last one.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        store.append(prepare(batch) if prepare else batch)
+    The checkpoint's path names the stream.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        store.append(prepare(batch) if prepare else batch, batch=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

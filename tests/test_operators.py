@@ -206,6 +206,47 @@ def test_store(spark, tmp_path):
     assert store.scan().count() == 0 and store.append(rows) == 3
 
 
+def test_appends_at_once_add_each_id_once(spark, tmp_path, monkeypatch):
+    schema = "id string, frame_number bigint, video_id string"
+    made = lambda a, b, v="v": spark.createDataFrame([(f"{v}_{i}", i, v) for i in range(a, b)], schema)
+    store, other = VectorStore(spark, str(tmp_path / "x"), schema), VectorStore(spark, str(tmp_path / "x"), schema)
+    assert store.append(made(0, 5)) == 5
+    put, turns = store._put, []
+
+    def late(number, listed):  # another writer is always a little faster, twice
+        if len(turns) < 2:
+            turns.append(other.append(made(4, 8) if not turns else made(20, 22)))
+        return put(number, listed)
+
+    monkeypatch.setattr(store, "_put", late)
+    assert store.append(made(3, 10)) == 2 and turns == [3, 2]  # 8 and 9 are left
+    ids = [r.id for r in store.scan().collect()]
+    assert sorted(ids) == sorted(set(ids)) and len(ids) == 12 == other.scan().count()
+    before = store.scan()
+    store.clear()
+    assert other.scan().count() == 0 and before.count() == 12  # a reader of an older version finishes
+    assert store.append(made(0, 3)) == 3 and store.vacuum() >= 3 and other.scan().count() == 3
+
+
+def test_appends_read_only_their_videos_and_replays_read_nothing(spark, tmp_path, monkeypatch):
+    schema = "id string, frame_number bigint, video_id string"
+    store = VectorStore(spark, str(tmp_path / "x"), schema)
+    rows = [(f"v{v}_{i}", i, f"v{v}") for v in range(5) for i in range(20)]
+    assert store.append(spark.createDataFrame(rows, schema), batch=("s", 3)) == 100
+    had, read = [], store._read
+
+    def seen(folders):
+        had.append(read(folders))
+        return had[-1]
+
+    monkeypatch.setattr(store, "_read", seen)
+    assert store.append(spark.createDataFrame(rows, schema), batch=("s", 3)) == 0 and store.append(spark.createDataFrame(rows, schema), batch=("s", 2)) == 0 and not had
+    assert store.append(spark.createDataFrame([("v1_3", 3, "v1"), ("v1_99", 99, "v1"), ("%_1", 1, "a b/%")], schema), batch=("s", 4)) == 2
+    assert store.append(spark.createDataFrame([("v2_3", 3, "v2")], schema), batch=("t", 0)) == 0
+    assert store.scan().count() == 102 and store.scan("a b/%").count() == 1
+    assert store._latest()[1]["streams"] == {"s": 4, "t": 0}
+
+
 def test_ingest_stream(spark, tmp_path):
     store, source = VectorStore(spark, str(tmp_path / "vectors")), str(tmp_path / "in")
     rows = keyframe_rows(spark)
