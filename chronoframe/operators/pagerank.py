@@ -27,16 +27,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def iterate(source: np.ndarray, target: np.ndarray, weight: np.ndarray, n: int, damping: float, rounds: int, tolerance: float | None) -> np.ndarray:
-    """Ranks of vertices 0..n-1; stops early once the change is under n * tolerance, and raises if it never is."""
+def iterate(source: np.ndarray, target: np.ndarray, weight: np.ndarray, n: int, damping: float, rounds: int, tolerance: float | None, start: np.ndarray | None = None, took: list[int] | None = None) -> np.ndarray:
+    """Ranks of vertices 0..n-1; stops early once the change is under n * tolerance, and raises if it never is.
+
+    start: ranks to begin with instead of even ones; took: gets the number of rounds.
+    """
     out = np.bincount(source, weight, n)
     share = weight / np.where(out[source] == 0, 1, out[source])
     hanging = out == 0
-    rank = np.full(n, 1 / n)
-    for _ in range(rounds):
+    rank = np.full(n, 1 / n) if start is None else start
+    for k in range(rounds):
         new = damping * (np.bincount(target, rank[source] * share, n) + rank[hanging].sum() / n) + (1 - damping) / n
         done = tolerance is not None and np.abs(new - rank).sum() < n * tolerance
         rank = new
+        if took is not None:
+            took[:] = [k + 1]
         if done:
             return rank
     if tolerance is not None:
@@ -44,39 +49,53 @@ def iterate(source: np.ndarray, target: np.ndarray, weight: np.ndarray, n: int,
     return rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, small: int = SMALL) -> DataFrame:
-    """(id, importance). tolerance: None runs exactly `rounds` rounds."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, small: int = SMALL, start: DataFrame | None = None, took: list[int] | None = None) -> DataFrame:
+    """(id, importance). tolerance: None runs exactly `rounds` rounds.
+
+    start: (id, importance) of an earlier run. Where a graph has grown by a little, most ranks are nearly right already and
+    fewer rounds are left; what they settle to doesn't depend on where they begin. Vertices that it lacks begin evenly.
+    took: gets the number of rounds of a graph that iterates as tables.
+    """
     ids = nodes.select(F.col("id").cast("string").alias("id")).distinct()
     links = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
     links = written(links)  # making edges may be costly; they are counted first and read again
     size = ids.count()
     if size == 0:
         return ids.select("id", F.lit(0.0).alias("importance"))
+    begun = None
+    if start is not None:
+        known = start.select(F.col("id").cast("string").alias("id"), F.col("importance").cast("double").alias("known")).dropDuplicates(["id"])
+        had = known.count()
+        begun = ids.join(known, "id", "left").select("id", F.coalesce(F.col("known") * (had / size), F.lit(1.0 / size)).alias("begun"))
     if size <= small and links.limit(small + 1).count() <= small:
-        rows = ids.select("id", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("weight")).unionByName(links.withColumnRenamed("source", "id"))
+        first = ids.withColumn("begun", F.lit(1.0 / size)) if begun is None else begun
+        rows = first.select("id", F.lit(None).cast("string").alias("target"), F.col("begun").alias("weight")).unionByName(links.withColumnRenamed("source", "id"))
 
         def f(group: pd.DataFrame) -> pd.DataFrame:
-            own = np.sort(group.loc[group["target"].isna(), "id"].to_numpy(object))
+            vertices = group[group["target"].isna()].sort_values("id")
+            own, first = vertices["id"].to_numpy(object), vertices["weight"].to_numpy(float)
             edge = group[group["target"].notna()].sort_values(["id", "target"])
             s, t = np.searchsorted(own, edge["id"].to_numpy(object)), np.searchsorted(own, edge["target"].to_numpy(object))
-            return pd.DataFrame({"id": own, "importance": iterate(s, t, edge["weight"].to_numpy(float), len(own), damping, rounds, tolerance)})
+            return pd.DataFrame({"id": own, "importance": iterate(s, t, edge["weight"].to_numpy(float), len(own), damping, rounds, tolerance, first)})
 
         return rows.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(f, "id string, importance double")
-    return _iterated(ids, links, size, damping, rounds, tolerance)
+    return _iterated(ids, links, size, damping, rounds, tolerance, begun, took)
 
 
-def _iterated(ids: DataFrame, links: DataFrame, n: int, damping: float, rounds: int, tolerance: float | None) -> DataFrame:
+def _iterated(ids: DataFrame, links: DataFrame, n: int, damping: float, rounds: int, tolerance: float | None, begun: DataFrame | None = None, took: list[int] | None = None) -> DataFrame:
     """The same recurrence as joins and sums; each round's ranks are written before the next reads them."""
     out = links.groupBy("source").agg(F.sum("weight").alias("out")).where("out > 0")
     shares = written(links.join(out, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")))
     senders = written(out.select(F.col("source").alias("id")))
-    rank = written(ids.select("id", F.lit(1.0 / n).alias("r")))
-    for _ in range(rounds):
+    rank = written(ids.select("id", F.lit(1.0 / n).alias("r")) if begun is None else begun.withColumnRenamed("begun", "r"))
+    for k in range(rounds):
         hanging = rank.join(senders, "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         got = shares.join(rank.withColumnRenamed("id", "source"), "source").groupBy("target").agg(F.sum(F.col("r") * F.col("share")).alias("got"))
         new = rank.join(got.withColumnRenamed("target", "id"), "id", "left").select("id", (damping * (F.coalesce("got", F.lit(0.0)) + hanging / n) + (1 - damping) / n).alias("new"), "r")
         new = written(new)
         rank = new.select("id", F.col("new").alias("r"))
+        if took is not None:
+            took[:] = [k + 1]
         if tolerance is not None and new.agg(F.sum(F.abs(F.col("new") - F.col("r")))).first()[0] < n * tolerance:
             break
     else:

@@ -47,9 +47,9 @@ def _placed(store: VectorStore) -> DataFrame:
     return rows.withColumn("own", own).join(base, "video_id").withColumn("ord", F.col("base") + F.col("own")).drop("own", "base")
 
 
-def _ranked(rows: DataFrame, semantic: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _ranked(rows: DataFrame, semantic: DataFrame, settings: Settings, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     nodes, edges = rows.drop("embedding"), pagerank.written(graph.merged_edges(semantic, graph.temporal_edges(rows)))
-    return nodes.join(pagerank.pagerank(nodes, edges, settings.damping), "id"), edges
+    return nodes.join(pagerank.pagerank(nodes, edges, settings.damping, start=start), "id"), edges
 
 
 def built_graph(store: VectorStore, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -61,14 +61,14 @@ def built_graph(store: VectorStore, settings: Settings = DEFAULTS) -> tuple[Data
 def extended_graph(store: VectorStore, known: DataFrame, semantic: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and semantic edges once the store has grown: only new vectors are compared, with all others.
 
-    known: ids that the graph had before, semantic: its semantic edges (`graph.semantic_edges`, unmerged).
+    known: ids that the graph had before, with `importance` if ranks are to go on from there; semantic: its semantic edges (`graph.semantic_edges`, unmerged).
     """
     rows = _placed(store)
     had = known.select(F.col("id").alias("__id"), F.lit(True).alias("__had")).distinct()
     flagged = rows.join(had, F.col("id") == F.col("__id"), "left").drop("__id")
     fresh = graph.semantic_edges(flagged, settings.edge_similarity, settings.temporal_decay, settings.max_temporal_distance, new=F.col("__had").isNull())
     semantic = pagerank.written(semantic.unionByName(fresh))
-    return *_ranked(rows, semantic, settings), semantic
+    return *_ranked(rows, semantic, settings, known if "importance" in known.columns else None), semantic
 
 
 def ask(store: VectorStore, nodes: DataFrame, question: str, embedder: providers.Embed, k: int = 5, settings: Settings = DEFAULTS, index: VectorIndex | None = None) -> DataFrame:
