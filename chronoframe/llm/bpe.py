@@ -15,8 +15,9 @@ comes from a position's state that has it. All distinct words of a batch are tak
 by position; nothing is tried again. Equal hashes alone never share ids: words' bytes are compared. Decoding emits the
 arcs' labels.
 
-Texts are split by byte classes where their words are of ASCII characters and letters of U+00C0 to U+00FF; words with
-apostrophes or other characters are split by the pattern itself, and texts with other white space or special tokens whole.
+Texts are split by byte classes where their words are of ASCII characters and letters of U+00C0 to U+00FF. The distinct
+words of a batch with apostrophes or other characters are split by the pattern, all at once, and so are whole texts with
+other white space or special tokens; what these are split into goes through the tables like any other word.
 
 Defined results: null and empty texts give no ids and an empty text; special tokens' strings in a text become their ids;
 texts of any length are taken whole; repeated rows and ids give repeated results; extra columns are not touched.
@@ -41,9 +42,8 @@ from .common import HashTable, hashes_of, in_parts, map_batches, text_bytes, unl
 
 #: Fixed value: the public byte-level pre-splitting pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers at most, of those that byte classes don't split; bytes of a word up to which it is taken
-#: through the tables with others.
-REMEMBERED, TOGETHER = 200_000, 64
+#: Words of up to so many bytes go through the tables with others of about their size; from how many longer ones on.
+TOGETHER, FEW = (64, 256, 1024), 100
 #: Bytes of text that are encoded at once.
 PART = 4 << 20
 WHITE, LETTER, DIGIT, MARK, OTHER = range(5)
@@ -75,6 +75,22 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+def _distinct(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of distinct words, and which of them each word is; words of one hash are compared byte by byte."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, lead, of = np.unique(hashes_of(body, starts, ends), return_index=True, return_inverse=True)
+    clash = unlike(body, starts, ends, lead[of])
+    of[clash] = len(lead) + np.arange(len(clash))
+    return np.append(lead, clash), of
+
+
+def _gathered(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids one after another, and where they begin and end."""
+    upto = np.append(0, np.cumsum(count))
+    return ids[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])], upto
+
+
 class Automaton:
     """The automaton of a byte-level merge list, with its encoder and decoder."""
 
@@ -92,7 +108,6 @@ class Automaton:
         for k, (a, b) in enumerate(merges):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
         self._compile()
-        self._words: dict[bytes, np.ndarray] = {}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
@@ -202,7 +217,7 @@ class Automaton:
         return np.array(out[::-1], np.int64)
 
     def _paths(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of `TOGETHER` bytes at most, one after another, and how many each has."""
+        """Ids of words of about one size, one after another, and how many each has."""
         size = ends - starts
         first = np.cumsum(size) - size
         own = body[np.repeat(starts - first, size) + np.arange(size.sum())].astype(np.int64)
@@ -250,22 +265,50 @@ class Automaton:
             out[upto[live] - 1 - k] = token
         return out, count
 
-    def _odd(self, word: bytes) -> np.ndarray:
-        """Ids of what stands between white space, with the space before it, by the pattern."""
-        ids = self._words.get(word)
-        if ids is None:
-            ids = np.concatenate([self._path(w.encode()) for w in self.split.findall(word.decode())])
-            if len(word) <= TOGETHER:
-                if len(self._words) >= REMEMBERED:
-                    self._words.clear()
-                self._words[word] = ids
-        return ids
-
-    def _whole(self, text: str) -> np.ndarray:
-        """Ids of a text that is split by the pattern, special tokens first."""
-        parts = self.special_split.split(text) if self.special_split else [text]
-        ids = [np.array([self.special[p]], np.int64) if i % 2 else self._path(w.encode()) for i, p in enumerate(parts) for w in ([p] if i % 2 else self.split.findall(p))]
-        return np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    def _words(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all distinct words among these, one after another, and for each word where its own begin and how many they are."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lead, of = _distinct(body, starts, ends)
+        a, b = starts[lead], ends[lead]
+        size = b - a
+        ids, count, begin, upto = [], np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64), 0
+        for least, most in zip((0, *TOGETHER), (*TOGETHER, 1 << 62), strict=True):
+            here = np.flatnonzero((size > least) & (size <= most))
+            if not len(here):
+                continue
+            if most in TOGETHER and (not least or len(here) >= FEW):
+                own, n = self._paths(body, a[here], b[here])
+            else:
+                each = [self._path(body[x:y].tobytes()) for x, y in zip(a[here].tolist(), b[here].tolist(), strict=True)]
+                own, n = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            count[here], begin[here] = n, upto + np.cumsum(n) - n
+            ids.append(own)
+            upto += len(own)
+        return np.concatenate(ids), begin[of], count[of]
+
+    def _split(self, text: str, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pattern's words in a text begin and end in its bytes `body`."""
+        size = np.fromiter(map(len, self.split.findall(text)), np.int64)
+        upto = np.cumsum(size)
+        first = upto - size
+        if upto[-1:].sum() != len(text):  # a pattern that leaves something out
+            first, upto = (np.array(x, np.int64) for x in ([m.start() for m in self.split.finditer(text)], [m.end() for m in self.split.finditer(text)]))
+        at = np.append(np.flatnonzero((body & 0xC0) != 0x80), len(body))
+        return at[first], at[upto]
+
+    def _split_row(self, row: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a whole row's words begin and end, special tokens apart, and the ids of these (-1: a word)."""
+        parts = self.special_split.split(row.decode()) if self.special_split else [row.decode()]
+        starts, ends, fixed, at = [], [], [], 0
+        for i, part in enumerate(parts):
+            own = np.frombuffer(part.encode(), np.uint8)
+            a, b = (np.zeros(1, np.int64), np.full(1, len(own))) if i % 2 else self._split(part, own)
+            starts.append(at + a)
+            ends.append(at + b)
+            fixed.append(np.full(len(a), self.special[part] if i % 2 else -1, np.int64))
+            at += len(own)
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(fixed)
 
     def _units(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of pre-split words, and which of them the pattern has to split further."""
@@ -294,8 +337,8 @@ class Automaton:
         spaces = last[body[last] == 0x20]
         change[spaces + 1] = False
         starts = np.flatnonzero(change[:n])
-        behind = starts + (body[starts] == 0x20)
-        return starts, np.append(starts[1:], n), kind[np.minimum(behind, n - 1)] == OTHER
+        ends = np.append(starts[1:], n)
+        return starts, ends, kind[np.minimum(starts + (body[starts] == 0x20), ends - 1)] == OTHER  # a row's last space stands alone
 
     def encode_all(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids as unsigned 32-bit integers, one row after another, and where rows begin and end.
@@ -306,39 +349,43 @@ class Automaton:
         return in_parts(self._encoded, body, offsets, lambda x: (x[1:-1] == 0x20) & printable(x[:-2]) & printable(x[2:]), PART)
 
     def _encoded(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = len(offsets) - 1
+        if not len(body):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         raw = body.tobytes()
         # the search is dear, so the bytes that odd white space begins with are looked for first
         some = any(s.encode() in raw for s in self.special) or not self.own_split or (bool(_MAY_BE_ODD[body].any()) and _ODD_SPACE.search(raw) is not None)
-        apart = [i for i in range(rows) if some and self._by_pattern(raw[offsets[i] : offsets[i + 1]])]
-        if apart:  # these rows whole, the others without them
-            size = np.diff(offsets)
-            keep = np.ones(rows, bool)
-            keep[apart] = False
-            rest = body[np.repeat(keep, size)]
-            ids, at = self._encoded(rest, np.append(0, np.cumsum(np.where(keep, size, 0))))
-            parts = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
-            for i in apart:
-                parts[i] = self._whole(raw[offsets[i] : offsets[i + 1]].decode()).astype("<u4")
-            return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
-        if not len(body):
-            return np.zeros(0, "<u4"), np.zeros(rows + 1, np.int64)
+        apart = [i for i in range(len(offsets) - 1) if some and offsets[i] < offsets[i + 1] and self._by_pattern(raw[offsets[i] : offsets[i + 1]])]
         starts, ends, odd = self._units(body, offsets)
-        odd = odd | (ends - starts > TOGETHER)
-        _, lead, of = np.unique(hashes_of(body, starts, ends), return_index=True, return_inverse=True)
-        clash = unlike(body, starts, ends, lead[of])
-        of[clash] = len(lead) + np.arange(len(clash))
-        lead = np.append(lead, clash)
+        if apart:
+            stay = ~np.isin(np.searchsorted(offsets, starts, "right") - 1, apart)
+            starts, ends, odd = starts[stay], ends[stay], odd[stay]
+        lead, of = _distinct(body, starts, ends)
+        # words of distinct units: where they stand in the body and what follows it, what they are part of, special ids
         plain, others = np.flatnonzero(~odd[lead]), np.flatnonzero(odd[lead])
-        ids, n = self._paths(body, starts[lead[plain]], ends[lead[plain]])
-        by_pattern = [self._odd(raw[a:b]) for a, b in zip(starts[lead[others]].tolist(), ends[lead[others]].tolist(), strict=True)]
-        m = np.array([len(x) for x in by_pattern], np.int64)
-        flat, count, begin = np.concatenate([ids, *by_pattern]).astype("<u4"), np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64)
-        count[plain], count[others] = n, m
-        begin[plain], begin[others] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
-        each = count[of]
-        upto = np.append(0, np.cumsum(each))
-        return flat[np.repeat(begin[of] - upto[:-1], each) + np.arange(upto[-1])], upto[np.searchsorted(starts, offsets, "left")]
+        words = [(starts[lead[plain]], ends[lead[plain]], plain, np.full(len(plain), -1, np.int64))]
+        more = np.zeros(0, np.uint8)
+        if len(others):  # no unit has a line feed, so the pattern makes each of these a word of its own
+            joined = b"\n".join([raw[a:b] for a, b in zip(starts[lead[others]].tolist(), ends[lead[others]].tolist(), strict=True)])
+            more = np.frombuffer(joined, np.uint8)
+            a, b = self._split(joined.decode(), more)
+            part = more[a] != 0x0A
+            words.append((len(body) + a[part], len(body) + b[part], others[np.cumsum(~part)[part]], np.full(part.sum(), -1, np.int64)))
+        for k, i in enumerate(apart):
+            a, b, fixed = self._split_row(raw[offsets[i] : offsets[i + 1]])
+            words.append((offsets[i] + a, offsets[i] + b, np.full(len(a), len(lead) + k, np.int64), fixed))
+        a, b, unit, fixed = (np.concatenate(x) for x in zip(*words, strict=True))
+        ordinary = fixed < 0
+        ids, begin, count = np.zeros(0, np.int64), np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
+        ids, begin[ordinary], count[ordinary] = self._words(np.concatenate([body, more]), a[ordinary], b[ordinary])
+        begin[~ordinary] = len(ids) + np.arange((~ordinary).sum())
+        ids, each = _gathered(np.concatenate([ids, fixed[~ordinary]]).astype("<u4"), begin, count)
+        first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        begin, count = np.zeros(len(lead) + len(apart), np.int64), np.bincount(unit, count, len(lead) + len(apart)).astype(np.int64)
+        begin[unit[first]] = each[first]
+        starts, of = np.append(starts, offsets[apart]), np.append(of, len(lead) + np.arange(len(apart)))
+        order = np.argsort(starts, kind="stable")
+        ids, upto = _gathered(ids, begin[of[order]], count[of[order]])
+        return ids, upto[np.searchsorted(starts[order], offsets, "left")]
 
     def _by_pattern(self, row: bytes) -> bool:
         return not self.own_split or _ODD_SPACE.search(row) is not None or any(s.encode() in row for s in self.special)

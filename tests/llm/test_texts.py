@@ -67,6 +67,19 @@ def test_bpe_on_odd_strings():
     assert automaton.decode([automaton.encode("é")[0], 128000 % 256]) is not None
 
 
+@pytest.mark.parametrize("first,last,longest,space", [(0x4E00, 0x5FFF, 90, "\u3000"), (0x430, 0x44F, 14, "\xa0"), (0xE01, 0xE3A, 400, "\u200b "), (0x1F600, 0x1F64F, 12, "\u2009"), (0x61, 0x7A, 300, "\xa0"), (0x61, 0x7A, 9, "<|endoftext|>")])
+def test_bpe_in_other_scripts(first, last, longest, space):
+    """Whole batches: words of all lengths, spaces at rows' ends, odd white space beside plain one, special tokens."""
+    from tokenizers import Tokenizer
+
+    path, rng = vocabulary("byte_bpe_50k.json"), random.Random(first + longest)
+    word = lambda: "".join(chr(rng.randint(first, last)) for _ in range(rng.randint(1, longest)))
+    texts = ["".join(word() + rng.choice([" ", " ", "  ", "\n", ". ", "\u3002", "'s ", space, " " + space, space + "  "]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    ids, at = bpe.from_file(path).encode_all(*text_bytes(pa.array(texts)))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in want]
+
+
 def test_bpe_automaton_keeps_merge_order():
     vocab = {c: i for i, c in enumerate("abc")} | {"ab": 3, "bc": 4, "abc": 5, "aa": 6}
     a = bpe.Automaton(vocab, [("b", "c"), ("a", "b"), ("a", "bc"), ("a", "a")])
