@@ -4,9 +4,9 @@ Bytes are embedded; learned filters run over overlapping windows that cover the
 it. Their rectified outputs are max-pooled within chunks of windows, then over the chunks (by maximum and by mean), and
 a logistic unit combines what is pooled into one probability.
 
-The network is fitted on the driver to at most `per_class` labelled documents of each class, the first by a hash of
-their ids, and at most `parts` stretches of `part_bytes` bytes of each, spread evenly over the document. These bounds
-hold at every size; scoring reads every byte. Only texts are inputs of a score.
+The network is fitted on the driver to the whole texts of at most `per_class` labelled documents of each class, the first
+by a hash of their ids. This bound holds at every size; training and scoring read every byte. Windows are computed
+`AT_ONCE` at a time, and gradients only for the windows that made the maxima. Only texts are inputs of a score.
 
 Defined results: null and empty texts are scored as one window of padding; texts count whole; documents without a label
 or with a label other than 0 and 1 aren't learned from; without labels of both classes every score is the share of
@@ -16,6 +16,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,14 +75,20 @@ class Network:
         starts, ends, chunk, first = self._layout(offsets)
         top = np.zeros((len(chunk), FILTERS), np.float32)
         edges = np.append(chunk, len(starts))
-        a = 0
-        while a < len(chunk):
-            b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE, "right")) - 1)
+        for a, b in self._slices(edges):
             part = slice(edges[a], edges[b])
             top[a:b] = np.maximum.reduceat(self._respond(self._codes(body, starts[part], ends[part])), chunk[a:b] - edges[a], axis=0)
-            a = b
         return np.maximum(top, 0), first
 
+    @staticmethod
+    def _slices(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of chunks of about `AT_ONCE` windows; edges: where chunks begin, and the end."""
+        a = 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + AT_ONCE, "right")) - 1)
+            yield a, b
+            a = b
+
     def features(self, top: np.ndarray, first: np.ndarray) -> np.ndarray:
         n = np.diff(np.append(first, len(top)))
         return np.concatenate([np.maximum.reduceat(top, first, axis=0), np.add.reduceat(top, first, axis=0) / n[:, None]], axis=1)
@@ -114,11 +122,14 @@ class Network:
         body = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.append(0, np.cumsum([len(x) for x in texts]))
         starts, ends, chunk, first = self._layout(offsets)
-        codes = self._codes(body, starts, ends)
-        out = self._respond(codes)
-        edges = np.append(chunk, len(starts))
-        at = np.stack([edges[i] + out[edges[i] : edges[i + 1]].argmax(axis=0) for i in range(len(chunk))])
-        top = np.maximum(np.take_along_axis(out, at, axis=0), 0)
+        edges, at, top = np.append(chunk, len(starts)), np.zeros((len(chunk), FILTERS), np.int64), np.zeros((len(chunk), FILTERS), np.float32)
+        for a, b in self._slices(edges):
+            part = slice(edges[a], edges[b])
+            out = self._respond(self._codes(body, starts[part], ends[part]))
+            own = edges[a : b + 1] - edges[a]
+            at[a:b] = np.stack([i + out[i:j].argmax(axis=0) for i, j in zip(own, own[1:], strict=False)])
+            top[a:b] = np.maximum(np.take_along_axis(out, at[a:b], axis=0), 0)
+            at[a:b] += edges[a]
         x = self.features(top, first)
         p = 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
         dz = ((p - labels) * share[labels] / len(labels)).astype(np.float32)
@@ -132,7 +143,7 @@ class Network:
         dtop *= top > 0
         g_filters, g_embedding = np.zeros_like(self.filters), np.zeros_like(self.embedding)
         for f in range(FILTERS):
-            seen = codes[at[:, f]]
+            seen = self._codes(body, starts[at[:, f]], ends[at[:, f]])  # chunks follow one another, so these rise
             g_filters[:, f] = dtop[:, f] @ self.embedding[seen].reshape(len(seen), -1)
             np.add.at(g_embedding, seen, dtop[:, f, None, None] * self.filters[:, f].reshape(WIDTH, DEPTH))
         return [g_embedding, g_filters, dtop.sum(axis=0), (dz @ x).astype(np.float32), dz.sum(keepdims=True)]
@@ -149,23 +160,20 @@ class Constant(Network):
         return np.full(len(offsets) - 1, self.score)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, parts: int = 4, part_bytes: int = 512) -> Network:
-    """A network fitted to a bounded sample of labelled rows, none of them held out (crc32 of the id modulo 4 is 2)."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> Network:
+    """A network fitted to whole texts of a bounded sample of labelled rows, none of them held out (crc32 of the id modulo 4 is 2)."""
     known = labels.where(F.col("quality").isin(0, 1) & (crc_bucket(F.col("doc_id"), 4) != 2)).select(F.col("doc_id").cast("bigint").alias("id"), "quality").distinct()
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}  # two rows
     chosen = None
     for c in (0, 1):
         own = drawn(known.where(F.col("quality") == c), "id", per_class, counts.get(c, 0))
         chosen = own if chosen is None else chosen.unionByName(own)
-    body = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
-    gap = F.greatest(F.lit(0), (F.octet_length(body) - part_bytes) / max(parts - 1, 1))
-    pieces = [F.substring(body, F.floor(gap * k).cast("int") + 1, F.when(gap < part_bytes, F.ceil(gap) if k < parts - 1 else F.lit(part_bytes)).otherwise(part_bytes).cast("int")) for k in range(parts)]
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("id"), *(x.alias(f"p{k}") for k, x in enumerate(pieces)))
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("body"))
     rows = sample.join(F.broadcast(chosen), "id").orderBy("id").collect()  # per_class rows of a class at most
     quality = np.array([r["quality"] for r in rows], np.int64)
     if len(set(quality.tolist())) < 2:
         return Constant(float(quality.mean()) if len(quality) else 0.5)
-    network = Network().fit([b"".join(bytes(r[f"p{k}"]) for k in range(parts)) for r in rows], quality)
+    network = Network().fit([bytes(r["body"]) for r in rows], quality)
     network.prior = float(np.log(counts[1] / counts[0]))
     return network
 

@@ -71,6 +71,24 @@ def test_gradients_are_finite_differences():
             assert abs((up - down) / (2 * step) - g.flat[i]) < 1e-3 * max(1, abs(g.flat[i])) + 1e-5
 
 
+def test_gradients_do_not_depend_on_slices(monkeypatch):
+    net, texts = quality.Network(5), [t.encode() * 40 for t in TEXTS[2:]]
+    labels, share = np.array([0, 1, 1, 0, 1, 0, 1]), np.array([0.8, 1.2])
+    want = net._gradients(texts, labels, share)
+    monkeypatch.setattr(quality, "AT_ONCE", 150)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(net._gradients(texts, labels, share), want, strict=True))
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the classes apart stands in one place of long texts only."""
+    filler = "the same words in every text of this table and nothing else to be seen "
+    texts = [(i, filler * 20 + ("ZZZZ####QQQQ@@@@" if i % 2 else "") + filler * (20 + i % 5)) for i in range(160)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    net = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id bigint, quality int"))
+    found = quality.score(docs, net).where("held_out").collect()
+    assert len(found) > 20 and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in found)
+
+
 def test_a_very_long_text_takes_linear_time():
     import time
 
