@@ -322,8 +322,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, hot: int
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     across = cold.toDF("key", "zone", "a", "ca", "na").join(cold.toDF("key", "zone", "b", "cb", "nb"), ["key", "zone"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
     more = _confirmed(_likely(across, by_id, percent), docs, words, percent)
-    large = zones.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most")))))).drop("n_shingles").join(by_id, "id")
-    more = written(more.unionByName(_hot_links(large, docs, words, percent)), "links")
+    if sizes.where(F.col("n") > hot).limit(1).count():
+        large = zones.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most")))))).drop("n_shingles").join(by_id, "id")
+        more = more.unionByName(_hot_links(large, docs, words, percent))
+    more = written(more, "links")
     of_class = classes.join(components(links.unionByName(more)), "id", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("c"))
     out = known.join(of_class, (known.k1 == of_class.k1) & (known.k2 == of_class.k2) & (known.n_shingles == of_class.n), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
