@@ -323,7 +323,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, hot: int
     across = cold.toDF("key", "zone", "a", "ca", "na").join(cold.toDF("key", "zone", "b", "cb", "nb"), ["key", "zone"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
     more = _confirmed(_likely(across, by_id, percent), docs, words, percent)
     if sizes.where(F.col("n") > hot).limit(1).count():
-        large = zones.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most")))))).drop("n_shingles").join(by_id, "id")
+        blocks = F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most"))))).alias("blocks")
+        # a class meets its sketch once, with all its zones (two a band at most) in one row
+        places = zones.where(F.col("n") > hot).groupBy("id").agg(F.collect_list(F.struct("key", "zone", "place", "c", blocks)).alias("places"))
+        large = written(places, "places").join(by_id, "id").select("id", "n_shingles", "sig", F.inline("places"))
         more = more.unionByName(_hot_links(large, docs, words, percent))
     more = written(more, "links")
     of_class = classes.join(components(links.unionByName(more)), "id", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("c"))
