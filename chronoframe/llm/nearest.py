@@ -12,9 +12,13 @@ correction scalar it estimates the inner product, and the same scalar bounds the
 Where a query meets a cell, the best by estimate are reranked first, on the original vectors in double precision, which
 may raise the floor; then those whose upper bound reaches the floor. What leaves the task is the k best of the cell, so
 pairs never become rows. Cells are split into blocks of vectors and their queries into blocks of queries, so no task sees
-a whole hot cell. Of equal vectors only the k + 1 with the smallest ids can be among a query's k nearest, so only
-these are indexed. Centres are fitted to at most `SAMPLE` vectors, and there is one for every `CELL` vectors, at most one
-for every 16 of the sample.
+a whole hot cell, and blocks are cut by bytes, whatever the width. Of equal vectors only the k + 1 with the smallest ids
+can be among a query's k nearest, so only these are indexed.
+
+There is a cell for every `CELL` vectors. Up to one for every 16 sampled vectors these are the regions of coarse centres;
+beyond, each region is parted by what is left of its vectors, with fine centres that all regions share, so that cells grow
+with the table up to the product of both (512 x 512 at the full sample: a billion vectors). Centres are fitted to at most
+`SAMPLE` vectors and `SAMPLE_BYTES` bytes.
 
 Recall: a neighbour is lost where its estimate falls short by more than `DEVIATIONS` standard errors (0.6 % of cases at
 2.5) or where it lies beyond a hyperplane `REACH` deviations away in a random direction (0.1 % at 3).
@@ -39,9 +43,11 @@ from .vectors import length_of, matrix, taking_part, unit
 
 #: Vectors that centres are fitted to, vectors a cell, cells that round 1 asks, vectors of a block that are reranked first.
 SAMPLE, CELL, FIRST_CELLS, FIRST = 8_192, 4_096, 2, 32
+#: Bytes of the sample as doubles, and of a block of vectors or queries.
+SAMPLE_BYTES, BLOCK_BYTES = 64 << 20, 32 << 20
 #: Bits of a query's components; standard errors that bounds allow for, and deviations that cells may be away.
 PLANES, DEVIATIONS, REACH = 4, 2.5, 3.0
-#: Vectors in a block of a cell and in a block of its queries.
+#: Vectors in a block of a cell and in a block of its queries, at most.
 CODES, QUERIES = 32_768, 4_096
 
 
@@ -90,8 +96,57 @@ def estimates(queries: np.ndarray, centre: np.ndarray, packed: np.ndarray, scala
     return about, np.linalg.norm(rest, axis=1)[:, None] * scalars[:, 1]
 
 
-def _words(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(n, -1)
+class Cells:
+    """Coarse centres, and fine ones that part each coarse region by what is left of its vectors.
+
+    Cell i * len(fine) + j holds the vectors whose nearest coarse centre is i and whose rest is nearest to fine centre j.
+    """
+
+    def __init__(self, rows: np.ndarray, wanted: int) -> None:
+        most = max(1, len(rows) // 16)
+        self.coarse = codebook(rows, int(np.clip(wanted, 1, most)))
+        rest = rows - self.coarse[self._nearest(rows, self.coarse)]
+        parts = -(-wanted // len(self.coarse))
+        self.fine = codebook(rest, min(parts, most)) if parts > 1 else np.zeros((1, rows.shape[1]))
+
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    @staticmethod
+    def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return (np.square(centres).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
+
+    def centre(self, cell: int | np.ndarray) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        i = self._nearest(rows, self.coarse)
+        return i * len(self.fine) + self._nearest(rows - self.coarse[i], self.fine)
+
+    def asked(self, rows: np.ndarray, most: np.ndarray | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells whose squared distance is at most a row's `most`, or without it of a row's `first` nearest.
+
+        A cell is as far as the farther of its coarse and its fine hyperplanes.
+        """
+        away = cell_distances(rows, self.coarse)[1]
+        near = away <= most[:, None] if most is not None else np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1) < first
+        row, i = np.nonzero(near)
+        if len(self.fine) == 1:
+            return row, i
+        out = [(row[:0], i[:0], np.zeros(0))]
+        step = max(1, (1 << 22) // (len(self.fine) + rows.shape[1]))
+        for a in range(0, len(row), step):
+            r, c = row[a : a + step], i[a : a + step]
+            far = np.maximum(cell_distances(rows[r] - self.coarse[c], self.fine)[1], away[r, c, None])
+            at, j = np.nonzero(far <= most[r, None] if most is not None else np.argsort(np.argsort(far, axis=1), axis=1) < first)
+            out.append((r[at], c[at] * len(self.fine) + j, far[at, j]))
+        row, cell, far = map(np.concatenate, zip(*out, strict=True))
+        if most is not None:
+            return row, cell
+        order = np.lexsort((far, row))
+        row, cell = row[order], cell[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        return row[rank < first], cell[rank < first]
 
 
 def best_of(queries: np.ndarray, qids: np.ndarray, floors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, centre: np.ndarray, packed: np.ndarray, scalars: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,30 +185,33 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     same = Window.partitionBy("v").orderBy("id")
     index = written(own.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "index")
     total = index.count()
-    some = drawn(index, "id", SAMPLE, total).select("v").toPandas()["v"]  # `SAMPLE` rows at most
+    in_bytes = lambda n: max(1, n // (8 * max(dims, 1)))
+    some = drawn(index, "id", min(SAMPLE, in_bytes(SAMPLE_BYTES)), total).select("v").toPandas()["v"]  # `SAMPLE` rows at most
     rows = unit(np.array(some.tolist(), np.float64)) if len(some) else np.ones((1, max(dims, 1)))
-    centres = codebook(rows, int(np.clip(-(-total // cell), 1, max(1, len(rows) // 16))))
+    cells = Cells(rows, -(-total // cell))
+    in_block, queries_in_block = min(CODES, in_bytes(BLOCK_BYTES)), min(QUERIES, in_bytes(BLOCK_BYTES))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = unit(matrix(batch.column(1)))
-        at = (np.square(centres).sum(axis=1) - 2 * v @ centres.T).argmin(axis=1)
-        packed, scalars = codes(v - centres[at], centres[at], turn)
+        at = cells.of(v)
+        centres = cells.centre(at)
+        packed, scalars = codes(v - centres, centres, turn)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary()), *(pa.array(x) for x in scalars.T)], ["id", "v", "cell", "code", "factor", "error", "product"])
 
     coded = written(map_batches(index, place, f"id bigint, v {kind}, cell int, code binary, factor float, error float, product float"), "codes")
-    sizes = written(coded.groupBy("cell").agg(F.ceil(F.count("*") / CODES).alias("xs")), "sizes")  # a row a centre
+    sizes = written(coded.groupBy("cell").agg(F.ceil(F.count("*") / in_block).alias("xs")), "sizes")  # a row a cell
 
     def visits(floors: DataFrame) -> DataFrame:
         """(id, v, floor, cell): the nearest cells where there is no floor yet, else the others that may hold a neighbour."""
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             v, floor = unit(matrix(batch.column(1))), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            away = cell_distances(v, centres)[1]
-            first = np.zeros(away.shape, bool)
-            np.put_along_axis(first, np.argsort(away, axis=1, kind="stable")[:, :FIRST_CELLS], True, axis=1)
-            most = 2 * (1 - floor) / max(dims, 1) * REACH**2  # infinite without a floor after round 1
-            asks = np.where(np.isnan(floor)[:, None], first, ~first & (away <= most[:, None]))
-            q, c = np.nonzero(asks)
+            q, c = cells.asked(v, first=FIRST_CELLS)
+            if not np.isnan(floor).all():  # round 2: those of round 1 are known
+                known = q * len(cells) + c
+                q, c = cells.asked(v, 2 * (1 - floor) / max(dims, 1) * REACH**2)  # infinite without a floor after round 1
+                other = ~np.isin(q * len(cells) + c, known)
+                q, c = q[other], c[other]
             return pa.RecordBatch.from_arrays([*(x.take(pa.array(q)) for x in batch.columns), pa.array(c, pa.int32())], ["id", "v", "floor", "cell"])
 
         return map_batches(floors, f, f"id bigint, v {kind}, floor double, cell int")
@@ -161,7 +219,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     def met(floors: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): the k best of each block of each cell that a query asks."""
         of = visits(floors)
-        asks = of.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("ys")).join(sizes, "cell")
+        asks = of.groupBy("cell").agg(F.ceil(F.count("*") / queries_in_block).alias("ys")).join(sizes, "cell")
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
         salt = F.xxhash64("id")
         left = coded.join(asks, "cell").withColumn("x", F.pmod(salt, "xs")).withColumn("y", upto("ys"))
@@ -172,7 +230,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
             if len(one) and len(two):
                 scalars = np.stack([one.column(c).to_numpy() for c in ("factor", "error", "product")], axis=1)
                 packed = np.frombuffer(b"".join(one.column("code").to_pylist()), "<u8").reshape(len(one), -1)
-                q, v, s = best_of(matrix(two.column("v")), two.column("id").to_numpy(), two.column("floor").to_numpy(), matrix(one.column("v")), one.column("id").to_numpy(), centres[one.column("cell")[0].as_py()], packed, scalars, turn, k)
+                q, v, s = best_of(matrix(two.column("v")), two.column("id").to_numpy(), two.column("floor").to_numpy(), matrix(one.column("v")), one.column("id").to_numpy(), cells.centre(one.column("cell")[0].as_py()), packed, scalars, turn, k)
             return pa.table({"query_id": q, "vec_id": v, "score": s})
 
         keys = ["cell", "x", "y"]

@@ -78,6 +78,41 @@ def test_nearest_recall(spark, kind):
     assert recall(found, m / np.linalg.norm(m, axis=1, keepdims=True), asked) >= 0.95
 
 
+def test_nearest_cells_grow_with_the_table(spark):
+    """Over 512 cells: coarse regions are parted by fine centres."""
+    rng = np.random.default_rng(9)
+    n, dims = 20_000, 32
+    m = rng.normal(size=(400, dims))[rng.integers(0, 400, n)] + 0.3 * rng.normal(size=(n, dims))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    rows = m.astype(np.float64)
+    cells = nearest.Cells(rows[:8_192], 1_250)
+    own = cells.of(rows)
+    assert len(cells) > 1_250 and len(np.unique(own)) > 600 and len(cells.coarse) == 512
+    # rows lie in a nearest cell, and asking without a bound asks all
+    row, cell = cells.asked(rows[:50], np.full(50, np.inf))
+    assert len(row) == 50 * len(cells) and len(set(zip(row.tolist(), cell.tolist(), strict=True))) == len(row)
+    row, cell = cells.asked(rows[:50], first=2)
+    assert row.tolist() == [i for i in range(50) for _ in range(2)] and all(own[i] in cell[row == i] for i in range(50))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], SCHEMA).repartition(4)
+    asked = range(0, n, 500)
+    found = nearest.search(df, df.where(F.col("vec_id") % 500 == 0), k=5, cell=16).collect()
+    assert len(found) == 5 * len(asked)
+    assert recall(found, rows / np.linalg.norm(rows, axis=1, keepdims=True), asked) >= 0.95
+
+
+def test_nearest_of_wide_vectors(spark, monkeypatch):
+    """Blocks and the sample are cut by bytes: 3,072 dimensions, a few rows a block."""
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 40 * 3_072 * 8)
+    monkeypatch.setattr(nearest, "SAMPLE_BYTES", 64 * 3_072 * 8)
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(150, 3_072)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], SCHEMA).repartition(2)
+    found = nearest.search(df, df.where("vec_id % 50 = 0"), k=3, cell=75)
+    found = found.collect()
+    rows = m.astype(np.float64)
+    assert len(found) == 9 and recall(found, rows / np.linalg.norm(rows, axis=1, keepdims=True), [0, 50, 100], 3) >= 0.95
+
+
 def test_nearest_bounds_hold():
     rng = np.random.default_rng(8)
     m = rng.normal(size=(3_000, 50))
