@@ -6,12 +6,12 @@
 3. Address: a host's prior is smoothed towards its address suffix's, and that towards the corpus's, from sums of the
    text posteriors; a page's own share is taken out of its host's and suffix's sums.
 
-The posterior is the product of the three, normalized. Counts cover all rows. Languages are the labels that at least one
-in `RARE` labelled documents has, so there are at most `RARE` of them, and only their table of trigram buckets (at most
-`RARE` x `BUCKETS` numbers) reaches the driver.
+The posterior is the product of the three, normalized. Counts cover all rows, and every label is a language, however few
+documents have it. Counts of trigrams stay in a table; their logarithms reach tasks by slices of `SLICE` languages, one
+pass over the pages a slice (one in all for up to `SLICE` languages). What grows on the driver is one row a label.
 
 Defined results: a null or empty page has no text evidence and takes its prior; pages without a host share the host '';
-an undeclared or malformed language is the value ''; rarer labels count as none; numeric references of nine digits or more
+an undeclared or malformed language is the value ''; numeric references of nine digits or more
 stand for U+FFFD; unclosed markup is text; ties go to the language that sorts first; without labelled
 documents the language is null; ids may repeat; extra columns are ignored; an empty table gives an empty result.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered, map_batches, mix64, text_bytes, written
+from .vectors import matrix
 
-#: Trigram buckets; one in how many labelled documents a language must have.
-BUCKETS, RARE = 8_192, 1_000
+#: Trigram buckets; languages whose tables (64 KB each) reach a task at once.
+BUCKETS, SLICE = 8_192, 512
 #: Weight of a trigram's log-likelihood, pseudo-counts of a host's and a suffix's prior, and of declared values.
 TEMPER, HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 0.3, 4.0, 20.0, 1.0
 _RAW = re.compile(r"<(script|style|noscript)\b", re.I)
@@ -73,15 +74,13 @@ def trigram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return known.mapInArrow(f, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def languages(docs: DataFrame, rare: int = RARE, lang_col: str = "lang") -> list[str]:
-    """Labels that at least one in `rare` labelled documents has, in order; `rare` of them at most."""
-    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r[0] for r in counts.where(F.col("n") * rare >= total).select("lang").collect())
+def languages(docs: DataFrame, lang_col: str = "lang") -> list[str]:
+    """All labels, in order."""
+    return sorted(r[0] for r in docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string")).distinct().collect())  # a row a label
 
 
 def likelihoods(counts: DataFrame, langs: list[str]) -> np.ndarray:
-    """The log-probabilities of buckets, one row a language."""
+    """The log-probabilities of buckets, one row a language; `langs` are neighbours in the order of all."""
     table, place = np.full((len(langs), BUCKETS), 0.5), {x: i for i, x in enumerate(langs)}
 
     def packed(group: pa.Table) -> pa.Table:
@@ -90,7 +89,7 @@ def likelihoods(counts: DataFrame, langs: list[str]) -> np.ndarray:
         return pa.table({"lang": group.column("lang").slice(0, 1), "counts": pa.array([own.tobytes()], pa.binary())})
 
     if langs:
-        for row in counts.groupBy("lang").applyInArrow(packed, "lang string, counts binary").collect():  # a row a language
+        for row in counts.where(F.col("lang").between(langs[0], langs[-1])).groupBy("lang").applyInArrow(packed, "lang string, counts binary").collect():  # a row a language
             table[place[row["lang"]]] += np.frombuffer(row["counts"], np.int64)
     return np.log(table / table.sum(axis=1, keepdims=True))
 
@@ -136,31 +135,75 @@ def declared_language(page: str | None) -> str:
     return ""
 
 
-def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """(page_id, host, suffix, declared, ll, p): log-likelihoods of the text, and its posterior under an even prior."""
+def _scores(bucket: np.ndarray, row: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """Tempered log-likelihoods of `n` texts, one column a language."""
+    return np.stack([np.bincount(row, own[bucket], minlength=n) for own in table], axis=1) * TEMPER if len(table) else np.zeros((n, 0))
 
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, suffixes, declared, texts = [], [], [], []
-        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found = _HOST.match(url or "")
-            host = found[1].lower() if found else ""
-            hosts.append(host)
-            suffixes.append(host.rpartition(".")[2])
-            declared.append(declared_language(page))
-            texts.append(visible_text(page))
-        bucket, row = _trigrams(*text_bytes(pa.array(texts, pa.string())))
-        ll = np.stack([np.bincount(row, own[bucket], minlength=len(texts)) for own in table], axis=1) * TEMPER if langs else np.zeros((len(texts), 0))
-        p = np.exp(ll - ll.max(axis=1, keepdims=True)) if langs else ll
-        p = p / p.sum(axis=1, keepdims=True) if langs else p
-        lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (ll, p)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts), pa.array(suffixes), pa.array(declared), *lists], ["page_id", "host", "suffix", "declared", "ll", "p"])
 
-    return map_batches(pages.select(F.col("page_id").cast("bigint"), "url", "html"), f, "page_id bigint, host string, suffix string, declared string, ll array<double>, p array<double>")
+def _doubles(rows: np.ndarray) -> pa.Array:
+    return pa.array(list(rows), pa.list_(pa.float64()))
+
+
+def evidence(pages: DataFrame, langs: list[str], counts: DataFrame) -> DataFrame:
+    """(page_id, host, suffix, declared, ll, p): log-likelihoods of the text, and its posterior under an even prior.
+
+    The first pass reads pages; where a slice doesn't hold all languages it keeps their trigrams for the passes after it.
+    """
+    head, kept = "page_id bigint, host string, suffix string, declared string", "grams binary, ll array<double>"
+    slices = [langs[a : a + SLICE] for a in range(0, len(langs), SLICE)] or [[]]
+
+    def posterior(ll: np.ndarray) -> np.ndarray:
+        p = np.exp(ll - ll.max(axis=1, keepdims=True)) if ll.shape[1] else ll
+        return p / p.sum(axis=1, keepdims=True) if ll.shape[1] else p
+
+    def read(table: np.ndarray) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hosts, suffixes, declared, texts = [], [], [], []
+            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = _HOST.match(url or "")
+                host = found[1].lower() if found else ""
+                hosts.append(host)
+                suffixes.append(host.rpartition(".")[2])
+                declared.append(declared_language(page))
+                texts.append(visible_text(page))
+            bucket, row = _trigrams(*text_bytes(pa.array(texts, pa.string())))
+            ll = _scores(bucket, row, len(texts), table)
+            own = [batch.column(0), pa.array(hosts), pa.array(suffixes), pa.array(declared)]
+            if len(slices) == 1:
+                return pa.RecordBatch.from_arrays([*own, _doubles(ll), _doubles(posterior(ll))], ["page_id", "host", "suffix", "declared", "ll", "p"])
+            at = np.searchsorted(row, np.arange(len(texts) + 1))
+            grams = [bucket[a:b].astype(np.uint16).tobytes() for a, b in zip(at, at[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([*own, pa.array(grams, pa.binary()), _doubles(ll)], ["page_id", "host", "suffix", "declared", "grams", "ll"])
+
+        return f
+
+    def more(table: np.ndarray, last: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            grams = [np.frombuffer(x, np.uint16) for x in batch.column(4).to_pylist()]
+            row = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+            bucket = np.concatenate([np.zeros(0, np.uint16), *grams])
+            before = matrix(batch.column(5))
+            ll = np.concatenate([before, _scores(bucket, row, len(grams), table)], axis=1)
+            if last:
+                return pa.RecordBatch.from_arrays([*batch.columns[:4], _doubles(ll), _doubles(posterior(ll))], ["page_id", "host", "suffix", "declared", "ll", "p"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], _doubles(ll)], ["page_id", "host", "suffix", "declared", "grams", "ll"])
+
+        return f
+
+    whole = f"{head}, ll array<double>, p array<double>"
+    own = map_batches(pages.select(F.col("page_id").cast("bigint"), "url", "html"), read(likelihoods(counts, slices[0])), whole if len(slices) == 1 else f"{head}, {kept}")
+    for k, part in enumerate(slices[1:], 2):
+        last = k == len(slices)
+        own = map_batches(written(own, "evidence"), more(likelihoods(counts, part), last), whole if last else f"{head}, {kept}")
+    return own
 
 
 def _sums(df: DataFrame, name: str, n: int, value: str, *keys: str) -> DataFrame:
-    """Element-wise sums of an array column by keys."""
-    return df.groupBy(*keys).agg(F.array(*(F.sum(F.col(value)[i]) for i in range(n))).alias(name))
+    """Element-wise sums of an array column by keys; by rows of (keys, place) where there are too many for columns."""
+    if n <= SLICE:
+        return df.groupBy(*keys).agg(F.array(*(F.sum(F.col(value)[i]) for i in range(n))).alias(name))
+    each = df.select(*keys, F.posexplode(value).alias("__at", "__x")).groupBy(*keys, "__at").agg(F.sum("__x").alias("__x"))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__x"))), lambda s: s["__x"]).alias(name))
 
 
 def _share(counts: Column, base: Column, weight: float) -> Column:
@@ -172,21 +215,22 @@ def _share(counts: Column, base: Column, weight: float) -> Column:
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, declared, text_lang, lang, confidence of every page."""
     langs = languages(docs)
-    table = likelihoods(trigram_counts(docs.where(F.col("lang").isin(langs))), langs)
     n = len(langs)
-    own = written(evidence(pages, langs, table), "evidence")
+    own = written(evidence(pages, langs, written(trigram_counts(docs), "trigrams")), "evidence")
     if not n:
         return own.select("page_id", "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
-    names = F.array(*map(F.lit, langs))
+    names = F.lit(langs)
     # written, so that pages meet plain tables and AQE can split a hot host
     hosts = written(_sums(own, "host_sum", n, "p", "host", "suffix"), "hosts")
     suffixes = written(_sums(hosts, "suffix_sum", n, "host_sum", "suffix"), "suffixes")
     said = written(_sums(own, "said", n, "p", "declared"), "declared")
-    kinds, totals = said.agg(F.count("*"), F.array(*(F.sum(F.col("said")[i]) for i in range(n)))).first()
-    every = [float(x or 0) for x in totals or [0] * n]
+    kinds = said.count()
+    totals = _sums(said.select(F.lit(0).alias("all"), "said"), "totals", n, "said", "all").first()
+    every = [float(x or 0) for x in (totals["totals"] if totals else [0] * n)]
     # P(declared | language) for every declared value: one small row a value
-    said = said.select("declared", F.transform("said", lambda c, i: F.log((c + DECLARED_WEIGHT) / (F.element_at(F.array(*map(F.lit, every)), i + 1) + DECLARED_WEIGHT * max(kinds, 1)))).alias("said"))
-    world = F.array(*(F.lit((x + 1) / (sum(every) + n)) for x in every))
+    said = said.select("declared", F.transform("said", lambda c, i: F.log((c + DECLARED_WEIGHT) / (F.element_at(F.lit(every), i + 1) + DECLARED_WEIGHT * max(kinds, 1)))).alias("said"))
+    total = sum(every)
+    world = F.lit([(x + 1) / (total + n) for x in every])
     both = own.join(hosts, ["host", "suffix"]).join(suffixes, "suffix").join(said, "declared")
     less = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
     both = both.withColumn("suffix_prior", _share(less(F.col("suffix_sum"), F.col("p")), world, SUFFIX_WEIGHT))

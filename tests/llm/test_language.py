@@ -28,7 +28,7 @@ def grams(text):
 def fused(pages, docs):
     """Every page's posterior by loops over all rows."""
     labelled = [(t, k) for _, t, k, *_ in docs if k is not None]
-    langs = sorted({k for _, k in labelled if sum(x == k for _, x in labelled) * language.RARE >= len(labelled)})
+    langs = sorted({k for _, k in labelled})
     counts = {k: {} for k in langs}
     for text, k in labelled:
         for g in grams(text):
@@ -93,10 +93,23 @@ def test_many_languages(spark):
     pages, docs = sample(3, 300)
     found = language.identify(spark.createDataFrame(pages[:40], PAGES), table(spark, docs)).collect()
     assert len(found) == 40 and len(language.languages(table(spark, docs))) == 300
-    # a label that one in 1,000 documents doesn't reach counts as none
+    # a label of one document in 1,501 is a language
     some = [(i, "the and that", "en", "s", None) for i in range(1500)] + [(2000, "der die das", "rare", "s", None)]
-    assert language.languages(table(spark, some)) == ["en"]
-    assert {r.lang for r in language.identify(spark.createDataFrame(pages[:5], PAGES), table(spark, some)).collect()} == {"en"}
+    assert language.languages(table(spark, some)) == ["en", "rare"]
+    page = [(i, None, text) for i, text in enumerate(["<p>the and that the and that</p>", "<p>der die das der die das der die das der die das</p>"])]
+    assert {r.page_id: r.lang for r in language.identify(spark.createDataFrame(page, PAGES), table(spark, some)).collect()} == {0: "en", 1: "rare"}
+
+
+def test_slices_of_languages(spark, monkeypatch):
+    """By slices of languages, and sums by rows, results are those of all at once."""
+    pages, docs = sample(4, 20)
+    unique = [p for p in pages if p[0] != 103]
+    whole = {r.page_id: r for r in language.identify(spark.createDataFrame(unique, PAGES), table(spark, docs)).collect()}
+    monkeypatch.setattr(language, "SLICE", 7)
+    found = {r.page_id: r for r in language.identify(spark.createDataFrame(unique, PAGES).repartition(3), table(spark, docs)).collect()}
+    assert found.keys() == whole.keys()
+    for i, r in found.items():
+        assert (r.host, r.declared, r.text_lang, r.lang) == (whole[i].host, whole[i].declared, whole[i].text_lang, whole[i].lang) and abs(r.confidence - whole[i].confidence) < 2e-6
 
 
 @pytest.mark.parametrize("page", ["<script>" * 125_000, "<html " * 170_000, "<" * 1_000_000, "<!--" * 250_000, "<html lang=" + " " * 1_000_000, "<html lang" * 100_000, "<script>" + "</script " * 110_000, "&#" + "9" * 1_000_000 + ";", "<a>" * 330_000])
