@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from chronoframe.plans import registry, relations, scalars  # noqa: F401
+from chronoframe.plans import registry, relations, scalars, speech  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
