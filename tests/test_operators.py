@@ -114,6 +114,51 @@ def test_pruned_pairs_are_all_pairs(spark):
     assert graph.similar_pairs_pruned(vectors.where("false"), 0.5).count() == 0
 
 
+def test_edges_where_vectors_meet_are_merged_edges(spark, monkeypatch):
+    """Few sides of many blocks; vectors that are null, zero or hold NaN have temporal edges only."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(300, 6))
+    rows = [(f"n{i}", i, i % 3, 7 * i % 300, float(i), v.tolist()) for i, v in enumerate(m)]
+    rows += [("none", 900, 0, 900, 900.0, None), ("zero", 901, 0, 901, 901.0, [0.0] * 6), ("nan", 902, 1, 902, 902.0, [float("nan")] * 6)]
+    vectors = spark.createDataFrame(rows, "id string, ord bigint, video_id bigint, frame_number bigint, timestamp double, embedding array<double>").repartition(3)
+    want = {}
+    norm = np.linalg.norm(m, axis=1)
+    cos = (m @ m.T) / norm[:, None] / norm[None, :]
+    for i, j in zip(*np.nonzero(np.triu(cos >= 0.5, 1)), strict=True):
+        want[f"n{i}", f"n{j}"] = round(float(cos[i, j]), 9)
+    monkeypatch.setattr(graph, "SIDES", 3)
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    assert {(r.source, r.target): round(r.similarity, 9) for r in graph.similar_pairs(vectors, 0.5, 16).collect()} == want
+    columns = ["source", "target", "weight", "edge_type", "same_video", "similarity", "temporal_distance", "time_gap"]
+    merged = graph.merged_edges(graph.semantic_edges(vectors), graph.temporal_edges(vectors)).select(columns).collect()
+    for block in (16, 1024):
+        found = graph.links(vectors, 0.5, ["id"], following=True, block=block)
+        assert found.where("follows").count() == 300
+    assert sorted(map(str, graph.edges(vectors).select(columns).collect())) == sorted(map(str, merged))
+    assert not [line for line in graph.edges(vectors)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+
+
+def test_what_is_shuffled_grows_with_the_vectors():
+    """A block goes to as many tasks as there are sides, and sides hold more blocks as there are more."""
+    for blocks in (1, 16, 17, 500, 1000):
+        assert -(-blocks // graph._per_side(blocks, graph.BLOCK, 64)) <= graph.SIDES
+    assert graph._per_side(10**6, graph.BLOCK, 64) * graph.BLOCK * 64 * 8 <= graph.SIDE_BYTES
+    assert graph._per_side(10, graph.BLOCK, 10**6) == 1
+
+
+def test_ranks_of_numbers_are_ranks_of_strings(spark):
+    rng = np.random.default_rng(3)
+    big = 2**60  # more than a double tells apart
+    pairs = sorted({(int(s), int(t)) for s, t in rng.integers(0, 40, (150, 2)) if s != t})
+    nodes = spark.createDataFrame([(big + i,) for i in range(40)], "id bigint")
+    edges = spark.createDataFrame([(big + s, big + t, 1.0 + s % 3) for s, t in pairs], "source bigint, target bigint, weight double")
+    as_text = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), "weight")
+    want = {int(r.id): r.importance for r in pagerank.pagerank(nodes.select(F.col("id").cast("string").alias("id")), as_text, rounds=12, tolerance=None).collect()}
+    for small in (10**6, 0):
+        found = {r.id: r.importance for r in pagerank.pagerank(nodes, edges, rounds=12, tolerance=None, small=small).collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_similar_pairs_approximately(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(600, 24))
