@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoframe import providers
 from chronoframe.config import Settings
-from chronoframe.operators import annotate, audio, embed, gate, graph, pagerank, retrieve, sampling
+from chronoframe.operators import annotate, audio, embed, gate, graph, packed, pagerank, retrieve, sampling
 from chronoframe.sources import media
 from chronoframe.sources.store import VectorStore, vector_records
 from chronoframe.streaming import gate as gate_stream
@@ -138,6 +139,40 @@ def test_edges_where_vectors_meet_are_merged_edges(spark, monkeypatch):
     assert not [line for line in graph.edges(vectors)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
 
 
+def test_packed_edges_are_the_edges(spark, monkeypatch):
+    """Weights, ranks and numbers of edges, over several sides; ten bytes an edge, and no row an edge in a round."""
+    monkeypatch.setattr(graph, "SIDES", 3)
+    rng = np.random.default_rng(12)
+    rows = [(f"n{i}", 10**12 + i, i % 3, 7 * i % 300, float(i), v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))]
+    rows += [("none", 900, 0, 900, 900.0, None), ("nan", 902, 1, 902, 902.0, [float("nan")] * 6), ("twin", 903, 2, 903, 903.0, [1.0] * 6), ("twin", 903, 2, 904, 904.0, [1.0] * 6)]
+    vectors = spark.createDataFrame(rows, "id string, ord bigint, video_id bigint, frame_number bigint, timestamp double, embedding array<double>").repartition(3)
+    edges = graph.edges(vectors, 0.3, key="ord").select("source", "target", "weight")
+    key = lambda df: sorted((r.source, r.target, round(r.weight, 12)) for r in df.collect())
+    made = graph.packed_edges(vectors, 0.3, block=16)
+    assert key(packed.unpacked(made)) == key(edges) and made.vertices.count() > 1
+    nodes = vectors.select(F.col("ord").alias("id")).unionByName(spark.createDataFrame([(77,)], "id bigint"))
+    want = {r.id: r.importance for r in pagerank.pagerank(nodes, edges, rounds=9, tolerance=None).collect()}
+    for small in (10**6, 0):
+        found = {r.id: r.importance for r in packed.packed_pagerank(nodes, made, rounds=9, tolerance=None, small=small).collect()}
+        assert all(abs(found[k] - want[k]) < 1e-12 for k in found) and {r[1] for r in rows} <= found.keys()
+    settled = {r.id: r.importance for r in packed.packed_pagerank(nodes, made, tolerance=1e-12, small=0).collect()}
+    more = {r.id: r.importance for r in pagerank.pagerank(nodes, edges, tolerance=1e-12).collect()}
+    assert all(abs(settled[k] - more[k]) < 1e-8 for k in settled)
+    counts = Counter(s for s, _, _ in key(edges))
+    assert {r.id: r.out_edges for r in packed.out_edges(made).collect()} == {r[1]: counts[r[1]] for r in rows}
+    n, size = made.edges.agg(F.sum(F.length("w") / 8), F.sum(F.length("gaps") + F.length("w"))).first()
+    assert n == edges.count() and size == 10 * n
+    none = graph.packed_edges(vectors.where("false"))
+    assert packed.packed_pagerank(nodes.where("false"), none).count() == packed.out_edges(none).count() == 0
+
+
+def test_wide_gaps_are_packed_too():
+    i, j = np.array([3, 0, 3, 2]), np.array([70_000, 5, 1, 90_000])
+    for width in (100_000, 90_001):
+        a, b, w = packed.opened(*packed.packed(i, j, np.arange(4.0), width), width)
+        assert sorted(zip(a, b, w, strict=True)) == sorted(zip(i, j, np.arange(4.0), strict=True))
+
+
 def test_what_is_shuffled_grows_with_the_vectors():
     """A block goes to as many tasks as there are sides, and sides hold more blocks as there are more."""
     for blocks in (1, 16, 17, 500, 1000):
