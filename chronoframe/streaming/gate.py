@@ -7,10 +7,13 @@ difference. What is later than the delay is dropped and counted by Spark (`numRo
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -52,16 +55,25 @@ def gate(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 NAMES = ["video_id", "frame_number", "timestamp", "decision", "change_type", "score", "reason", "accepted"]
-#: Frames that wait: when they happened in microseconds, and what the gate needs of them.
-WAITING = "us bigint, frame_number bigint, timestamp double, extracted_text string, thumb binary, pixel_pct double"
-HELD = "text string, time double, thumb binary, recent array<string>, due double"
+#: What the gate needs of frames that wait, and when they happened in microseconds; videos that share a key have their frames packed together.
+WAITING = pa.schema([("us", pa.int64()), ("frame_number", pa.int64()), ("timestamp", pa.float64()), ("extracted_text", pa.string()), ("thumb", pa.binary()), ("pixel_pct", pa.float64())])
+#: A video's gate and its sampler's clock.
+HELD = pa.schema([("text", pa.string()), ("time", pa.float64()), ("thumb", pa.binary()), ("recent", pa.list_(pa.string())), ("due", pa.float64()), ("last", pa.float64()), ("n", pa.int64())])
+
+
+def _packed(table: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
 
 
 class LateGate(StatefulProcessor):
-    """A video's waiting frames and its gate. One timer a video: the end of the earliest slot in which a frame waits.
+    """Waiting frames and gates of the videos that share a key: each call to the state store stands for all of these videos.
 
-    When the watermark has passed the end of a slot no more frames of it can come, so all frames up to there are decided.
-    The sampler's clock runs ahead of the gate's texts and pixels: frames that aren't due leave without being looked at.
+    One timer a key: the end of the earliest slot in which a frame waits. When the watermark has passed the end of a slot
+    no more frames of it can come, so all frames up to there are decided. The sampler's clock runs ahead of the gate's
+    texts and pixels: frames that aren't due leave without being looked at.
     """
 
     def __init__(self, settings: Settings, slot_ms: int) -> None:
@@ -69,14 +81,13 @@ class LateGate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.held = handle.getValueState("gate", HELD)
-        self.clock = handle.getValueState("clock", "last double, n bigint")
+        self.waiting = handle.getListState("waiting", "pack binary")
+        self.held = handle.getValueState("gates", "pack binary")
         self.timer = handle.getValueState("timer", "ms bigint")
         self.counts = handle.getMapState("counts", "decision string", "n bigint")
 
     def _wait_until(self, ms: int) -> None:
-        """Sets the video's timer, if none is due sooner."""
+        """Sets the key's timer, if none is due sooner."""
         if self.timer.exists():
             (now,) = self.timer.get()
             if now <= ms:
@@ -91,58 +102,76 @@ class LateGate(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            new = [(int(r[0]), int(r[1]), float(r[2]), *(None if x is None or x != x else x for x in r[3:])) for r in zip(*(part[c] for c in ("us", "frame_number", "timestamp", "extracted_text", "thumb", "pixel_pct")), strict=True)]
-            if new:
-                self.waiting.appendList(new)
-                first = min(new[0][0] if first is None else first, *(x[0] for x in new))
+            if len(part):
+                video = pa.array(part["video_id"], from_pandas=True)
+                self.waiting.appendList([_packed(pa.table({"video_id": video} | {f.name: pa.array(part[f.name], f.type, from_pandas=True) for f in WAITING}))])
+                earliest = int(part["us"].min())
+                first = earliest if first is None else min(first, earliest)
         if first is not None:
             self._wait_until(self._end_of_slot(first))
-        yield pd.DataFrame(columns=NAMES)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         upto = timerValues.getCurrentWatermarkInMs() // self.slot * self.slot * 1000  # in microseconds: slots that have ended
-        every = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((tuple(x) for x in every if x[0] < upto), key=lambda x: (x[2], x[1]))
-        rest = [tuple(x) for x in every if x[0] >= upto]
-        if rest:
-            self.waiting.put(rest)
-            self._wait_until(self._end_of_slot(min(x[0] for x in rest)))
-        elif every:
+        packs = [x[0] for x in self.waiting.get()] if self.waiting.exists() else []
+        if not packs:
+            return iter(())
+        every = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packs], promote_options="permissive")
+        ended = pa.compute.less(every["us"], upto)
+        rest = every.filter(pa.compute.invert(ended))
+        if len(rest):
+            self.waiting.put([_packed(rest)])
+            self._wait_until(self._end_of_slot(pa.compute.min(rest["us"]).as_py()))
+        else:
             self.waiting.clear()
-        yield pd.DataFrame(self._decided(key[0], ready), columns=NAMES)
+        said = self._decided(every.filter(ended).sort_by([(c, "ascending") for c in ("video_id", "timestamp", "frame_number")]))
+        return iter([pd.DataFrame(said, columns=NAMES)] if said else [])
 
-    def _decided(self, video, ready: list[tuple]) -> list[dict]:
-        own, clock = Gate(), checks(self.settings.sample_interval)
-        if self.clock.exists():
-            clock.last, clock.n = self.clock.get()
+    def _decided(self, ready: pa.Table) -> list[dict]:
+        if not len(ready):
+            return []
+        held = {}
         if self.held.exists():
-            text, time, thumb, recent, due = self.held.get()
-            own = Gate(text, time, thumb, list(recent), due)
-        said = []
-        for i in clock.kept(np.array([x[2] for x in ready], np.float64)):
-            _, number, time, text, thumb, share = ready[i]
-            one = own.decide({"video_id": video, "frame_number": number, "timestamp": time, "extracted_text": text, "thumb": thumb, "pixel_pct": share}, self.settings)
-            if one is not None:
-                said.append(one)
-                had = self.counts.getValue((one["decision"],)) if self.counts.containsKey((one["decision"],)) else (0,)
-                self.counts.updateValue((one["decision"],), (had[0] + 1,))
-        if ready:
-            self.clock.update((clock.last, clock.n))
-            self.held.update((own.text, own.time, own.thumb, own.recent, own.due))
+            had = pa.ipc.open_stream(self.held.get()[0]).read_all().to_pydict()
+            held = dict(zip(had["video_id"], zip(*(had[c] for c in HELD.names), strict=True), strict=True))
+        said, times = [], ready["timestamp"].to_numpy()
+        numbers, texts, thumbs, shares = (ready[c].to_pylist() for c in ("frame_number", "extracted_text", "thumb", "pixel_pct"))
+        at = 0
+        for video, run in itertools.groupby(ready["video_id"].to_pylist()):
+            first, at = at, at + sum(1 for _ in run)
+            own, clock = Gate(), checks(self.settings.sample_interval)
+            if video in held:
+                text, time, thumb, recent, due, clock.last, clock.n = held[video]
+                own = Gate(text, time, thumb, list(recent), due)
+            for i in clock.kept(times[first:at]):
+                k = first + int(i)
+                one = own.decide({"video_id": video, "frame_number": numbers[k], "timestamp": float(times[k]), "extracted_text": texts[k], "thumb": thumbs[k], "pixel_pct": shares[k]}, self.settings)
+                if one is not None:
+                    said.append(one)
+            held[video] = (own.text, own.time, own.thumb, own.recent, own.due, clock.last, clock.n)
+        columns = {f.name: pa.array([x[k] for x in held.values()], f.type) for k, f in enumerate(HELD)}
+        self.held.update(_packed(pa.table({"video_id": pa.array(list(held))} | columns)))
+        for decision, n in Counter(x["decision"] for x in said).items():
+            had = self.counts.getValue((decision,)) if self.counts.containsKey((decision,)) else (0,)
+            self.counts.updateValue((decision,), (had[0] + n,))
         return said
 
 
-def late_gate(frames: DataFrame, delay: str, event_time: str = "event_time", slot: float = 10.0, settings: Settings = DEFAULTS) -> DataFrame:
+def late_gate(frames: DataFrame, delay: str, event_time: str = "event_time", slot: float = 10.0, settings: Settings = DEFAULTS, keys: int = 192) -> DataFrame:
     """Decisions on a streaming DataFrame of frames that come in any order, but no later than `delay`.
 
     event_time: when a frame happened; within a video it grows with `timestamp`. Frames are decided by slots of `slot`
     seconds, so a decision comes at most delay + slot after its frame. Frames without a time or a video are left out. The
     query needs the RocksDB state store (`session.session` names it).
+
+    keys: videos share as many keys of the state store, dealt by hash. What waits of a key's videos is in memory when its
+    timer is due, so more videos need more keys; a checkpoint keeps its number.
     """
     own = frames.where(F.col("timestamp").isNotNull() & F.col(event_time).isNotNull() & F.col("video_id").isNotNull())
     optional = [F.col(c) if c in frames.columns else F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("thumb", "binary"), ("pixel_pct", "double"))]
     own = own.select("video_id", F.col(event_time).cast("timestamp").alias("__at"), F.col("frame_number").cast("bigint").alias("frame_number"), F.col("timestamp").cast("double").alias("timestamp"), *optional)
     own = own.withWatermark("__at", delay).withColumn("us", F.unix_micros("__at"))
     kind = frames.schema["video_id"].dataType.simpleString()
-    return own.groupBy("video_id").transformWithStateInPandas(LateGate(settings, max(1, int(slot * 1000))), DECISIONS.format(kind=kind), "Append", "EventTime")
+    own = own.withColumn("key", F.pmod(F.xxhash64("video_id"), F.lit(keys)).cast("int"))
+    return own.groupBy("key").transformWithStateInPandas(LateGate(settings, max(1, int(slot * 1000))), DECISIONS.format(kind=kind), "Append", "EventTime")

@@ -97,3 +97,12 @@ def test_gate_over_small_batches_and_long_videos(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = gate.gate(spark.createDataFrame(rows, FRAMES).withColumn("thumb", F.lit(None).cast("binary")))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_videos_share_keys_of_the_state(spark, tmp_path):
+    """Calls to the state store are for keys, of which there are two here, not for videos."""
+    rows = with_time(random_frames(5))
+    frames = arriving(spark, str(tmp_path / "in"), [rows[k::3] for k in range(3)], [])
+    query = stream.late_gate(frames, "5 minutes", slot=2.0, keys=2).writeStream.format("memory").queryName("shared").option("checkpointLocation", str(tmp_path / "shared")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert key(spark.table("shared").where("video_id <> 'end'")) == key(gate.gate(spark.createDataFrame(rows, FRAMES)))
