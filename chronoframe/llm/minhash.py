@@ -6,8 +6,9 @@ sketch has one register a bucket: the smallest hash that fell there, stored as a
 
 1. every class against the smallest class of each of its bands; confirmed links join components;
 2. where one band still holds several components, pairs from different components of that band. Sizes of similar sets
-   differ by a bounded factor, so a band is cut into overlapping zones of sizes: small ones by a join, else block against
-   block of at most about `BLOCK` classes and `BLOCK_BYTES` of sets.
+   differ by a bounded factor, so a large band is cut into overlapping zones of sizes. Members of small zones, and of small
+   bands whole, meet with their sketches in groups of many zones; large zones are compared block against block of at most
+   about `BLOCK` classes and `BLOCK_BYTES` of sets. So a row is made for a member, never for a pair that comes to nothing.
 
 Sets of up to `SMALL` shingles travel whole in their sketches' place, so pairs of these are decided at once. For others
 registers give a collision-corrected estimate of the similarity; a pair whose estimate falls short of the threshold by
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, map_batches, mix64, text_bytes, windows_of, words_of, written
@@ -44,6 +45,8 @@ COUNT_BITS, MANTISSA_BITS = 6, 26
 SMALL = 64
 #: Classes in a block of a large band, and bytes of their sets, at most.
 BLOCK, BLOCK_BYTES = 1500, 24 << 20
+#: Members of small zones in a group, about.
+GROUP = 1000
 #: Ids that are broadcast at most (8 bytes each).
 FEW_IDS = 1_000_000
 _EDGES = np.array([-(-i * (1 << 64) // BUCKETS) for i in range(BUCKETS)], np.uint64)
@@ -85,13 +88,13 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All bands' keys, and which bands aren't empty."""
-    runs = registers.reshape(BANDS, ROWS).astype(np.uint64)
+    """All bands' keys, and which bands aren't empty, of one row of registers or of many."""
+    runs = registers.reshape(*registers.shape[:-1], BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 & (1 << 64) - 1)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
-            key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + runs[:, r] + np.uint64(1))
-    return key.view(np.int64), runs.any(axis=1)
+            key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + runs[..., r] + np.uint64(1))
+    return key.view(np.int64), runs.any(axis=-1)
 
 
 def bands_of(registers: np.ndarray) -> np.ndarray:
@@ -201,6 +204,52 @@ def _confirmed(likely: DataFrame, docs: DataFrame, words: int, percent: int) ->
     return likely.where("sure").select("a", "b").unionByName(map_batches(both, f, "a bigint, b bigint"))
 
 
+def _root(top: dict[int, int], c: int) -> int:
+    while top.get(c, c) != c:
+        c = top[c]
+    return c
+
+
+def _likely_within(members: DataFrame, groups: int, percent: int) -> DataFrame:
+    """Pairs (a, b, sure) as of `_likely`, each once, between components within small zones of bands.
+
+    members: (key, zone, place, id, c, n_shingles, sig). A pair is compared in the first band and in the zone of its larger
+    set. Pairs whose components are joined by sure links of their group are left out.
+    """
+
+    def f(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("zone", "ascending"), ("id", "ascending")])
+        key, zone, place, ids, comp, size = (group.column(k).to_numpy() for k in ("key", "zone", "place", "id", "c", "n_shingles"))
+        sigs = group.column("sig").to_pylist()
+        _, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        regs = np.stack([registers(sigs[i], size[i]) for i in first])
+        runs = regs.reshape(-1, BANDS, ROWS)
+        here = (_keys(regs)[0][at] == key[:, None]).argmax(axis=1)
+        number = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (zone[1:] != zone[:-1])))
+        found = []
+        for d in range(1, int(np.bincount(number).max())):
+            i = np.flatnonzero(number[d:] == number[:-d])
+            i = i[(comp[i] != comp[i + d]) & _near_sizes(size[i], size[i + d], percent) & (np.maximum(place[i], place[i + d]) == zone[i])]
+            x, y = at[i], at[i + d]
+            fresh = ((runs[x] == runs[y]).all(axis=2) & (runs[x] > 0).any(axis=2)).argmax(axis=1) == here[i]
+            sure = (size[i] <= SMALL) & (size[i + d] <= SMALL)
+            keep = np.flatnonzero(fresh & (sure | possible(regs[x], regs[y], percent / 100)[1]))
+            found += zip(i[keep].tolist(), (i[keep] + d).tolist(), sure[keep].tolist(), strict=True)
+        top: dict[int, int] = {}
+        out = []
+        for i, j, sure in sorted(found, key=lambda x: not x[2]):
+            a, b = _root(top, int(comp[i])), _root(top, int(comp[j]))
+            if a == b or sure and not similar(np.frombuffer(sigs[i], np.uint64), np.frombuffer(sigs[j], np.uint64), percent):
+                continue
+            if sure:
+                top[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j]), sure))
+        a, b, sure = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+
+    return members.groupBy(F.pmod(F.xxhash64("key", "zone"), F.lit(groups)).alias("group")).applyInArrow(f, "a bigint, b bigint, sure boolean")
+
+
 def _blocks(members: DataFrame, *keep: str) -> DataFrame:
     """Members (key, zone, id, ..., blocks) in each pair (x, y) of blocks that their own one (`own`) has part in."""
     out = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -261,11 +310,6 @@ def _hot_links(hot: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
         sets: dict[int, np.ndarray] = {}
         sigs, texts = group.column("sig"), group.column("text")
 
-        def root(c: int) -> int:
-            while top.get(c, c) != c:
-                c = top[c]
-            return c
-
         def of(i: int) -> np.ndarray:
             if i not in sets:
                 sets[i] = np.frombuffer(sigs[i].as_py(), np.uint64) if size[i] <= SMALL else shingle_sets(*text_bytes(texts.slice(i, 1)), words)[0]
@@ -273,7 +317,7 @@ def _hot_links(hot: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
         out = []
         for _, i, j in sorted(found, reverse=True):
-            a, b = root(int(comp[i])), root(int(comp[j]))
+            a, b = _root(top, int(comp[i])), _root(top, int(comp[j]))
             if a != b and similar(of(i), of(j), percent):
                 top[max(a, b)] = min(a, b)
                 out.append((int(ids[i]), int(ids[j])))
@@ -295,7 +339,7 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, hot: int = 48) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): see the module's text.
 
-    hot: classes from which on a zone of a band is compared block against block rather than by a join.
+    hot: classes from which on a zone of a band is compared block against block rather than in a group with other zones.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     known = written(sketches(docs, words), "sketches")
@@ -311,23 +355,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, hot: int
     links = written(_confirmed(_likely(stars, by_id, percent), docs, words, percent), "links")
     first = components(links)
     member = written(shared.join(first, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("c")), "members")
-    mixed = written(member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "mixed")
-    left = member.join(mixed, "key", "left_semi")
+    mixed = written(member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", "n"), "mixed")
+    left, whole = member.join(mixed, "key"), F.col("n") <= hot
     # sets within the threshold's factor of each other have places that differ by 1 at most; a zone holds two places
     place = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.lit(0)
-    zones = written(left.withColumn("place", place).withColumn("zone", F.explode(F.array("place", F.col("place") + 1))), "zones")
+    zone = F.when(whole, F.array(F.lit(0))).otherwise(F.array("place", F.col("place") + 1))
+    zones = written(left.withColumn("place", F.when(whole, 0).otherwise(place)).withColumn("zone", F.explode(zone)).drop("n"), "zones")
     sizes = written(zones.groupBy("key", "zone").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n_shingles").alias("most")).where("c0 < c1").select("key", "zone", "n", "most"), "sizes")
     zones = zones.join(sizes, ["key", "zone"])
-    cold = zones.where(F.col("n") <= hot).select("key", "zone", "id", "c", "n_shingles")
-    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    across = cold.toDF("key", "zone", "a", "ca", "na").join(cold.toDF("key", "zone", "b", "cb", "nb"), ["key", "zone"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
-    more = _confirmed(_likely(across, by_id, percent), docs, words, percent)
+
+    def sketched(some: DataFrame, *own: str | Column) -> DataFrame:
+        """A class meets its sketch once, with all its zones (two a band at most) in one row."""
+        places = some.groupBy("id").agg(F.collect_list(F.struct("key", "zone", "place", "c", *own)).alias("places"))
+        return written(places, "places").join(by_id, "id").select("id", "n_shingles", "sig", F.inline("places"))
+
+    few = sizes.where(F.col("n") <= hot).agg(F.sum("n")).first()[0] or 0
+    more = _confirmed(_likely_within(sketched(zones.where(F.col("n") <= hot)), -(-few // GROUP) or 1, percent), docs, words, percent)
     if sizes.where(F.col("n") > hot).limit(1).count():
         blocks = F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most"))))).alias("blocks")
-        # a class meets its sketch once, with all its zones (two a band at most) in one row
-        places = zones.where(F.col("n") > hot).groupBy("id").agg(F.collect_list(F.struct("key", "zone", "place", "c", blocks)).alias("places"))
-        large = written(places, "places").join(by_id, "id").select("id", "n_shingles", "sig", F.inline("places"))
-        more = more.unionByName(_hot_links(large, docs, words, percent))
+        more = more.unionByName(_hot_links(sketched(zones.where(F.col("n") > hot), blocks), docs, words, percent))
     more = written(more, "links")
     of_class = classes.join(components(links.unionByName(more)), "id", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("c"))
     out = known.join(of_class, (known.k1 == of_class.k1) & (known.k2 == of_class.k2) & (known.n_shingles == of_class.n), "left")

@@ -190,6 +190,36 @@ def test_minhash_passage_in_many_documents(spark, hot, block, monkeypatch):
     assert got(minhash.near_duplicates(table(spark, some), hot=hot), "component_id") == {i: (top[i],) for i in ids}
 
 
+def test_minhash_makes_no_row_for_each_pair_of_a_small_zone(spark, monkeypatch):
+    # all pairs of 40 documents share a passage, and hardly any is a link: 780 pairs, which mustn't become rows of a join
+    rng, met, likely = random.Random(3), [], minhash._likely
+    monkeypatch.setattr(minhash, "_likely", lambda pairs, *more: met.append(pairs.count()) or likely(pairs, *more))
+    shared = prose(rng, 120)
+    some = [(i, f"{shared} {prose(rng, 45)}", None, None, None) for i in range(40)]
+    some += [(100 + i, f"{some[i][1]} more", None, None, None) for i in range(3)]
+    assert got(minhash.near_duplicates(table(spark, some)), "component_id") == {i: (i % 100,) for i, *_ in some}
+    assert sum(met) < 400, met
+
+
+@pytest.mark.parametrize("hot,group", [(48, 1000), (10, 20)])
+def test_minhash_compares_small_zones_in_groups(spark, hot, group, monkeypatch):
+    # chains of near copies, short and long, around passages of their own: bands of many components, some links found late
+    monkeypatch.setattr(minhash, "GROUP", group)
+    rng, some = random.Random(5), []
+    for k in range(6):
+        text = prose(rng, 50 if k % 2 else 100).split()
+        for i in range(30):
+            own = list(text)
+            for _ in range(rng.randint(0, 6)):
+                own[rng.randrange(len(own))] = prose(rng, 1)
+            some.append((100 * k + i, " ".join(own), None, None, None))
+    sets = {i: shingles(t) for i, t, *_ in some}
+    ids = sorted(sets)
+    top = union_find(ids, [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert 12 < len(set(top.values())) < 150
+    assert got(minhash.near_duplicates(table(spark, some), hot=hot), "component_id") == {i: (top[i],) for i in ids}
+
+
 @pytest.mark.parametrize("hot", [48, 1])
 def test_minhash_links_short_texts(spark, hot):
     # 3 of 4 shingles in common, but fewer registers: the estimate falls short by more than the margin
